@@ -24,8 +24,8 @@ NO_FILES_MESSAGE = "No supported source files found in the repository."
 LINE_BREAK = "\\r\\n|[\\n\\r\\u000b\\u000c\\u001c\\u001d\\u001e\\u0085\\u2028\\u2029]"
 UNUSUAL_LINE_BREAK = "[\\r\\u000b\\u000c\\u001c\\u001d\\u001e\\u0085\\u2028\\u2029]"
 WHITE_SPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0            "
-    "    　"
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 MAX_PROMPT_LINES = 200
 README_TREE_FILES = 50
