@@ -55,7 +55,7 @@ def _listed(df: DataFrame, values: Column, name: str, keys) -> DataFrame:
 
 
 def js_functions(df: DataFrame, keys=("repo", "path")) -> DataFrame:
-    """One row per function; the reference counts each as complexity 1."""
+    """One row per function; each counts as complexity 1."""
     return _listed(df, function_names(F.col("content")), "name", keys).withColumn("complexity", F.lit(1))
 
 

@@ -1,8 +1,7 @@
 """Which files of a corpus are reviewed.
 
-All selections are plain column predicates on ``path`` / ``size`` / ``language``, placed before ``content`` is
-touched, so a columnar corpus table never reads the text of a dropped file's row group column chunk needlessly and a
-file listing is filtered before any file is opened.
+All selections are plain predicates on ``path`` / ``size`` / ``language`` and are placed before any use of ``content``:
+``size`` tests reach the corpus scan as pushed filters, and a file listing is cut down before a file is opened.
 """
 
 from __future__ import annotations
