@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
+from corpusreview.functions.arrays import numbered_rows
 
 
 def is_js(language: Column) -> Column:
@@ -50,8 +51,7 @@ def with_js_structure(df: DataFrame) -> DataFrame:
 
 
 def _listed(df: DataFrame, values: Column, name: str, keys) -> DataFrame:
-    rows = df.filter(is_js(F.col("language"))).select(*keys, F.posexplode(values).alias("pos", name))
-    return rows.select(*keys, (F.col("pos") + 1).alias("seq"), name)
+    return numbered_rows(df.filter(is_js(F.col("language"))), keys, values, name)
 
 
 def js_functions(df: DataFrame, keys=("repo", "path")) -> DataFrame:

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
 from corpusreview.functions import text as T
+from corpusreview.functions.arrays import numbered_rows, rows_of
 
 FENCE = "```"
 
 
 def explode_lines(df: DataFrame, keys=("repo", "path")) -> DataFrame:
     """One row per line with its 1-based number."""
-    return T.with_lines(df).select(*keys, F.posexplode("lines").alias("pos", "line")).select(
-        *keys, (F.col("pos") + 1).alias("line_no"), "line"
-    )
+    return numbered_rows(T.with_lines(df), keys, F.col("lines"), "line", "line_no")
 
 
 def line_counts(df: DataFrame, keys=("repo", "path")) -> DataFrame:
@@ -93,9 +92,9 @@ def markdown_blocks(docs: DataFrame, keys=("path",), text: str = "doc") -> DataF
     # segments 0..n/2 lie outside fences; pairs 0..n/2-1 are code
     segments = F.sequence(F.lit(0), F.floor(n_fences / 2).cast("int"))
     pairs = F.filter(segments, lambda j: j < F.floor(n_fences / 2))
-    return (
+    blocks = (
         docs.withColumn("_lines", F.split(F.col(text), "\n", -1))
         .withColumn("_fences", F.array_compact(marked))
         .select(*keys, F.concat(F.flatten(F.transform(segments, plain)), F.transform(pairs, code)).alias("_blocks"))
-        .select(*keys, F.inline("_blocks"))
     )
+    return rows_of(blocks, keys, F.col("_blocks"), "line_no")

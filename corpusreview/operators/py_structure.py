@@ -1,9 +1,10 @@
 """Functions, classes, imports, complexity and nesting of Python texts.
 
 Python code can only be parsed by Python, so one small Arrow UDF turns a text into the list of its interesting syntax
-nodes in pre-order, each with the index of the last node below it.  A node's sub-tree is then a slice of that list,
-and everything else - spans, complexity, nesting, methods - is Catalyst expressions on the list.  Only the text of
-Python files is sent to the worker and the rest of the row stays in the JVM; nothing is shuffled.
+nodes in pre-order, each with the index of the last node below it and, for functions, the branch weight and greatest
+depth below.  A node's sub-tree is then a slice of that list, and the rest - spans, complexity, nesting, methods, order -
+is Catalyst expressions on the list.  Only the text of Python files is sent to the worker and the rest of the row stays
+in the JVM; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,96 +14,94 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusreview.functions.arrays import numbered_rows, rows_of
 from corpusreview.functions.scores import one_decimal
 
 NODE = (
-    "struct<id:int,last:int,level:int,depth:int,weight:int,kind:string,name:string,line:int,end_line:int,"
-    "is_async:boolean,has_docstring:boolean,names:array<string>>"
+    "struct<id:int,last:int,level:int,depth:int,weight:int,below:int,deepest:int,line:int,end_line:int,kind:string,"
+    "name:string,is_async:boolean,has_docstring:boolean,names:array<string>>"
 )
 TREE = f"struct<has_errors:boolean,nodes:array<{NODE}>>"
 
 
 def _tree_udf():
-    # defined inside a function so that it travels to the executors by value
-    tree_type = pa.struct(
-        [
-            ("has_errors", pa.bool_()),
-            (
-                "nodes",
-                pa.list_(
-                    pa.struct(
-                        [(n, pa.int32()) for n in ("id", "last", "level", "depth", "weight")]
-                        + [("kind", pa.string()), ("name", pa.string())]
-                        + [("line", pa.int32()), ("end_line", pa.int32())]
-                        + [("is_async", pa.bool_()), ("has_docstring", pa.bool_())]
-                        + [("names", pa.list_(pa.string()))]
-                    )
-                ),
-            ),
-        ]
+    # everything the task needs is defined in here, so the function travels to the executors by value
+    node_type = pa.struct(
+        [(n, pa.int32()) for n in ("id", "last", "level", "depth", "weight", "below", "deepest", "line", "end_line")]
+        + [("kind", pa.string()), ("name", pa.string()), ("is_async", pa.bool_()), ("has_docstring", pa.bool_())]
+        + [("names", pa.list_(pa.string()))]
     )
 
     def trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ast
         import warnings
 
+        import pyarrow as pa
+
         # fixed values: node kinds that count as a branch / as a nesting level
         branches = (ast.If, ast.For, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.Assert, ast.BoolOp)
         levels = (ast.If, ast.For, ast.While, ast.With, ast.Try)
         functions = (ast.FunctionDef, ast.AsyncFunctionDef)
 
         def facts(node):
-            """Attributes of a node that is kept, None for all others."""
-            if isinstance(node, (*functions, ast.ClassDef)):
-                first = node.body[0]
-                text = first.value.value if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) else 0
-                is_function = isinstance(node, functions)
-                return {
-                    "kind": "function" if is_function else "class",
-                    "name": node.name,
-                    "is_async": isinstance(node, ast.AsyncFunctionDef),
-                    "has_docstring": isinstance(text, str),
-                    "names": [a.arg for a in node.args.args] if is_function else [ast.dump(b) for b in node.bases],
-                }
-            if isinstance(node, ast.Import):
-                return {"kind": "import", "names": [a.name for a in node.names]}
-            if isinstance(node, ast.ImportFrom):
-                return {"kind": "import", "names": [f"{node.module or ''}.{a.name}" for a in node.names]}
+            """``weight, kind, name, is_async, has_docstring, names`` of a node that is kept, None for all others."""
             if isinstance(node, branches):
                 # an "if" directly in an else branch (every elif) is one branch more
                 extra = sum(isinstance(x, ast.If) for x in node.orelse) if isinstance(node, ast.If) else 0
-                return {"kind": "branch", "weight": 1 + extra}
+                return 1 + extra, "branch", None, None, None, None
+            if isinstance(node, (*functions, ast.ClassDef)):
+                first = node.body[0].value if isinstance(node.body[0], ast.Expr) else None
+                documented = isinstance(first, ast.Constant) and isinstance(first.value, str)
+                if isinstance(node, ast.ClassDef):
+                    return 0, "class", node.name, False, documented, [ast.dump(b) for b in node.bases]
+                is_async = isinstance(node, ast.AsyncFunctionDef)
+                return 0, "function", node.name, is_async, documented, [a.arg for a in node.args.args]
+            if isinstance(node, ast.Import):
+                return 0, "import", None, None, None, [a.name for a in node.names]
+            if isinstance(node, ast.ImportFrom):
+                return 0, "import", None, None, None, [f"{node.module or ''}.{a.name}" for a in node.names]
             return None
 
-        def nodes(code: str):
+        def nodes(code):
             rows, todo = [], [(ast.parse(code), 0, 0)]
             while todo:
                 node, level, depth = todo.pop()
-                if isinstance(node, dict):  # all below this row is done
-                    node["last"] = len(rows)
+                if node is None:  # all below row number ``level`` is done
+                    row = rows[level]
+                    row[1] = len(rows)
+                    row[5] = sum(r[4] for r in rows[level:])
+                    row[6] = max(r[3] for r in rows[level:])
                     continue
                 depth += isinstance(node, levels)
-                row = facts(node)
-                if row is not None:
-                    row |= {"id": len(rows) + 1, "level": level, "depth": depth, "weight": row.get("weight", 0)}
-                    row |= {"line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None)}
-                    rows.append(row)
-                    todo.append((row, 0, 0))
-                todo += [(child, level + 1, depth) for child in reversed(list(ast.iter_child_nodes(node)))]
+                kept = facts(node)
+                if kept is not None:
+                    todo.append((None, len(rows), 0))
+                    span = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
+                    rows.append([len(rows) + 1, None, level, depth, kept[0], None, None, *span, *kept[1:]])
+                below = [(child, level + 1, depth) for child in ast.iter_child_nodes(node) if child._fields]
+                below.reverse()
+                todo += below
             return rows
 
-        def tree(code):
-            if code is None:
-                return None
-            try:
-                return {"has_errors": False, "nodes": nodes(code)}
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                return {"has_errors": True, "nodes": []}
+        def listed(codes):
+            offsets, errors, rows = [0], [], []
+            for code in codes:
+                try:
+                    rows += nodes(code) if code is not None else []
+                    errors.append(None if code is None else False)
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    errors.append(True)
+                offsets.append(len(rows))
+            columns = list(zip(*rows)) if rows else [()] * len(node_type)
+            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, node_type)]
+            structs = pa.StructArray.from_arrays(arrays, fields=list(node_type))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+            return pa.StructArray.from_arrays([pa.array(errors, pa.bool_()), lists], ["has_errors", "nodes"])
 
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             for batch in batches:
-                yield pa.array([tree(code) for code in batch.to_pylist()], type=tree_type)
+                yield listed(batch.to_pylist())
 
     return F.arrow_udf(trees, TREE)
 
@@ -111,22 +110,16 @@ def is_python(language: Column) -> Column:
     return F.lower(language) == "python"
 
 
-def _below(node: Column) -> Column:
-    """The node and all kept nodes below it."""
-    return F.slice(F.col("py_nodes"), node["id"], node["last"] - node["id"] + 1)
-
-
 def _of_kind(nodes: Column, kind: str) -> Column:
     """Nodes of a kind, level by level and left to right."""
     keyed = F.transform(
         F.filter(nodes, lambda n: n["kind"] == kind),
         lambda n: F.struct(n["level"].alias("level"), n["id"].alias("id"), n.alias("node")),
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["node"])
+    return F.transform(F.sort_array(keyed), lambda k: k["node"])
 
 
 def _function(f: Column) -> Column:
-    weight = F.aggregate(_below(f), F.lit(0), lambda acc, n: acc + n["weight"])
     return F.struct(
         f["name"].alias("name"),
         f["line"].alias("line"),
@@ -134,8 +127,8 @@ def _function(f: Column) -> Column:
         (f["end_line"] - f["line"] + 1).alias("length"),
         f["names"].alias("args"),
         f["has_docstring"].alias("has_docstring"),
-        (weight + 1).alias("complexity"),
-        (F.array_max(F.transform(_below(f), lambda n: n["depth"])) - f["depth"]).alias("nesting"),
+        (f["below"] + 1).alias("complexity"),
+        (f["deepest"] - f["depth"]).alias("nesting"),
         f["is_async"].alias("is_async"),
     )
 
@@ -144,14 +137,16 @@ def _class(c: Column) -> Column:
     return F.struct(
         c["name"].alias("name"),
         c["line"].alias("line"),
-        F.transform(_of_kind(_below(c), "function"), lambda n: n["name"]).alias("methods"),
+        F.transform(
+            _of_kind(F.slice(F.col("py_nodes"), c["id"], c["last"] - c["id"] + 1), "function"), lambda n: n["name"]
+        ).alias("methods"),
         c["has_docstring"].alias("has_docstring"),
         c["names"].alias("bases"),
     )
 
 
 def with_py_nodes(df: DataFrame) -> DataFrame:
-    """Add ``py_nodes`` and ``py_has_errors``; NULL for other languages, whose text is not sent to Python."""
+    """Add ``py_nodes`` and ``py_has_errors`` (NULL for other languages, whose text is not sent to Python)."""
     tree = _tree_udf()(F.when(is_python(F.col("language")), F.col("content")))
     return (
         df.withColumn("_tree", tree)
@@ -176,23 +171,22 @@ def with_py_structure(df: DataFrame) -> DataFrame:
 def py_nodes(df: DataFrame, keys=("repo", "path")) -> DataFrame:
     """One row per kept syntax node of each Python file."""
     python = df.filter(is_python(F.col("language")))
-    return with_py_nodes(python).select(*keys, F.inline("py_nodes"))
+    return rows_of(with_py_nodes(python), keys, F.col("py_nodes"), "id")
 
 
 def py_functions(df: DataFrame, keys=("repo", "path")) -> DataFrame:
     python = df.filter(is_python(F.col("language")))
-    return with_py_structure(python).select(*keys, F.inline("py_functions"))
+    return rows_of(with_py_structure(python), keys, F.col("py_functions"), "name")
 
 
 def py_classes(df: DataFrame, keys=("repo", "path")) -> DataFrame:
     python = df.filter(is_python(F.col("language")))
-    return with_py_structure(python).select(*keys, F.inline("py_classes"))
+    return rows_of(with_py_structure(python), keys, F.col("py_classes"), "name")
 
 
 def py_imports(df: DataFrame, keys=("repo", "path")) -> DataFrame:
     python = df.filter(is_python(F.col("language")))
-    rows = with_py_structure(python).select(*keys, F.posexplode("py_imports").alias("pos", "module"))
-    return rows.select(*keys, (F.col("pos") + 1).alias("seq"), "module")
+    return numbered_rows(with_py_structure(python), keys, F.col("py_imports"), "module")
 
 
 def py_complexity(df: DataFrame, keys=("repo", "path")) -> DataFrame:

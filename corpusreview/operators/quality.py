@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
 from corpusreview.functions import text as T
+from corpusreview.functions.arrays import numbered_rows
 from corpusreview.operators import security
 
 
@@ -44,8 +45,8 @@ def has_docstrings(code: Column) -> Column:
 
 def line_rule(df: DataFrame, rule, keys=("repo", "path")) -> DataFrame:
     """Lines that satisfy ``rule`` with their number and length."""
-    lines = T.with_lines(df).select(*keys, F.posexplode("lines").alias("pos", "line")).filter(rule(F.col("line")))
-    return lines.select(*keys, (F.col("pos") + 1).alias("line_no"), F.char_length("line").alias("chars"))
+    lines = numbered_rows(T.with_lines(df), keys, F.col("lines"), "line", "line_no").filter(rule(F.col("line")))
+    return lines.select(*keys, "line_no", F.char_length("line").alias("chars"))
 
 
 def code_quality(df: DataFrame, keys=("repo", "path")) -> DataFrame:
@@ -74,8 +75,7 @@ def refactoring_hints(lines: Column, complexity: Column) -> Column:
 def suggest_refactoring(df: DataFrame, complexity: str | None = None, keys=("repo", "path")) -> DataFrame:
     """One row per hint; ``complexity`` names a column, missing values count 1."""
     score = F.coalesce(F.col(complexity), F.lit(1)) if complexity else F.lit(1)
-    rows = T.with_lines(df).select(*keys, F.posexplode(refactoring_hints(F.col("lines"), score)).alias("pos", "hint"))
-    return rows.select(*keys, (F.col("pos") + 1).alias("seq"), "hint")
+    return numbered_rows(T.with_lines(df), keys, refactoring_hints(F.col("lines"), score), "hint")
 
 
 def element_name(code: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
+from corpusreview.functions.arrays import numbered_rows
 
 ISSUE = (
     "struct<severity:string,category:string,file_path:string,line_number:bigint,description:string,suggestion:string,"
@@ -169,22 +170,19 @@ def extract_issues(df: DataFrame, raw: str = "raw", path: str = "file_path", key
     defaults = {**{k: F.lit(v) for k, v in _DEFAULTS.items()}, "file_path": F.col(path)}
     array = strict_json(F.regexp_extract(F.col(raw), r"(?s)\[.*\]", 0))
     issues = F.col("_issues")
-    found = (
-        df.withColumn("_array", array)
-        .withColumn("_issues", _issues(F.try_variant_get(F.col("_array"), "$", "array<variant>"), defaults))
-        .filter(F.size(issues) > 0)
-        .filter(~F.exists(issues, lambda i: i.isNull()))
+    found = df.withColumn("_array", array).withColumn(
+        "_issues", _issues(F.try_variant_get(F.col("_array"), "$", "array<variant>"), defaults)
     )
-    rows = found.select(*keys, F.posexplode(issues).alias("pos", "issue"))
-    return rows.select(*keys, (F.col("pos") + 1).alias("issue_no"), "issue.*")
+    whole = F.when(~F.exists(issues, lambda i: i.isNull()), issues)
+    return numbered_rows(found, keys, whole, "issue", "issue_no").select(*keys, "issue_no", "issue.*")
 
 
 def flatten_issues(reviews: DataFrame, keys=("run_id", "seq")) -> DataFrame:
     """One row per issue; an issue without a path gets its review's path."""
-    rows = reviews.select(*keys, F.col("file_path").alias("_path"), F.posexplode("issues").alias("pos", "issue"))
+    rows = numbered_rows(reviews.withColumnRenamed("file_path", "_path"), [*keys, "_path"], F.col("issues"), "issue", "issue_no")
     return rows.select(
         *keys,
-        (F.col("pos") + 1).alias("issue_no"),
+        "issue_no",
         F.coalesce(F.nullif(F.col("issue.file_path"), F.lit("")), F.col("_path")).alias("file_path"),
         *[F.col(f"issue.{c}") for c in ("severity", "category", "line_number", "description", "suggestion")],
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
 from corpusreview.functions import text as T
+from corpusreview.functions.arrays import numbered_rows
 
 VULNERABILITY = "struct<type:string,line:int,match:string,description:string>"
 
@@ -53,8 +54,7 @@ def with_vulnerabilities(df: DataFrame, rules=K.SECURITY_RULES) -> DataFrame:
 
 def security_scan(df: DataFrame, rules=K.SECURITY_RULES, keys=("repo", "path")) -> DataFrame:
     """One row per match; ``seq`` is its place in the file's result list."""
-    rows = df.select(*keys, F.posexplode(vulnerabilities(F.col("content"), rules)).alias("pos", "v"))
-    return rows.select(*keys, (F.col("pos") + 1).alias("seq"), "v.*")
+    return numbered_rows(df, keys, vulnerabilities(F.col("content"), rules), "v").select(*keys, "seq", "v.*")
 
 
 def security_rule(df: DataFrame, rule: str, keys=("repo", "path")) -> DataFrame:

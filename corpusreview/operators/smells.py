@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
 from corpusreview.functions import text as T
+from corpusreview.functions.arrays import rows_of
 from corpusreview.operators.js_structure import is_js
 from corpusreview.operators.py_structure import is_python, with_py_structure
 
@@ -57,17 +58,18 @@ def magic_number(lines: Column) -> Column:
         smells = F.transform(
             hits, lambda m: _smell("magic_number", i + 1, "info", T.format_text(K.SMELL_TEXT["magic_number"], m))
         )
-        return F.when(is_comment(line), none()).otherwise(smells)
+        # most lines have no two digits in a row; they are left out before the dear pattern runs
+        return F.when(line.rlike(r"(?U)\d\d") & ~is_comment(line), smells)
 
-    return F.flatten(F.transform(lines, per_line))
+    return F.flatten(F.array_compact(F.transform(lines, per_line)))
 
 
 def _js_line_smells(lines: Column, *rules) -> Column:
     def per_line(line: Column, i: Column) -> Column:
         hits = F.array_compact(F.array(*[rule(line, i) for rule in rules]))
-        return F.when(is_js_comment(line), none()).otherwise(hits)
+        return F.when(~is_js_comment(line), hits)
 
-    return F.flatten(F.transform(lines, per_line))
+    return F.flatten(F.array_compact(F.transform(lines, per_line)))
 
 
 def _console_log(line: Column, i: Column) -> Column:
@@ -143,7 +145,7 @@ def with_smells(df: DataFrame) -> DataFrame:
 
 
 def _table(df: DataFrame, smells: Column, keys) -> DataFrame:
-    return df.select(*keys, F.inline(smells))
+    return rows_of(df, keys, smells, "rule")
 
 
 def line_smell(df: DataFrame, rule, keys=("repo", "path")) -> DataFrame:

@@ -103,5 +103,6 @@ def finished_runs(events: DataFrame) -> DataFrame:
 
 def stream_severity(events: DataFrame) -> DataFrame:
     """Running number of issues per run and severity as reviews arrive."""
-    issues = reviews_of(events).select("run_id", F.explode("issues").alias("issue"))
+    rows = reviews_of(events).select("run_id", F.explode_outer("issues").alias("issue"))
+    issues = rows.filter(F.col("issue").isNotNull())
     return issues.groupBy("run_id", F.col("issue.severity").alias("severity")).agg(F.count("*").alias("issues"))
