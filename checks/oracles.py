@@ -114,6 +114,13 @@ ev AS (SELECT user_id AS run_id, event_id AS seq, event, {R.EVENT_DATA} AS data
   FROM events))"""
 
 
+def half_even(tenths: str, n: str) -> str:
+    """``tenths / n`` tenths, rounded half to even to whole tenths, in exact integer arithmetic."""
+    a, b = f"CAST({tenths} AS HUGEINT)", f"CAST({n} AS HUGEINT)"
+    up = f"CASE WHEN 2 * ({a} % {b}) > {b} OR (2 * ({a} % {b}) = {b} AND ({a} // {b}) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CAST({a} // {b} + {up} AS DOUBLE) / 10"
+
+
 def oracle(name: str, ctes: str, select: str) -> None:
     ORACLES[name] = f"WITH {ctes.strip()}\n{select.strip()}" if ctes else select.strip()
 
@@ -210,7 +217,7 @@ pyf AS (
   FROM py JOIN placed USING (path) JOIN fn ON fn.b = placed.b),
 pym AS (
   SELECT repo, path, count(*) AS function_count, sum(complexity) AS total_complexity, max(nesting) AS max_nesting,
-    CAST(round_even(sum(length) / count(*), 1) AS DOUBLE) AS avg_function_length FROM pyf GROUP BY repo, path)"""
+    {half_even("sum(length * 10)", "count(*)")} AS avg_function_length FROM pyf GROUP BY repo, path)"""
 oracle("py_functions", PYTHON, """
 SELECT repo, path, name, line, end_line, length, args, has_docstring, complexity, nesting, is_async FROM pyf""")
 oracle("py_classes", PYTHON, """
@@ -600,7 +607,7 @@ rc AS (SELECT rv.*, coalesce(n, 0) AS n, coalesce(critical, 0) AS critical, coal
   coalesce(n, 0) - coalesce(critical, 0) - coalesce(warning, 0) AS info,
   CASE WHEN critical > 0 THEN 1.5 WHEN n IS NULL THEN 0.8 ELSE 1.0 END AS w FROM rv LEFT JOIN ic USING (run_id, seq)),
 sums AS (SELECT run_id, count(*) AS files_analyzed, CAST(sum(critical) AS BIGINT) AS critical_count, CAST(sum(warning) AS BIGINT) AS warning_count,
-  CAST(sum(info) AS BIGINT) AS info_count, round_even(sum(CAST(score AS DECIMAL(18, 1)) * w) / sum(w), 1) AS overall_score FROM rc GROUP BY run_id),
+  CAST(sum(info) AS BIGINT) AS info_count, {half_even("sum(CAST(round(score * 10) AS BIGINT) * CAST(w * 10 AS BIGINT))", "sum(CAST(w * 10 AS BIGINT))")} AS overall_score FROM rc GROUP BY run_id),
 total AS (SELECT run_id, count(*) AS total_files FROM disc GROUP BY run_id)"""
 LABEL = "CASE WHEN {s} >= 90 THEN 'excellent' WHEN {s} >= 75 THEN 'good' WHEN {s} >= 50 THEN 'needs improvement' ELSE 'poor' END"
 REPORT = f"""{COUNTED},
@@ -625,10 +632,10 @@ SELECT run_id, CAST(band_no AS INTEGER) AS band_no, band, files, files / n * 100
   SELECT run_id, band_no, band, count(*) FILTER (WHERE score BETWEEN low AND high) AS files, count(*) AS n FROM rv,
     (VALUES (1, 'Excellent (90-100)', 90, 100), (2, 'Good (75-89)', 75, 89), (3, 'Fair (50-74)', 50, 74), (4, 'Poor (0-49)', 0, 49))
       t(band_no, band, low, high) GROUP BY run_id, band_no, band)""")
-oracle("language_breakdown", REVIEWS, """
+oracle("language_breakdown", REVIEWS, f"""
 SELECT f.run_id, f.language, files, bytes, mean_score FROM
   (SELECT run_id, language, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM disc GROUP BY ALL) f
-  LEFT JOIN (SELECT run_id, language, round_even(sum(CAST(score AS DECIMAL(18, 1))) / count(*), 1) AS mean_score FROM rv GROUP BY ALL) s
+  LEFT JOIN (SELECT run_id, language, {half_even("sum(CAST(round(score * 10) AS BIGINT))", "count(*)")} AS mean_score FROM rv GROUP BY ALL) s
   ON s.run_id = f.run_id AND s.language = f.language""")
 oracle("worst_files", REVIEWS, """
 SELECT run_id, seq, file_path, score, CASE WHEN summary <> '' THEN left(summary, 80) || '…' END AS summary_start,
@@ -730,7 +737,7 @@ fc AS (SELECT kept.repo, kept.path, count(severity) AS n, count(*) FILTER (WHERE
   count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info
   FROM kept LEFT JOIN found ON found.repo = kept.repo AND found.path = kept.path GROUP BY kept.repo, kept.path),
 fs AS (SELECT *, greatest(0, 100 - 10 * critical - 3 * warning - info) AS score, CASE WHEN critical > 0 THEN 1.5 WHEN n = 0 THEN 0.8 ELSE 1.0 END AS w FROM fc),
-ss AS (SELECT repo, count(*) AS files_analyzed, round_even(sum(score * w) / sum(w), 1) AS overall_score, CAST(sum(critical) AS BIGINT) AS critical_count,
+ss AS (SELECT repo, count(*) AS files_analyzed, {half_even("sum(CAST(score AS BIGINT) * 10 * CAST(w * 10 AS BIGINT))", "sum(CAST(w * 10 AS BIGINT))")} AS overall_score, CAST(sum(critical) AS BIGINT) AS critical_count,
   CAST(sum(warning) AS BIGINT) AS warning_count, CAST(sum(info) AS BIGINT) AS info_count FROM fs GROUP BY repo),
 s1 AS (SELECT l.repo AS run_id, total_files, coalesce(files_analyzed, 0) AS files_analyzed, coalesce(overall_score, CAST(100 AS DOUBLE)) AS overall_score,
   coalesce(critical_count, 0) AS critical_count, coalesce(warning_count, 0) AS warning_count, coalesce(info_count, 0) AS info_count

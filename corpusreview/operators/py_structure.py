@@ -42,9 +42,12 @@ def _tree_udf():
         branches = (ast.If, ast.For, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.Assert, ast.BoolOp)
         levels = (ast.If, ast.For, ast.While, ast.With, ast.Try)
         functions = (ast.FunctionDef, ast.AsyncFunctionDef)
+        kept = {*branches, *functions, ast.ClassDef, ast.Import, ast.ImportFrom}
+        # nodes with nothing of interest below them
+        leaves = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.Pass, ast.Break, ast.Continue, ast.alias, ast.Global}
 
         def facts(node):
-            """``weight, kind, name, is_async, has_docstring, names`` of a node that is kept, None for all others."""
+            """``weight, kind, name, is_async, has_docstring, names`` of a node that is kept."""
             if isinstance(node, branches):
                 # an "if" directly in an else branch (every elif) is one branch more
                 extra = sum(isinstance(x, ast.If) for x in node.orelse) if isinstance(node, ast.If) else 0
@@ -58,9 +61,16 @@ def _tree_udf():
                 return 0, "function", node.name, is_async, documented, [a.arg for a in node.args.args]
             if isinstance(node, ast.Import):
                 return 0, "import", None, None, None, [a.name for a in node.names]
-            if isinstance(node, ast.ImportFrom):
-                return 0, "import", None, None, None, [f"{node.module or ''}.{a.name}" for a in node.names]
-            return None
+            return 0, "import", None, None, None, [f"{node.module or ''}.{a.name}" for a in node.names]
+
+        def children(node):
+            """Child nodes, last one first."""
+            for field in reversed(node._fields):
+                value = getattr(node, field, None)
+                if isinstance(value, list):
+                    yield from (x for x in reversed(value) if isinstance(x, ast.AST) and type(x) not in leaves)
+                elif isinstance(value, ast.AST) and type(value) not in leaves:
+                    yield value
 
         def nodes(code):
             rows, todo = [], [(ast.parse(code), 0, 0)]
@@ -72,15 +82,13 @@ def _tree_udf():
                     row[5] = sum(r[4] for r in rows[level:])
                     row[6] = max(r[3] for r in rows[level:])
                     continue
-                depth += isinstance(node, levels)
-                kept = facts(node)
-                if kept is not None:
+                if type(node) in kept:
+                    depth += isinstance(node, levels)
+                    weight, *rest = facts(node)
                     todo.append((None, len(rows), 0))
                     span = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
-                    rows.append([len(rows) + 1, None, level, depth, kept[0], None, None, *span, *kept[1:]])
-                below = [(child, level + 1, depth) for child in ast.iter_child_nodes(node) if child._fields]
-                below.reverse()
-                todo += below
+                    rows.append([len(rows) + 1, None, level, depth, weight, None, None, *span, *rest])
+                todo += [(child, level + 1, depth) for child in children(node)]
             return rows
 
         def listed(codes):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
-from corpusreview.functions.arrays import numbered_rows
+from corpusreview.functions.arrays import computed_once, numbered_rows
 
 ISSUE = (
     "struct<severity:string,category:string,file_path:string,line_number:bigint,description:string,suggestion:string,"
@@ -139,7 +139,8 @@ def with_checked_review(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(~score.between(0, 100) | F.isnan(score), "score_out_of_range")
         .when(F.col("summary").isNull(), "summary_not_a_text")
     )
-    return parsed.withColumn("reason", reason).drop("_root", "_list")
+    checked = {"score": score, "summary": F.col("summary"), "issues": issues, "reason": reason}
+    return computed_once(parsed, df.columns, **checked)
 
 
 def parse_reviews(df: DataFrame, raw: str = "raw") -> DataFrame:

@@ -111,7 +111,7 @@ def scan_event_log(spark, sf_dir):
     """The same events through log files: one text log per run, written and read back by byte ranges."""
     folder = fresh_folder(spark, "log")
     records = R.event_records(spark, sf_dir).withColumn("run", F.col("run_id"))
-    ordered = records.repartition("run_id").sortWithinPartitions("run_id", "seq")
+    ordered = records.repartition("run").sortWithinPartitions("run", "seq")
     ordered.select("run", F.col("record").alias("value")).write.partitionBy("run").option("lineSep", "\n\n").text(folder)
     run = F.regexp_extract("file", "run=([0-9]+)", 1).cast("bigint")
     events = event_log.read_event_log(spark, folder.removeprefix("file:"), split_bytes=1 << 16)

@@ -10,6 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusreview import constants as K
 from corpusreview.functions import text as T
+from corpusreview.functions.arrays import computed_once
 
 # executors receive the classes below by value, so the package need not be installed there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -109,12 +110,12 @@ def parse_records(records: DataFrame, group: str = "file", order: str = "start",
     # an "event:" line is tested first, so a line is never both
     fields = split.select(group, order, after("event:").alias("_events"), after("data:").alias("_data"))
     json = F.filter("_data", lambda x: (x != K.END_OF_LOG) & _well_formed(x))
-    parsed = fields.select(
-        group,
-        order,
-        F.coalesce(F.try_element_at("_events", F.lit(-1)), F.lit(K.DEFAULT_EVENT)).alias("event"),
-        F.try_element_at(json, F.lit(-1)).alias("data"),
-        F.array_contains("_data", K.END_OF_LOG).alias("_end"),
+    parsed = computed_once(
+        fields,
+        [group, order],
+        event=F.coalesce(F.try_element_at("_events", F.lit(-1)), F.lit(K.DEFAULT_EVENT)),
+        data=F.try_element_at(json, F.lit(-1)),
+        _end=F.array_contains("_data", K.END_OF_LOG),
     )
     ends = parsed.filter("_end").groupBy(group).agg(F.min(order).alias("_end_at"))
     kept = parsed.join(ends, group, "left").filter(F.col("_end_at").isNull() | (F.col(order) < F.col("_end_at")))

@@ -20,89 +20,94 @@ LISTING = "repo string, root string, path string, size bigint, is_dir boolean"
 
 
 def _lister(deep: bool):
-    """Task function: entries below each ``(repo, root, path)``, one level or all the way down."""
+    """Task function: folders become what is in them, one level or all the way down; files pass through."""
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
         import pandas as pd
         from pyarrow import fs
 
-        def entries(files, folder):
-            infos = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-            for info in infos:
-                yield info, info.type == fs.FileType.Directory
-
-        def is_link(files, path):
-            # folders behind symbolic links are not followed (only a local file system has them)
-            import os
-
-            return isinstance(files, fs.LocalFileSystem) and os.path.islink(path)
+        names = ["repo", "root", "path", "size", "is_dir"]
+
+        def inside(root, path):
+            files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+            base = base.rstrip("/")
+            local = isinstance(files, fs.LocalFileSystem)
+            todo = [f"{base}/{path}".rstrip("/")]
+            while todo:
+                for info in files.get_file_info(fs.FileSelector(todo.pop(), allow_not_found=True)):
+                    is_dir = info.type == fs.FileType.Directory
+                    if is_dir and local and os.path.islink(info.path):
+                        continue  # folders behind symbolic links are not followed
+                    if is_dir and deep:
+                        todo.append(info.path)
+                    elif is_dir or info.type == fs.FileType.File:
+                        yield info.path[len(base) + 1 :], info.size or 0, is_dir
 
         for batch in batches:
             rows = []
-            for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
-                files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-                base = base.rstrip("/")
-                todo = [f"{base}/{path}".rstrip("/")]
-                while todo:
-                    for info, is_dir in entries(files, todo.pop()):
-                        if is_dir and is_link(files, info.path):
-                            continue
-                        if is_dir and deep:
-                            todo.append(info.path)
-                        elif is_dir or info.type == fs.FileType.File:
-                            rows.append((repo, root, info.path[len(base) + 1 :], info.size or 0, is_dir))
+            for repo, root, path, size, is_dir in batch[names].itertuples(index=False):
+                found = inside(root, path) if is_dir else [(path, size, False)]
+                for entry in found:
+                    rows.append((repo, root, *entry))
                     if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=["repo", "root", "path", "size", "is_dir"])
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
-            yield pd.DataFrame(rows, columns=["repo", "root", "path", "size", "is_dir"])
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return listing
 
 
-def list_source_tree(roots: DataFrame, split_levels: int = 1, tasks: int | None = None) -> DataFrame:
+def list_source_tree(roots: DataFrame, split_levels: int = 2, tasks: int | None = None) -> DataFrame:
     """All regular files below each root: ``repo, root, path, size``.
 
     ``roots`` has ``repo`` and ``root`` (a path or URI that executors can reach).  The first ``split_levels`` levels are
-    expanded one at a time; the folders found are spread over the tasks, so one big repository is listed by many.
+    expanded one at a time and spread over the tasks in between, so one big repository is listed by many tasks.
     """
-    tasks = tasks or max(roots.sparkSession.sparkContext.defaultParallelism * 4, 8)
-    folders = roots.select("repo", "root", F.lit("").alias("path"))
-    files = None
+    tasks = tasks or max(roots.sparkSession.sparkContext.defaultParallelism, 2)
+    entries = roots.select(
+        "repo", "root", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("is_dir")
+    )
     for _ in range(split_levels):
-        level = folders.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=False), LISTING)
-        found = level.filter(~F.col("is_dir"))
-        files = found if files is None else files.unionByName(found)
-        folders = level.filter("is_dir").select("repo", "root", "path")
-    below = folders.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=True), LISTING)
-    files = below if files is None else files.unionByName(below)
-    return files.select("repo", "root", "path", "size")
+        entries = entries.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=False), LISTING)
+    below = entries.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=True), LISTING)
+    return below.select("repo", "root", "path", "size")
 
 
 def read_contents(listed: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Open the listed files: adds ``content`` (decoded text) and ``unreadable``; files are spread evenly over tasks."""
+    """Open the listed files that have no ``skip_reason``: adds ``content`` (decoded text).
+
+    Files are spread evenly over the tasks first.  A file that cannot be read has NULL content and gets the reason.
+    """
     tasks = tasks or max(listed.sparkSession.sparkContext.defaultParallelism * 4, 8)
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        def load(root, path):
+        def load(root, path, skip_reason):
+            if skip_reason is not None:
+                return None
             try:
                 files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-                with files.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                with files.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as stream:
                     return stream.read()
             except OSError:
                 return None
 
         for batch in batches:
-            # a few files at a time: a batch of rows must not become a batch of whole texts in memory
+            # a few files at a time: a batch of names must not become a batch of whole texts in memory
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                yield part.assign(raw=[load(r, p) for r, p in zip(part["root"], part["path"])])
+                raw = [load(*row) for row in zip(part["root"], part["path"], part["skip_reason"])]
+                yield part.assign(raw=raw)
 
-    schema = listed.schema.simpleString()[len("struct<") : -1] + ",raw:binary"
-    spread = listed.repartition(tasks, "repo", "path")
-    raw = spread.mapInPandas(opened, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")))
-    return raw.withColumn("content", T.decode(F.col("raw"))).withColumn("unreadable", F.col("raw").isNull()).drop("raw")
+    slim = listed.select("repo", "root", "path", "size", "language", "skip_reason").repartition(tasks, "repo", "path")
+    schema = "repo string, root string, path string, size bigint, language string, skip_reason string, raw binary"
+    read = slim.mapInPandas(opened, schema).withColumn("content", T.decode(F.col("raw")))
+    reason = F.when(F.col("raw").isNull(), F.lit(K.SKIP_REASON))
+    return read.withColumn("skip_reason", reason).drop("raw")
 
 
 def read_source_tree(
@@ -116,7 +121,5 @@ def read_source_tree(
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame(list(roots.items()), "repo string, root string")
     listed = selection.drop_vendored(selection.with_extension(list_source_tree(roots), extensions))
-    kept, skipped = selection.size_guard(selection.with_language(listed), max_kb)
-    read = read_contents(kept).withColumn("skip_reason", F.when(F.col("unreadable"), F.lit(K.SKIP_REASON)))
-    columns = ["repo", "path", "size", "language", "content", "skip_reason"]
-    return read.select(columns).unionByName(skipped.withColumn("content", F.lit(None).cast("string")).select(columns))
+    marked = selection.with_skip_reason(selection.with_language(listed), max_kb)
+    return read_contents(marked).select("repo", "path", "size", "language", "content", "skip_reason")
