@@ -20,8 +20,10 @@ RECORD = "file string, start bigint, record string"
 
 
 class EventLogPart(InputPartition):
-    def __init__(self, file: str, begin: int, end: int):
-        self.file, self.begin, self.end = file, begin, end
+    """Byte ranges ``(file, begin, end)`` that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 def _open(path: str):
@@ -53,33 +55,53 @@ class EventLogReader(DataSourceReader):
         else:
             prefix = self.path[: len(self.path) - len(inner)] if "://" in self.path else ""
             inside = files.get_file_info(fs.FileSelector(inner, recursive=True))
-            found = [(prefix + i.path, i.size) for i in inside if i.type == fs.FileType.File]
-        step = self.split_bytes
-        return [EventLogPart(f, b, min(b + step, n)) for f, n in sorted(found) for b in range(0, max(n, 1), step)]
+            # names that start with "." or "_" are the writers' own files, as for Spark's file sources
+            found = [
+                (prefix + i.path, i.size)
+                for i in inside
+                if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))
+            ]
+        # large files are split, small ones share a task
+        parts, open_bytes = [], self.split_bytes
+        for file, size in sorted(found):
+            for begin in range(0, size, self.split_bytes):
+                end = min(begin + self.split_bytes, size)
+                if open_bytes + end - begin > self.split_bytes:
+                    parts.append([])
+                    open_bytes = 0
+                parts[-1].append((file, begin, end))
+                open_bytes += end - begin
+        return [EventLogPart(ranges) for ranges in parts or [[]]]
 
     def read(self, partition):
-        files, inner = _open(partition.file)
+        for file, begin, end in partition.ranges:
+            yield from self.records(file, begin, end)
+
+    def records(self, file, begin, end):
+        """Records that start in ``begin <= offset < end``, read in chunks."""
+        files, inner = _open(file)
         with files.open_input_file(inner) as stream:
-            # start two bytes early: a separator that ends at the range's begin opens a record of this range
-            position = max(partition.begin - len(SEPARATOR), 0)
+            # step back to before the line breaks at the range's begin, so that separators are cut as from the start
+            position = begin
+            while position > 0:
+                stream.seek(position - 1)
+                if stream.read(1) != b"\n":
+                    break
+                position -= 1
             stream.seek(position)
-            buffer, inside = b"", partition.begin == 0
-            while True:
-                cut = buffer.find(SEPARATOR)
+            buffer, at, started = b"", 0, position == 0
+            while position < end or not started:
+                cut = buffer.find(SEPARATOR, at)
                 if cut < 0:
                     more = stream.read(self.chunk)
                     if not more:
                         return
-                    buffer += more
+                    buffer, at = buffer[at:] + more, 0
                     continue
-                if inside and position >= partition.end:
-                    return
-                if inside:
-                    yield partition.file, position, buffer[:cut].decode("utf-8", "replace")
-                step = cut + len(SEPARATOR)
-                position, buffer, inside = position + step, buffer[step:], True
-                if position >= partition.end:
-                    return
+                if started and position >= begin:
+                    yield file, position, buffer[at:cut].decode("utf-8", "replace")
+                position += cut + len(SEPARATOR) - at
+                at, started = cut + len(SEPARATOR), True
 
 
 class EventLogSource(DataSource):
