@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusreview import constants as K
@@ -93,9 +94,7 @@ def infer(
     what fails then gets a NULL answer and the error text, never a failed job.  Only prompts travel to Python.
     """
 
-    def answers(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def one(text):
             try:
                 return model([text], temperature)[0], None
@@ -112,7 +111,6 @@ def infer(
                 rows = [one(p) for p in prompts]
             yield pd.DataFrame(rows, columns=["raw", "error"])
 
-    answers.__annotations__ = {}
-    udf = F.pandas_udf(answers, "raw string, error string", functionType=F.PandasUDFType.SCALAR_ITER)
-    # a model call is expensive: asNondeterministic keeps it from being repeated or reordered by the optimizer
-    return df.withColumn("_answer", udf.asNondeterministic()(F.col(prompt))).select("*", "_answer.*").drop("_answer")
+    # a model call is dear: a nondeterministic function is not repeated or moved by the optimizer
+    udf = F.pandas_udf(answers, "raw string, error string").asNondeterministic()
+    return df.withColumn("_answer", udf(F.col(prompt))).select("*", "_answer.*").drop("_answer")

@@ -178,7 +178,7 @@ def test_js_functions_equal_a_plain_loop(files):
     texts = {f"f{i}.ts": "".join(rng.choices(words, k=rng.randint(0, 30))) for i in range(300)}
     plain = re.compile(
         r"\b(?:function\s+([a-zA-Z0-9_$]+)\s*\()|\b(?:const|let|var)\s+([a-zA-Z0-9_$]+)\s*=\s*(?:async\s*)?\(.*?\)\s*=>"
-        r"|\b([a-zA-Z0-9_$]+)\s*\((?:[^()]*|\([^()]*\))*\)\s*\{"
+        r"|\b([a-zA-Z0-9_$]+)\s*\((?:[^()]|\([^()]*\))*\)\s*\{"
     )
     out = JS.js_functions(files(texts)).orderBy("path", "seq").collect()
     got: dict[str, list[str]] = {}
