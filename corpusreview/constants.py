@@ -60,14 +60,15 @@ NO_QUALITY_ISSUE = "No simple code smells detected."
 
 # ---- security rules, in reporting order ------------------------------------------------------------------------------
 # (?i) with (?u) folds case over all of Unicode, (?U) makes \w \d \s \b Unicode-aware, (?d) lets "." stop at \n only.
+# A leading look-ahead at the first letters changes no match: it only lets most positions of a text fail at once.
 SECURITY_RULES = (
     (
         "hardcoded_secret",
-        r"(?iuUd)(password|secret|passwd|api_key|apikey|private_key|token)\s*=\s*['\"][a-zA-Z0-9_\-\+]{10,}['\"]",
+        r"(?iuUd)(?=[apst])(password|secret|passwd|api_key|apikey|private_key|token)\s*=\s*['\"][a-zA-Z0-9_\-\+]{10,}['\"]",
     ),
-    ("unsafe_execution", r"(?Ud)\b(eval|exec|subprocess\.Popen\(.*?shell\s*=\s*True|child_process\.exec)\b"),
-    ("sql_injection", r"(?iuUd)(SELECT|INSERT|UPDATE|DELETE).*?\+.*?\b"),
-    ("insecure_deserialization", r"(?Ud)\b(pickle\.loads|yaml\.load)\b"),
+    ("unsafe_execution", r"(?Ud)(?=[esc])\b(eval|exec|subprocess\.Popen\(.*?shell\s*=\s*True|child_process\.exec)\b"),
+    ("sql_injection", r"(?iuUd)(?=[siud])(SELECT|INSERT|UPDATE|DELETE).*?\+.*?\b"),
+    ("insecure_deserialization", r"(?Ud)(?=[py])\b(pickle\.loads|yaml\.load)\b"),
 )
 VULNERABILITY_TEXT = "Potential %s vulnerability detected."
 
@@ -100,8 +101,8 @@ JS_FUNCTION = (
 )
 JS_NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch")
 JS_CLASS = r"(?U)\bclass\s+([a-zA-Z0-9_$]+)"
-JS_IMPORT = r"(?Ud)\bimport\s+.*?\s+from\b|\brequire\s*\("
-JS_BRANCH = r"(?U)\b(if|for|while|catch|switch|case)\b|&&|\|\||\?"
+JS_IMPORT = r"(?Ud)(?=[ir])(?:\bimport\s+.*?\s+from\b|\brequire\s*\()"
+JS_BRANCH = r"(?U)(?=[ifwcs&|?])(?:\b(if|for|while|catch|switch|case)\b|&&|\|\||\?)"
 
 # ---- reviews and reports ---------------------------------------------------------------------------------------------
 SEVERITIES = ("critical", "warning", "info")

@@ -34,6 +34,7 @@ def _tree_udf():
 
     def trees(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ast
+        import re
         import warnings
 
         import pyarrow as pa
@@ -43,8 +44,9 @@ def _tree_udf():
         levels = (ast.If, ast.For, ast.While, ast.With, ast.Try)
         functions = (ast.FunctionDef, ast.AsyncFunctionDef)
         kept = {*branches, *functions, ast.ClassDef, ast.Import, ast.ImportFrom}
-        # nodes with nothing of interest below them
-        leaves = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.Pass, ast.Break, ast.Continue, ast.alias, ast.Global}
+        # nothing below these is kept; below expressions and plain statements only "and" / "or" are
+        leaves = {ast.Load, ast.Store, ast.Pass, ast.Break, ast.Continue, ast.alias, ast.Global}
+        plain = (ast.expr, ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return, ast.Delete, ast.Raise)
 
         def facts(node):
             """``weight, kind, name, is_async, has_docstring, names`` of a node that is kept."""
@@ -63,17 +65,28 @@ def _tree_udf():
                 return 0, "import", None, None, None, [a.name for a in node.names]
             return 0, "import", None, None, None, [f"{node.module or ''}.{a.name}" for a in node.names]
 
-        def children(node):
-            """Child nodes, last one first."""
+        line_end, boolean = re.compile(r"\r\n|\r|\n"), re.compile(r"\b(?:and|or)\b")
+
+        def boolean_lines(code):
+            """Running number of lines that hold ``and`` / ``or``."""
+            counts = [0]
+            for line in line_end.split(code):
+                counts.append(counts[-1] + (boolean.search(line) is not None))
+            return counts
+
+        def children(node, counts):
+            """Child nodes that can hold a kept node, last one first."""
             for field in reversed(node._fields):
                 value = getattr(node, field, None)
-                if isinstance(value, list):
-                    yield from (x for x in reversed(value) if isinstance(x, ast.AST) and type(x) not in leaves)
-                elif isinstance(value, ast.AST) and type(value) not in leaves:
-                    yield value
+                for x in reversed(value) if isinstance(value, list) else (value,):
+                    if isinstance(x, plain):
+                        if counts[x.end_lineno] > counts[x.lineno - 1]:
+                            yield x
+                    elif isinstance(x, ast.AST) and type(x) not in leaves:
+                        yield x
 
         def nodes(code):
-            rows, todo = [], [(ast.parse(code), 0, 0)]
+            rows, todo, counts = [], [(ast.parse(code), 0, 0)], boolean_lines(code)
             while todo:
                 node, level, depth = todo.pop()
                 if node is None:  # all below row number ``level`` is done
@@ -88,7 +101,7 @@ def _tree_udf():
                     todo.append((None, len(rows), 0))
                     span = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
                     rows.append([len(rows) + 1, None, level, depth, weight, None, None, *span, *rest])
-                todo += [(child, level + 1, depth) for child in children(node)]
+                todo += [(child, level + 1, depth) for child in children(node, counts)]
             return rows
 
         def listed(codes):

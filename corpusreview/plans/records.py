@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusreview.functions.arrays import computed_once
 from corpusreview.operators import selection
 from corpusreview.plans.templates import LINES, PY_BLOCKS
 
@@ -186,8 +187,12 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rendered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` keys with a rendered source text: Python blocks for one file in seven, template lines for the rest."""
+def rendered_orders(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """``orders`` keys with a rendered source text: Python blocks for one file in seven, template lines for the rest.
+
+    ``once`` renders before any filter on the text's size, for queries that need the text anyway; without it a query on
+    paths alone renders nothing.
+    """
     blocks, lines = F.array(*[F.lit(b) for b in PY_BLOCKS]), F.array(*[F.lit(x) for x in LINES])
     orders = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
     picks = (
@@ -206,22 +211,25 @@ def rendered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     content = "CASE WHEN _repeats = 1 THEN _body ELSE repeat(_body || chr(10), _repeats) END AS content"
+    if once:
+        return computed_once(picks, ["o_orderkey", "o_custkey"], content=F.expr(content.removesuffix(" AS content")))
     return picks.selectExpr("o_orderkey", "o_custkey", content)
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered_orders(spark, sf_dir).selectExpr(
+def code_files(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    return rendered_orders(spark, sf_dir, once).selectExpr(
         f"{CODE_REPO} AS repo", f"{CODE_PATH} AS path", "CAST(octet_length(content) AS BIGINT) AS size", "content"
     )
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_files(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """``repo, path, size, content`` of the whole corpus."""
-    return doc_files(spark, sf_dir).unionByName(page_files(spark, sf_dir)).unionByName(code_files(spark, sf_dir))
+    given = doc_files(spark, sf_dir).unionByName(page_files(spark, sf_dir))
+    return given.unionByName(code_files(spark, sf_dir, once))
 
 
 def analysed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.analysed(source_files(spark, sf_dir))
+    return selection.analysed(source_files(spark, sf_dir, once=True))
 
 
 # ---- reviews and replies ---------------------------------------------------------------------------------------------
