@@ -59,20 +59,6 @@ def sample(text: Column, chars: int) -> Column:
     return F.left(text, F.lit(chars))
 
 
-def running_totals(numbers: Column) -> Column:
-    """Inclusive running totals of an integer array that belongs to one row."""
-    start = F.array().cast("array<int>")
-    return F.aggregate(
-        numbers,
-        start,
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)),
-    )
-
-
-def newlines_in(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
 def format_text(template: str, *args: Column) -> Column:
     """Fill ``%s`` / ``%d`` places of a fixed message; plain concatenation, so it stays in generated code."""
     pieces = template.replace("%d", "%s").split("%s")

@@ -58,7 +58,7 @@ def markdown_blocks(docs: DataFrame, keys=("path",), text: str = "doc") -> DataF
 
     ``line_no`` is the 0-based line of the block (of the closing fence for code).  Fence lines come first in pairs:
     what lies between an opening and a closing fence is one ``code`` block, an unclosed fence loses its content.
-    A document is one value, so its fences are paired inside the row and nothing is shuffled.
+    A document is one model reply and so one value: its fences are paired inside the row and nothing is shuffled.
     """
     lines, fences = F.col("_lines"), F.col("_fences")
     marked = F.transform(lines, lambda x, i: F.when(x.startswith(FENCE), i))

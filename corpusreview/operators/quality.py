@@ -103,6 +103,11 @@ def docstring_template(code: Column, kind: Column) -> Column:
     )
 
 
+def register_tool_results(calls: DataFrame, name: str = "tool_results") -> None:
+    """Make the results of a table of calls available to SQL."""
+    run_tools(calls).createOrReplaceTempView(name)
+
+
 def run_tools(calls: DataFrame) -> DataFrame:
     """Result of each tool call ``(tool, code, language, file_path, element_type, complexity_score)``.
 

@@ -109,19 +109,21 @@ def run_report(reviews: DataFrame, discovered: DataFrame | None = None) -> DataF
 
 def fallback_stats(reviews: DataFrame, finished: DataFrame | None = None) -> DataFrame:
     """Totals of runs that ended without a final report: plain mean rounded half up, counts by exact severity."""
-    if finished is not None:
-        reviews = reviews.join(finished.select("run_id").distinct(), "run_id", "left_anti")
-    issues = F.col("issues")
+    none = F.array().cast(reviews.schema["issues"].dataType)
+    issues = F.coalesce(F.col("issues"), none)
     per_file = reviews.select(
         "run_id",
         F.coalesce(F.col("score"), F.lit(0.0)).cast(_SCORE).alias("_score"),
-        *[count_severity(F.coalesce(issues, F.array().cast(reviews.schema["issues"].dataType)), s).alias(s) for s in K.SEVERITIES],
+        *[count_severity(issues, s).alias(s) for s in K.SEVERITIES],
     )
     sums = per_file.groupBy("run_id").agg(
         F.count("*").alias("files_analyzed"),
         F.sum("_score").alias("_sum"),
         *[F.sum(s).alias(f"{s}_count") for s in K.SEVERITIES],
     )
+    if finished is not None:
+        # after the sums: one small row per run meets the finished runs
+        sums = sums.join(finished.select("run_id").distinct(), "run_id", "left_anti")
     mean = F.col("_sum") / F.col("files_analyzed").cast("decimal(20,0)")
     return sums.select(
         "run_id",

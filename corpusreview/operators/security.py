@@ -5,40 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusreview import constants as K
-from corpusreview.functions import text as T
 from corpusreview.functions.arrays import numbered_rows
 
 VULNERABILITY = "struct<type:string,line:int,match:string,description:string>"
 
 
-def located(code: Column, rule: str, pattern: str) -> Column:
-    """Matches of one rule as an array of ``(type, line, match, description)``.
+_MARK = "\u0001"
+
 
-    The line of match ``i`` is one more than the newlines in the gaps up to it and in the matches before it.  Gaps are
-    only cut out of texts that have a match.
+def match_lines(code: Column, pattern: str) -> Column:
+    """1-based line of each match, in text order.
+
+    Every match gets a mark in front, everything but marks and newlines is dropped, and the marks of line ``i`` are
+    turned into that many ``i``: linear in the text, whatever the number of matches.  Marks that are already in the text
+    become another control character first, which no rule tells apart.
     """
+    clean = F.translate(code, _MARK, "\u0002")
+    marks = F.regexp_replace(F.regexp_replace(clean, pattern, _MARK + "$0"), f"[^\n{_MARK}]+", "")
+    return F.flatten(F.transform(F.split(marks, "\n", -1), lambda line, i: F.array_repeat(i + 1, F.length(line))))
+
+
+def located(code: Column, rule: str, pattern: str) -> Column:
+    """Matches of one rule as an array of ``(type, line, match, description)``."""
 
     def build(matches: Column) -> Column:
-        gaps = F.transform(F.split(code, pattern, -1), T.newlines_in)
-        inner = F.transform(matches, T.newlines_in)
-        before = F.zip_with(
-            F.slice(gaps, 1, F.size(matches)),
-            F.concat(F.array(F.lit(0)), F.slice(inner, 1, F.size(matches) - 1)),
-            lambda gap, match: gap + match,
-        )
         return F.zip_with(
             matches,
-            T.running_totals(before),
-            lambda match, n: F.struct(
+            match_lines(code, pattern),
+            lambda match, line: F.struct(
                 F.lit(rule).alias("type"),
-                (n + 1).cast("int").alias("line"),
+                line.cast("int").alias("line"),
                 F.left(match, F.lit(K.MATCH_CHARS)).alias("match"),
                 F.lit(K.VULNERABILITY_TEXT % rule.replace("_", " ")).alias("description"),
             ),
         )
 
     none = F.array().cast(f"array<{VULNERABILITY}>")
-    # the one-element array binds the matches to a name, so the text is scanned once
+    # the one-element array binds the matches to a name, so the text is searched once; lines only where there are any
     found = F.array(F.regexp_extract_all(code, F.lit(pattern), F.lit(0)))
     return F.transform(found, lambda m: F.when(F.size(m) > 0, build(m)).otherwise(none))[0]
 
