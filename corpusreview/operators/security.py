@@ -20,7 +20,7 @@ def match_lines(code: Column, pattern: str) -> Column:
     turned into that many ``i``: linear in the text, whatever the number of matches.  Marks that are already in the text
     become another control character first, which no rule tells apart.
     """
-    clean = F.translate(code, _MARK, "\u0002")
+    clean = F.replace(code, F.lit(_MARK), F.lit("\u0002"))
     marks = F.regexp_replace(F.regexp_replace(clean, pattern, _MARK + "$0"), f"[^\n{_MARK}]+", "")
     return F.flatten(F.transform(F.split(marks, "\n", -1), lambda line, i: F.array_repeat(i + 1, F.length(line))))
 
