@@ -15,6 +15,7 @@ ISSUE = (
     "struct<severity:string,category:string,file_path:string,line_number:bigint,description:string,suggestion:string,"
     "code_snippet:string>"
 )
+ISSUE_FIELDS = ("severity", "category", "file_path", "line_number", "description", "suggestion", "code_snippet")
 _TAIL = "~end of reply~"
 _INT_TEXT = r"^\s*[+-]?[0-9]+(?:\.0*)?\s*$"
 _FLOAT_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
@@ -40,13 +41,16 @@ def _field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def kind(v: Column) -> Column:
-    """``STRING``, ``BIGINT``, ``DECIMAL``, ``DOUBLE``, ``BOOLEAN``, ``ARRAY``, ``OBJECT``, ``VOID``; NULL if absent."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+def _is(v: Column, *kinds: str) -> Column:
+    """The value is a ``STRING``, ``BIGINT``, ``DECIMAL``, ``DOUBLE``, ``BOOLEAN`` or ``VOID``; false if absent."""
+    schema = F.schema_of_variant(v)
+    plain = schema.isin([k for k in kinds if k != "DECIMAL"])
+    return F.coalesce(plain | schema.startswith("DECIMAL") if "DECIMAL" in kinds else plain, F.lit(False))
 
 
-def _is(v: Column, *kinds: str) -> Column:
-    return F.coalesce(kind(v).isin(list(kinds)), F.lit(False))
+def _is_object(v: Column) -> Column:
+    # reading the top level is much cheaper than deriving the schema of everything below
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _text(v: Column) -> Column:
@@ -79,34 +83,40 @@ def _integer(v: Column) -> Column:
     )
 
 
-def _issue(v: Column, defaults: dict[str, Column]) -> Column:
-    """The issue struct of one element, NULL if it is not a valid issue."""
-
-    def text(name: str) -> Column:
-        value = _field(v, name)
-        given = _text(value)
-        return F.when(value.isNull(), defaults[name]).otherwise(given) if name in defaults else given
-
-    severity, line, snippet = text("severity"), _field(v, "line_number"), _field(v, "code_snippet")
-    ok = _is(v, "OBJECT") & severity.isin(list(K.SEVERITIES))
-    for name in _TEXT_FIELDS:
-        ok = ok & text(name).isNotNull()
-    ok = ok & (_absent_or_null(line) | _integer(line).isNotNull())
-    ok = ok & (_absent_or_null(snippet) | _is(snippet, "STRING"))
-    issue = F.struct(
-        severity.alias("severity"),
-        text("category").alias("category"),
-        text("file_path").alias("file_path"),
-        _integer(line).alias("line_number"),
-        text("description").alias("description"),
-        text("suggestion").alias("suggestion"),
-        _text(snippet).alias("code_snippet"),
-    ).cast(ISSUE)
-    return F.when(F.coalesce(ok, F.lit(False)), issue)
+def _issues(elements: Column, defaults: dict[str, Column] | None = None) -> Column:
+    """Issue structs of the elements of an array, NULL where an element is not a valid issue."""
+    defaults = defaults or {}
+
+    def parts(v: Column) -> Column:
+        def text(name: str) -> Column:
+            value = _field(v, name)
+            given = _text(value)
+            return (F.when(value.isNull(), defaults[name]).otherwise(given) if name in defaults else given).alias(name)
+
+        line, snippet = _field(v, "line_number"), _field(v, "code_snippet")
+        return F.struct(
+            text("severity"),
+            text("category"),
+            text("file_path"),
+            _integer(line).alias("line_number"),
+            text("description"),
+            text("suggestion"),
+            _text(snippet).alias("code_snippet"),
+            (~_absent_or_null(line)).alias("has_line"),
+            (~_absent_or_null(snippet)).alias("has_snippet"),
+            # without defaults a text field is only found in an object
+            (_is_object(v) if defaults else F.lit(True)).alias("is_object"),
+        )
 
+    def checked(p: Column) -> Column:
+        ok = p["is_object"] & p["severity"].isin(list(K.SEVERITIES))
+        for name in _TEXT_FIELDS:
+            ok = ok & p[name].isNotNull()
+        ok = ok & (~p["has_line"] | p["line_number"].isNotNull()) & (~p["has_snippet"] | p["code_snippet"].isNotNull())
+        issue = F.struct(*[p[f].alias(f) for f in ISSUE_FIELDS]).cast(ISSUE)
+        return F.when(F.coalesce(ok, F.lit(False)), issue)
 
-def _issues(elements: Column, defaults: dict[str, Column] | None = None) -> Column:
-    return F.transform(elements, lambda v: _issue(v, defaults or {}))
+    return F.transform(F.transform(elements, parts), checked)
 
 
 def _no_issues() -> Column:
@@ -132,7 +142,7 @@ def with_checked_review(df: DataFrame, raw: str = "raw") -> DataFrame:
     reason = (
         F.when(F.col(raw).isNull(), "no_reply")
         .when(root.isNull(), "invalid_json")
-        .when(~_is(root, "OBJECT"), "not_an_object")
+        .when(~_is_object(root), "not_an_object")
         .when(issues.isNull(), "issues_not_a_list")
         .when(F.exists(issues, lambda i: i.isNull()), "invalid_issue")
         .when(score.isNull(), "score_not_a_number")
@@ -200,7 +210,7 @@ def parse_docs(df: DataFrame, raw: str = "raw") -> DataFrame:
             "status",
             F.when(F.col(raw).isNull(), "no_reply")
             .when(root.isNull(), "invalid_json")
-            .when(~_is(root, "OBJECT"), "not_an_object")
+            .when(~_is_object(root), "not_an_object")
             .when(value.isNull(), "missing_key")
             .when(~_is(value, "STRING"), "not_a_text")
             .otherwise("ok"),
