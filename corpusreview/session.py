@@ -32,7 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        # only reached where the cluster names no folder, as in tests on one machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # one machine, as in tests
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusreview-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
