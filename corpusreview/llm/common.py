@@ -57,9 +57,9 @@ def plain_texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes of all words in order, the number of words of each text, and the words by code."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     owner = pc.list_parent_indices(lists).to_numpy()
     if len(flat):

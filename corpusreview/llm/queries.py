@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusreview.llm import fingerprints
+from corpusreview.llm import bpe, fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op6_bpe": bpe.op6_bpe,
 }
 
 ORACLES: dict[str, str] = {}
