@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusreview.llm import bpe, fingerprints, mixing, topk
+from corpusreview.llm import bpe, fingerprints, mixing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op5_topk": topk.op5_topk,
     "op6_bpe": bpe.op6_bpe,
+    "op7_quality": quality.op7_quality,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 ORACLES: dict[str, str] = {
     "op5_topk": topk.OP5_SQL,
+    "op7_quality": quality.op7_quality,
     "op8_mix_sources": mixing.OP8_SQL,
 }
