@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusreview.session import fresh_folder
@@ -81,9 +80,18 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def hash_words(dictionary: pa.Array) -> np.ndarray:
-    """One 64-bit hash per distinct word, the same in every task."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(dictionary))
+    """One 64-bit hash per distinct word, the same in every task: the sum of a mixed number for each byte at its place."""
+    words_ = dictionary.cast(pa.large_binary())
+    buffers = words_.buffers()
+    ends = np.frombuffer(buffers[1], np.int64)[words_.offset : words_.offset + len(words_) + 1]
+    if not len(words_) or ends[-1] == ends[0]:
+        return mix(np.zeros(len(words_), np.uint64))
+    data = np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    lengths = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], lengths)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(data + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)), dtype=np.uint64)])
+    starts = ends - ends[0]
+    return mix(sums[starts[1:]] - sums[starts[:-1]] + lengths.astype(np.uint64))
 
 
 def shingles(word_hashes: np.ndarray, counts: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusreview.llm import common
 
 
+#: Rounds that compare members of a list with one of them before the rest is compared pair by pair.
+STAR_ROUNDS = 3
+
+
 def _stars(links: DataFrame) -> DataFrame:
     """One large-star and one small-star step on links ``u, v``: every node is tied to a smaller node of its component."""
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,3 +41,52 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(seen)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)
+
+
+def linked_by_lists(lists: DataFrame, may_link: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, label`` of the nodes of all lists; the label is the smallest node that links reach.
+
+    ``lists`` has ``key, node`` and columns that ``may_link(a, b)``, a condition on two aliases, reads; nodes that share a key
+    and pass it are candidates, ``verified`` gives those of the pairs ``u, v`` that link.  In a few rounds the members of every
+    list that spans several components are compared with one of them, so a large group of copies costs about one comparison
+    for each member and list; then all candidates that still lie in different components are compared.  Pairs inside a
+    component cannot change it, so no link between components is left out, and no pair is verified twice.
+    """
+    payload = [c for c in lists.columns if c not in ("key", "node")]
+    lists = lists.join(lists.groupBy("key").count().filter("count > 1").select("key"), "key")
+    lists = common.write_stage(lists.select("key", "node", *payload), "lists")
+    labels = common.write_stage(lists.select("node", F.col("node").alias("label")).distinct(), "labels")
+    done = None
+    for turn in range(STAR_ROUNDS + 1):
+        placed = lists.join(labels, "node")
+        spans = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        placed = common.write_stage(placed.join(spans.select("key"), "key"), "open-lists")
+        if placed.isEmpty():
+            break
+        centres = placed
+        if turn < STAR_ROUNDS:
+            # the first round takes the same member of overlapping lists, later rounds others
+            order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+            centres = placed.groupBy("key").agg(F.min_by(F.struct("node", "label", *payload), order).alias("c")).select("key", "c.*")
+        pairs = (
+            placed.alias("a")
+            .join(centres.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b"))
+            .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+            .distinct()
+        )
+        if done is not None:
+            pairs = pairs.join(done, ["u", "v"], "left_anti")
+        pairs = common.write_stage(pairs, "pairs")
+        found = common.write_stage(verified(pairs), "links")
+        if not found.isEmpty():
+            ends = found.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(
+                labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v"
+            )
+            merged = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+            merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+            labels = common.write_stage(
+                labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels"
+            )
+        done = pairs if done is None else done.unionAll(pairs)
+        lists = placed.drop("label")
+    return labels

@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusreview.llm import common
-from corpusreview.llm.components import components
+from corpusreview.llm.components import linked_by_lists
 
 #: Two documents link when ``PARTS * shared >= OF * (sum of sizes)``: a Jaccard similarity of at least 3 / 4.
 PARTS, OF = 7, 3
 #: Bits of a shingle's hash; slots of the hash range whose counts bound what two documents can share.
 HASH_BITS = 48
 SLOTS = 8
-#: Rounds that compare documents with one document of each list before the rest is compared pair by pair.
-STAR_ROUNDS = 3
 
 _LISTS = "kind int, part int, chunk bigint, data binary"
 
@@ -213,58 +211,15 @@ def _may_link(a: str, b: str):
 def linked_classes(sets: DataFrame) -> DataFrame:
     """``class, label`` of the classes that link with others; the label is the smallest class of the component.
 
-    Lists of the prefix shingles join candidates.  In a few rounds the members of every list that spans several components
-    are compared with one of them, so a large group of copies costs about one comparison per member; then the pairs that
-    still lie in different components are compared one by one.  No link between components is left out.
+    The lists of the prefix shingles give the candidates; a pair is verified once, by its shared shingles.
     """
     partnered = sets.filter("prefix > 0").groupBy("class").agg(
         *[F.first(c).alias(c) for c in ("size", "alone", "prefix", "shared", "slots")]
     )
     partnered = common.write_stage(partnered, "partnered")
-    entries = partnered.select("class", "size", "alone", "slots", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("place", "shingle"))
-    entries = entries.select("shingle", "class", "size", (F.col("alone") + F.col("place")).alias("at"), "slots")
-    labels = partnered.select(F.col("class"), F.col("class").alias("label"))
-    open_lists = common.write_stage(
-        entries.join(entries.groupBy("shingle").count().filter("count > 1").select("shingle"), "shingle"), "lists"
-    )
-    done = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = open_lists.join(labels, "class")
-        spans = placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        placed = common.write_stage(placed.join(spans.select("shingle"), "shingle"), "open-lists")
-        if placed.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            # the first round takes the same member of overlapping lists, later rounds others
-            lead = F.min_by(F.struct("class", "label", "size", "at", "slots"), F.col("class") if not turn else F.xxhash64("class", F.lit(turn)))
-            centres = placed.groupBy("shingle").agg(lead.alias("c")).select("shingle", "c.*")
-        else:
-            centres = placed
-        pairs = (
-            placed.alias("a")
-            .join(centres.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.label") != F.col("b.label")) & _may_link("a", "b"))
-            .filter("true" if turn < STAR_ROUNDS else "a.class < b.class")
-            .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v"))
-            .distinct()
-        )
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = common.write_stage(pairs, "pairs")
-        found = common.write_stage(_verified(pairs, partnered), "links")
-        if not found.isEmpty():
-            ends = found.join(labels.select(F.col("class").alias("u"), F.col("label").alias("lu")), "u").join(
-                labels.select(F.col("class").alias("v"), F.col("label").alias("lv")), "v"
-            )
-            merged = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-            labels = common.write_stage(
-                labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select(
-                    "class", F.coalesce("new", "label").alias("label")
-                ),
-                "labels",
-            )
-        done = pairs if done is None else done.unionAll(pairs)
-        open_lists = placed.drop("label")
-    return labels
+    entries = partnered.select("class", "size", "alone", "slots", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("place", "key"))
+    lists = entries.select("key", F.col("class").alias("node"), "size", (F.col("alone") + F.col("place")).alias("at"), "slots")
+    return linked_by_lists(lists, _may_link, lambda pairs: _verified(pairs, partnered)).withColumnRenamed("node", "class")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusreview.llm import bpe, fingerprints, mixing, ngram_join, quality, topk
+from corpusreview.llm import bpe, fingerprints, lines, mixing, ngram_join, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": quality.op7_quality,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
