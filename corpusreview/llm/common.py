@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusreview.session import fresh_folder
@@ -120,3 +121,43 @@ def shingles(word_hashes: np.ndarray, counts: np.ndarray, width: int = SHINGLE_W
 def split_by(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """One array per text."""
     return np.split(values, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, byte plane by byte plane, compressed."""
+    parts = [np.array([len(arrays)], "<u8").tobytes()]
+    for array in arrays:
+        wide = array.astype("<u8", copy=False)
+        width = (int(wide.max()).bit_length() + 7) // 8 if len(wide) else 0
+        parts.append(np.array([len(wide), width], "<u8").tobytes())
+        parts.append(wide.view(np.uint8).reshape(-1, 8).T[:width].tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """What ``pack`` got, as 64-bit numbers."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    arrays, at = [], 8
+    for _ in range(int(raw[:8].view("<u8")[0])):
+        size, width = (int(x) for x in raw[at : at + 16].copy().view("<u8"))
+        at += 16
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        arrays.append(wide.view("<u8").ravel())
+        at += size * width
+    return arrays
+
+
+def grouped(batches: Iterable[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[tuple[object, list[tuple]]]:
+    """The rows of each value of ``key``; rows come sorted by it."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in (key, *columns))):
+            if held and at != now:
+                yield now, held
+                held = []
+            now = at
+            held.append(tuple(row))
+    if held:
+        yield now, held

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusreview.llm import bpe, fingerprints, html_text, lines, mixing, ngram_join, quality, topk
+from corpusreview.llm import bpe, fingerprints, html_text, lines, lm, mixing, ngram_join, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": lm.op1_lm_scores,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_html_text": html_text.op3_html_text,
     "op5_topk": topk.op5_topk,
