@@ -62,7 +62,9 @@ def _invert(parts: int):
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             classes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             ids = piece.column("doc_id")
-            documents = pa.record_batch({"doc_id": ids, "size": pa.array(sizes), "class": pa.array(classes)})
+            documents = pa.record_batch(
+                {"doc_id": ids, "text_key": piece.column("text_key"), "size": pa.array(sizes), "class": pa.array(classes)}
+            )
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, documents.schema) as stream:
                 stream.write_batch(documents)
@@ -86,25 +88,9 @@ def _invert(parts: int):
     return run
 
 
-def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
-    """Rows ``kind, chunk, data`` of each value of ``key``; rows come sorted by it."""
-    held: list[tuple[int, int, bytes]] = []
-    now = None
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in (key, "kind", "chunk", "data")]
-        for at, *row in zip(*columns):
-            if at != now and held:
-                yield now, held
-                held = []
-            now = at
-            held.append(tuple(row))
-    if held:
-        yield now, held
-
-
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequency of the shingles of a range; those of several documents go back to their chunks."""
-    for part, rows in _groups(batches, "part"):
+    for part, rows in common.grouped(batches, "part", ["kind", "chunk", "data"]):
         for kind, chunk, data in rows:
             if kind == 0:
                 yield _rows([0], [part], [chunk], [data])
@@ -132,11 +118,11 @@ def _order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Shingles of one document alone come first of all; they are counted but not listed, as nothing can match them.
     """
-    for _, rows in _groups(batches, "chunk"):
-        data = next(d for kind, _, d in rows if kind == 0)
+    for _, rows in common.grouped(batches, "chunk", ["kind", "data"]):
+        data = next(d for kind, d in rows if kind == 0)
         documents = pa.ipc.open_stream(data).read_all().combine_chunks()
         sizes, classes = documents["size"].to_numpy(), documents["class"].to_numpy()
-        lists = [_unpack(d, True) for kind, _, d in rows if kind == 1]
+        lists = [_unpack(d, True) for kind, d in rows if kind == 1]
         hashes, places, counts = (np.concatenate([x[i] for x in lists]) if lists else np.zeros(0, np.uint64) for i in range(3))
         order = np.lexsort((hashes, counts, places))
         hashes, places = hashes[order].view(np.int64), places[order].astype(np.int64)
@@ -155,6 +141,7 @@ def _order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             {
                 "doc_id": documents["doc_id"].combine_chunks(),
+                "text_key": documents["text_key"].combine_chunks(),
                 "class": pa.array(classes, mask=sizes == 0),
                 "size": pa.array(sizes),
                 "alone": pa.array(alone.astype(np.int64)),
@@ -166,7 +153,7 @@ def _order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, class, size, alone, prefix, shared, slots`` of every document, in the shared folder.
+    """``doc_id, text_key, class, size, alone, prefix, shared, slots`` of every document, in the shared folder.
 
     ``class`` is a digest of the document's shingle set (null if it is empty), ``size`` the size of the set, ``alone`` how
     many of its shingles no other listed document has, ``shared`` the others in the order of (document frequency, hash), given
@@ -176,11 +163,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     documents, and the shared ones go back.  ``docs`` must come from a table, whose partitions hold the same rows on a retry.
     """
     partitions = common.shuffle_partitions(docs.sparkSession)
-    lists = docs.select("doc_id", "text").mapInArrow(_invert(partitions), _LISTS)
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    lists = keyed.mapInArrow(_invert(partitions), _LISTS)
     counted = lists.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_count, _LISTS)
     ordered = counted.repartition(partitions, "chunk").sortWithinPartitions("chunk").mapInArrow(
         _order,
-        "doc_id bigint, class bigint, size bigint, alone bigint, prefix int, shared array<bigint>, slots array<int>",
+        "doc_id bigint, text_key bigint, class bigint, size bigint, alone bigint, prefix int, shared array<bigint>, slots array<int>",
     )
     return common.write_stage(ordered, "shingle-sets")
 
@@ -222,24 +210,29 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     return linked_by_lists(lists, _may_link, lambda pairs: _verified(pairs, partnered)).withColumnRenamed("node", "class")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more link.
-
-    ``component_id`` is the smallest id of the documents reachable by links, the document itself included.  Documents with
-    equal sets form one class and are compared once.  A null text counts as empty; a document without words links with
-    nothing.  Rows with equal ids are rows of their own; a null id counts as larger than all others.  Other columns are ignored.
-    """
+def grouped_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n_shingles, label, component_id`` of every document; ``label`` (null without words) names its group."""
     sets = shingle_sets(docs)
     labels = linked_classes(sets)
-    documents = sets.select("doc_id", "class", "size")
+    documents = sets.select("doc_id", "text_key", "class", "size")
     lowest = documents.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("lowest"))
     named = lowest.join(labels, "class", "left").select("class", F.coalesce("label", "class").alias("label"), "lowest")
     groups = named.groupBy("label").agg(F.min("lowest").alias("component"))
-    named = named.join(groups, "label").select("class", "component")
+    named = named.join(groups, "label").select("class", "label", "component")
     return documents.join(named, "class", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", "text_key", F.col("size").alias("n_shingles"), "label", F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more link.
+
+    ``component_id`` is the smallest id of the documents reachable by links, the document itself included.  Documents with
+    equal sets form one class and are compared once.  A null text counts as empty; a document without words links with
+    nothing.  Rows with equal ids are rows of their own; a null id counts as larger than all others.  Other columns are ignored.
+    """
+    return grouped_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

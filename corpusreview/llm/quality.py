@@ -214,11 +214,11 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
 def text_score(model: Model):
     """A column function: the score of a text."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        batch = pa.record_batch({"text": pa.array(texts, pa.large_string())})
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.record_batch({"text": texts})
         pieces = [model.score(statistics(common.plain_texts(p.column("text")))) for p in common.text_chunks([batch])]
-        return pd.Series(np.concatenate(pieces) if pieces else np.zeros(0))
+        return pa.array(np.concatenate(pieces) if pieces else np.zeros(0))
 
     return score
 

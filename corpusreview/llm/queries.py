@@ -6,22 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusreview.llm import bpe, fingerprints, html_text, lines, lm, mixing, ngram_join, quality, topk
+import corpus_pipeline
+from corpusreview.llm import bpe, fingerprints, html_text, licenses, lines, lm, mixing, ngram_join, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": lm.op1_lm_scores,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_html_text": html_text.op3_html_text,
+    "op4_licenses": licenses.op4_licenses,
     "op5_topk": topk.op5_topk,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_line_dedup": lines.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op5_topk": topk.OP5_SQL,
-    "op7_quality": quality.op7_quality,
     "op8_mix_sources": mixing.OP8_SQL,
 }
