@@ -130,6 +130,9 @@ def parse(page: str) -> Node:
         at = token.end()
         name = token["tag"] or token["tag2"]
         if name is None:
+            raw = token["raw"]
+            if raw and not re.search(rf"</{raw}\s*+>\Z", token[0], re.I) or token[0].startswith("<!--") and not token[0].endswith("-->"):
+                at = len(page)  # never closed
             continue
         tag = name.lower()
         rest = token["rest"] or token["rest2"] or ""

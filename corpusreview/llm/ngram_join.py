@@ -19,7 +19,7 @@ from corpusreview.llm.components import linked_by_lists
 PARTS, OF = 7, 3
 #: Bits of a shingle's hash; slots of the hash range whose counts bound what two documents can share.
 HASH_BITS = 48
-SLOTS = 8
+SLOTS = 64
 
 _LISTS = "kind int, part int, chunk bigint, data binary"
 

@@ -113,7 +113,8 @@ def top_products(queries: DataFrame, rows: DataFrame, k: int = K, query_block: i
     which is broadcast to a scan of all rows; every task keeps the best ``k`` of its rows per query, and a ranking joins
     them.  Null ids, null vectors and vectors with null or non-finite components take no part.  Vectors of other lengths
     count as filled up with zeros.  Rows with the query's id are its own.  A repeated row is ranked as often as it occurs; of
-    several queries with one id the smallest vector counts.  Scores outside the range of a long are shown as its end.
+    several queries with one id the smallest vector counts.  Scores outside the range of a long become
+    its end and tie.
     """
     asked = (
         queries.filter(F.col("vec_id").isNotNull() & _valid("embedding"))
