@@ -665,15 +665,19 @@ SELECT run_id, 'report' AS kind, CAST(-1 AS BIGINT) AS seq, CAST(to_json({{'run_
 UNION ALL SELECT run_id, 'review', seq, {SPARSE} FROM nested""")
 oracle("event_rows", f"""{REVIEW_ROWS},
 dc AS (SELECT run_id, count(*) FILTER (WHERE language <> 'unknown') AS files, count(*) AS total_files FROM disc GROUP BY run_id),
-rs AS (SELECT *, files_analyzed AS total_files, {LABEL.format(s='overall_score')} AS quality_label FROM sums)""", f"""
+gone AS (SELECT run_id FROM dc WHERE files = 0),
+done AS (SELECT run_id, count(*) AS files_analyzed, CAST(sum(critical) AS BIGINT) AS critical_count, CAST(sum(warning) AS BIGINT) AS warning_count,
+  CAST(sum(info) AS BIGINT) AS info_count, {half_even("sum(CAST(round(score * 10) AS BIGINT) * CAST(w * 10 AS BIGINT))", "sum(CAST(w * 10 AS BIGINT))")} AS overall_score
+  FROM rc WHERE (seq * 37) % 60000 <= 51200 AND run_id NOT IN (FROM gone) GROUP BY run_id),
+rs AS (SELECT *, files_analyzed AS total_files, {LABEL.format(s='overall_score')} AS quality_label FROM done)""", f"""
 SELECT c_custkey AS run_id, 0 AS stage, CAST(0 AS BIGINT) AS seq, 'clone_start' AS event,
   '{{"repo_url":"https://example.org/r' || CAST(c_custkey AS STRING) || '","branch":null}}' AS data FROM customer
 UNION ALL SELECT run_id, 1, 0, 'clone_complete', '{{"files":' || CAST(files AS STRING) || ',"total_files":' || CAST(total_files AS STRING)
   || ',"repo_url":"https://example.org/r' || CAST(run_id AS STRING) || '"}}' FROM dc
 UNION ALL SELECT run_id, 2, 0, 'error', '{{"message":"{K.NO_FILES_MESSAGE}"}}' FROM dc WHERE files = 0
-UNION ALL SELECT run_id, 3, seq, 'file_start', '{{"file":"' || file_path || '","language":"' || language || '"}}' FROM rv
-UNION ALL SELECT run_id, 3, seq, 'file_skip', '{{"file":"' || file_path || '","reason":"{K.SKIP_REASON}"}}' FROM rv WHERE (seq * 37) % 60000 > 51200
-UNION ALL SELECT run_id, 3, seq, 'file_complete', '{{"review":' || CAST(to_json(r) AS STRING) || '}}' FROM nested
+UNION ALL SELECT run_id, 3, seq, 'file_start', '{{"file":"' || file_path || '","language":"' || language || '"}}' FROM rv WHERE run_id NOT IN (FROM gone)
+UNION ALL SELECT run_id, 3, seq, 'file_skip', '{{"file":"' || file_path || '","reason":"{K.SKIP_REASON}"}}' FROM rv WHERE (seq * 37) % 60000 > 51200 AND run_id NOT IN (FROM gone)
+UNION ALL SELECT run_id, 3, seq, 'file_complete', '{{"review":' || CAST(to_json(r) AS STRING) || '}}' FROM nested WHERE (seq * 37) % 60000 <= 51200 AND run_id NOT IN (FROM gone)
 UNION ALL SELECT run_id, 4, 0, 'analysis_complete', '{{"report":' || CAST(to_json({{'total_files': total_files,
   'files_analyzed': files_analyzed, 'overall_score': overall_score, 'critical_count': critical_count, 'warning_count': warning_count,
   'info_count': info_count, 'quality_label': quality_label, 'summary': {SUMMARY}}}) AS STRING) || '}}' FROM rs""")
@@ -747,7 +751,9 @@ s1 AS (SELECT l.repo AS run_id, total_files, coalesce(files_analyzed, 0) AS file
   coalesce(critical_count, 0) AS critical_count, coalesce(warning_count, 0) AS warning_count, coalesce(info_count, 0) AS info_count
   FROM (SELECT repo, count(*) AS total_files FROM listed GROUP BY repo) l LEFT JOIN ss ON ss.repo = l.repo),
 s2 AS (SELECT *, {LABEL.format(s='overall_score')} AS quality_label FROM s1)"""
-oracle("static_report", STATIC, f"SELECT run_id, {REPORT_COLUMNS}, {SUMMARY} AS summary FROM s2")
+oracle("static_report", STATIC, f"""SELECT run_id, {REPORT_COLUMNS}, {SUMMARY} AS summary, coalesce(files_skipped, 0) AS files_skipped
+FROM s2 LEFT JOIN (SELECT repo, count(*) AS files_skipped FROM listed WHERE size > 51200 AND lower(language) IN ('python', 'javascript', 'typescript', 'java')
+  GROUP BY repo) ON repo = run_id""")
 oracle("static_categories", STATIC, """
 SELECT repo AS run_id, category, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning,
   count(*) FILTER (WHERE severity = 'info') AS info, count(*) AS total FROM found GROUP BY repo, category""")

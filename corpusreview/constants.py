@@ -70,6 +70,14 @@ SECURITY_RULES = (
     ("sql_injection", r"(?iuUd)(?=[siud])(SELECT|INSERT|UPDATE|DELETE).*?\+.*?\b"),
     ("insecure_deserialization", r"(?Ud)(?=[py])\b(pickle\.loads|yaml\.load)\b"),
 )
+# The same matches in linear time: a start without a later "+" takes the rest of its line in one step, as no later start of
+# the line can match either.  Group 1 is empty for such a stretch, which is no match.
+LINEAR_RULES = {"sql_injection": r"(?iuUd)(?=[siud])(?:SELECT|INSERT|UPDATE|DELETE)(?:([^+\n]*+\+.*?\b)|[^\n]*+)"}
+# every match of any rule holds one of these
+SECURITY_HEADS = (
+    r"(?iuUd)(?=[apsteciudy])(?:password|secret|passwd|api_?key|private_key|token|eval|exec|subprocess\.Popen|select|insert|update"
+    r"|delete|pickle\.loads|yaml\.load)"
+)
 VULNERABILITY_TEXT = "Potential %s vulnerability detected."
 
 # ---- refactoring and docstring tools ---------------------------------------------------------------------------------

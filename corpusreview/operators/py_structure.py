@@ -86,21 +86,25 @@ def _tree_udf():
                         yield x
 
         def nodes(code):
-            rows, todo, counts = [], [(ast.parse(code), 0, 0)], boolean_lines(code)
+            rows, open_rows, todo, counts = [], [], [(ast.parse(code), 0, 0)], boolean_lines(code)
             while todo:
                 node, level, depth = todo.pop()
-                if node is None:  # all below row number ``level`` is done
+                if node is None:  # all below row number ``level`` is done: its sums go to the row above
                     row = rows[level]
                     row[1] = len(rows)
-                    row[5] = sum(r[4] for r in rows[level:])
-                    row[6] = max(r[3] for r in rows[level:])
+                    open_rows.pop()
+                    if open_rows:
+                        above = rows[open_rows[-1]]
+                        above[5] += row[5]
+                        above[6] = max(above[6], row[6])
                     continue
                 if type(node) in kept:
                     depth += isinstance(node, levels)
                     weight, *rest = facts(node)
                     todo.append((None, len(rows), 0))
                     span = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
-                    rows.append([len(rows) + 1, None, level, depth, weight, None, None, *span, *rest])
+                    open_rows.append(len(rows))
+                    rows.append([len(rows) + 1, None, level, depth, weight, weight, depth, *span, *rest])
                 todo += [(child, level + 1, depth) for child in children(node, counts)]
             return rows
 
@@ -110,7 +114,7 @@ def _tree_udf():
                 try:
                     rows += nodes(code) if code is not None else []
                     errors.append(None if code is None else False)
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                except (SyntaxError, ValueError, RecursionError):
                     errors.append(True)
                 offsets.append(len(rows))
             columns = list(zip(*rows)) if rows else [()] * len(node_type)

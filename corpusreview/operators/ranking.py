@@ -2,38 +2,43 @@
 
 ``sum() over (partition by run order by seq)`` puts a whole run into one task, and one run may hold a third of all
 rows.  Here a group is cut into blocks of the (integer) order column: rows are summed inside their block, block totals
-are summed over the group - one small row per block - and the two are added.  A block holds at most ``BLOCK`` values of
-the order column, whatever the size of the group.
+are summed over the group in the same way, with blocks of blocks, and the two are added.  A window of any level holds
+at most as many entries as the level has values - a million rows, or four million block totals - whether ids are dense
+or sparse and however large the group is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-BLOCK = 1 << 18
+#: Values of the order column in a block, and blocks in a block of the next level.
+BLOCKS = (1 << 20, 1 << 22)
 
 
 def running_sum(
-    df: DataFrame, value, group: list[str], order: list[str], into: str, lead: tuple[str, ...] = (), block: int = BLOCK
+    df: DataFrame, value, group: list[str], order: list[str], into: str, lead: tuple[str, ...] = (), blocks=BLOCKS
 ) -> DataFrame:
     """Add ``into``: running sum of ``value`` within ``group`` in the order ``lead + order``.
 
     ``order[0]`` is an integer; ``lead`` are low-cardinality columns sorted before it (a severity rank).  Rows stay
     whole: blocks only decide where a row is summed.
     """
-    keys = [*group, *lead, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(order[0]) / F.lit(block))).withColumn("_value", value)
+    valued = df.withColumn("_value", value)
+    if not blocks:
+        upto = W.partitionBy(*group).orderBy(*lead, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return valued.withColumn(into, F.sum("_value").over(upto)).select(*df.columns, into)
+    block = f"_block{len(blocks)}"
+    keys = [*group, *lead, block]
+    blocked = valued.withColumn(block, F.floor(F.col(order[0]) / F.lit(blocks[0])))
     totals = blocked.groupBy(*keys).agg(F.sum("_value").alias("_total"))
-    earlier = W.partitionBy(*group).orderBy(*lead, "_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_o_{k}") for k in keys], F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
-    )
+    ends = running_sum(totals, F.col("_total"), group, [block], "_end", lead, blocks[1:])
+    offsets = ends.select(*[F.col(k).alias(f"_o_{k}") for k in keys], (F.col("_end") - F.col("_total")).alias("_offset"))
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = blocked.withColumn("_local", F.sum("_value").over(inside))
     same_block = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
     return local.join(offsets, same_block).select(*df.columns, (F.col("_local") + F.col("_offset")).alias(into))
 
 
-def position(df: DataFrame, group: list[str], order: list[str], into: str = "position", lead=(), block=BLOCK):
+def position(df: DataFrame, group: list[str], order: list[str], into: str = "position", lead=(), blocks=BLOCKS):
     """Add the 1-based position of each row in its group."""
-    return running_sum(df, F.lit(1), group, order, into, tuple(lead), block)
+    return running_sum(df, F.lit(1), group, order, into, tuple(lead), blocks)

@@ -16,7 +16,6 @@ ISSUE = (
     "code_snippet:string>"
 )
 ISSUE_FIELDS = ("severity", "category", "file_path", "line_number", "description", "suggestion", "code_snippet")
-_TAIL = "~end of reply~"
 _INT_TEXT = r"^\s*[+-]?[0-9]+(?:\.0*)?\s*$"
 _FLOAT_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 _NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
@@ -28,13 +27,13 @@ _DEFAULTS = {"severity": "info", "category": "general", "description": "", "sugg
 def strict_json(raw: Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else NULL.
 
-    The parser stops after the first value; the text is therefore read as the first of two array elements, which fails
-    or changes the element count when anything follows the value.
+    The parser stops after the first value; the text is therefore read as the first of two array elements, the second of
+    which is the text's own digest.  A text that closes the array itself cannot spell its digest.
     """
-    both = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_TAIL}"]'))), "$", "array<variant>"
-    )
-    return F.transform(F.array(both), lambda x: F.when(F.size(x) == 2, x[0]))[0]
+    mark = F.md5(raw)
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]'))), "$", "array<variant>")
+    whole = lambda x: (F.size(x) == 2) & F.coalesce(F.try_variant_get(x[1], "$", "string") == mark, F.lit(False))
+    return F.transform(F.array(both), lambda x: F.when(whole(x), x[0]))[0]
 
 
 def _field(v: Column, name: str) -> Column:

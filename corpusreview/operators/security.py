@@ -28,8 +28,11 @@ def match_lines(code: Column, pattern: str) -> Column:
 def located(code: Column, rule: str, pattern: str) -> Column:
     """Matches of one rule as an array of ``(type, line, match, description)``."""
 
+    linear = K.LINEAR_RULES.get(rule) if pattern == dict(K.SECURITY_RULES).get(rule) else None
+    pattern = linear or pattern
+
     def build(matches: Column) -> Column:
-        return F.zip_with(
+        rows = F.zip_with(
             matches,
             match_lines(code, pattern),
             lambda match, line: F.struct(
@@ -39,6 +42,10 @@ def located(code: Column, rule: str, pattern: str) -> Column:
                 F.lit(K.VULNERABILITY_TEXT % rule.replace("_", " ")).alias("description"),
             ),
         )
+        if not linear:
+            return rows
+        live = F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+        return F.transform(F.filter(F.arrays_zip(rows.alias("row"), live.alias("live")), lambda x: x["live"] != ""), lambda x: x["row"])
 
     none = F.array().cast(f"array<{VULNERABILITY}>")
     # the one-element array binds the matches to a name, so the text is searched once; lines only where there are any
@@ -47,8 +54,10 @@ def located(code: Column, rule: str, pattern: str) -> Column:
 
 
 def vulnerabilities(code: Column, rules=K.SECURITY_RULES) -> Column:
-    """All rules, in rule order then text order."""
-    return F.concat(*[located(code, rule, pattern) for rule, pattern in rules])
+    """All rules, in rule order then text order; texts without any rule's head word are searched once."""
+    none = F.array().cast(f"array<{VULNERABILITY}>")
+    found = F.concat(*[located(code, rule, pattern) for rule, pattern in rules])
+    return F.when(code.rlike(K.SECURITY_HEADS), found).otherwise(F.when(code.isNotNull(), none))
 
 
 def with_vulnerabilities(df: DataFrame, rules=K.SECURITY_RULES) -> DataFrame:

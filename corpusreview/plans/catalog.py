@@ -32,6 +32,7 @@ from corpusreview.plans import records as R
 from corpusreview.plans import review
 from corpusreview.session import fresh_folder
 from corpusreview.sources import event_log, sinks, source_tree
+from corpusreview.sources.locations import open_location
 from corpusreview.streaming import jobs, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,13 +52,12 @@ def joined(array: Column, by: str = ",") -> Column:
 def _export_pages(spark: SparkSession, sf_dir: str) -> str:
     """Write each page as a file of a source tree below the shared folder; returns its root."""
     root = fresh_folder(spark, "tree")
-    pages = R.spread(R.table(spark, sf_dir, "pages"))
+    pages = R.table(spark, sf_dir, "pages")
 
     def save(batches):
         import pandas as pd
-        from pyarrow import fs
 
-        files, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        files, base = open_location(root)
         for batch in batches:
             for page_id, html in zip(batch["page_id"], batch["html"]):
                 folder = f"{base}/site{page_id % 7}/{'_pkg' if page_id % 2 else 'node_modules'}"
@@ -96,7 +96,7 @@ def size_guard(spark, sf_dir):
 @query
 def decode_text(spark, sf_dir):
     """Texts with Windows and old Mac line ends, read back from bytes."""
-    docs = R.spread(R.table(spark, sf_dir, "documents", "doc_id", "text"))
+    docs = R.table(spark, sf_dir, "documents", "doc_id", "text")
     raw = F.encode(F.replace("text", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r")), "UTF-8")
     return docs.select("doc_id", F.md5(T.decode(raw)).alias("text_md5"))
 
@@ -143,9 +143,11 @@ def event_rows(spark, sf_dir):
     )
     counts = SEL.discovery_counts(discovered, by="run_id")
     size = (F.col("seq") * 37) % 60000
-    files = reviews.select("run_id", "seq", F.col("file_path").alias("path"), "language", size.alias("size"))
-    report = scoring.run_report(reviews)
-    return sinks.to_event_json(runs, counts, SEL.with_skip_reason(files), reviews, report)
+    review = F.struct(*[c for c in reviews.columns if c not in ("run_id", "seq")])
+    files = reviews.select("*", review.alias("review"), F.col("file_path").alias("path"), size.alias("size"))
+    files = SEL.with_skip_reason(files)
+    report = scoring.run_report(files.filter("skip_reason IS NULL"))
+    return sinks.to_event_json(runs, counts, files, report)
 
 
 # ---- projections and filters -----------------------------------------------------------------------------------------

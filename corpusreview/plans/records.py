@@ -91,7 +91,8 @@ REPLY_BODY = (
 REPLY = (
     f"CASE {V} WHEN 1 THEN 'Here are the issues:' || chr(10) || '[' || reply_issues || ']' || chr(10) || 'Done.' "
     f"WHEN 2 THEN left({REPLY_BODY}, CAST(length({REPLY_BODY}) - 4 AS INT)) WHEN 12 THEN '[' || reply_issues || ']' "
-    f"WHEN 13 THEN '' WHEN 14 THEN {REPLY_BODY} || ' and more' WHEN 15 THEN 'Found [' || reply_issues || ']' "
+    f"WHEN 13 THEN '' WHEN 14 THEN {REPLY_BODY} || CASE o_custkey % 3 WHEN 0 THEN ' and more' "
+    "WHEN 1 THEN ', 1] trailing' ELSE ',\"x\"]' END WHEN 15 THEN 'Found [' || reply_issues || ']' "
     f"ELSE {REPLY_BODY} END"
 )
 
@@ -159,16 +160,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that yields fewer tasks than there are cores.
-
-    Such a scan is small (under one split per core), so moving it is cheap against what is computed per row.  A larger
-    scan already keeps all cores busy and is returned as it is: texts are never shuffled then.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # ---- files -----------------------------------------------------------------------------------------------------------
 def doc_rows(documents: DataFrame) -> DataFrame:
     """Files of a ``documents`` table or stream."""
@@ -178,11 +169,11 @@ def doc_rows(documents: DataFrame) -> DataFrame:
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_rows(spread(table(spark, sf_dir, "documents", "doc_id", "source", "text")))
+    return doc_rows(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).selectExpr(
+    return table(spark, sf_dir, "pages").selectExpr(
         f"{PAGE_REPO} AS repo", f"{PAGE_PATH} AS path", "CAST(octet_length(html) AS BIGINT) AS size", "html AS content"
     )
 
@@ -194,7 +185,7 @@ def rendered_orders(spark: SparkSession, sf_dir: str, once: bool = False) -> Dat
     paths alone renders nothing.
     """
     blocks, lines = F.array(*[F.lit(b) for b in PY_BLOCKS]), F.array(*[F.lit(x) for x in LINES])
-    orders = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     picks = (
         orders.withColumn("_blocks", blocks)
         .withColumn("_lines", lines)
@@ -240,7 +231,7 @@ def _issue_range(count: str, upper: int) -> str:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``run_id, seq, file_path, language, score, summary, issues`` - one review per order."""
     orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
-    return spread(orders).selectExpr(
+    return orders.selectExpr(
         "o_custkey AS run_id",
         "o_orderkey AS seq",
         f"{REVIEW_PATH} AS file_path",
@@ -270,7 +261,7 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``run_id, seq, file_path, language, raw`` - one reply per order, in sixteen well- and ill-formed kinds."""
     joined = f"array_join(transform({_issue_range(ISSUE_COUNT, 8)}, i -> {REPLY_ISSUE}), ', ') AS reply_issues"
-    orders = spread(table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice"))
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice")
     return (
         orders.selectExpr("*", joined)
         .selectExpr(
@@ -283,7 +274,7 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo, path, raw`` - documentation replies, some without the key, some not JSON."""
     return (
-        spread(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+        table(spark, sf_dir, "documents", "doc_id", "source", "text")
         .selectExpr("doc_id", "source AS repo", f"{DOC_PATH} AS path", "text", f"{DOC_TEXT} AS documentation")
         .selectExpr(
             "repo",
@@ -296,7 +287,7 @@ def doc_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).selectExpr(
+    return table(spark, sf_dir, "documents", "doc_id", "text").selectExpr(
         f"{DOC_PATH} AS path", f"{DOC_TEXT} AS doc"
     )
 
@@ -313,7 +304,7 @@ def events_from(events: DataFrame) -> DataFrame:
 
 def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``run_id, seq, ts, event, data``."""
-    return events_from(spread(table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type")))
+    return events_from(table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type"))
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:

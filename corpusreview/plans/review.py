@@ -48,11 +48,17 @@ def static_review(files: DataFrame) -> DataFrame:
     )
 
 
-def static_report(corpus: DataFrame) -> DataFrame:
-    """Report per repository of a corpus of ``repo, path, size, content``, without a model."""
-    listed = selection.drop_vendored(selection.with_extension(corpus))
+def static_report(corpus: DataFrame, languages=K.DEFAULT_LANGUAGES, max_kb: int = K.MAX_FILE_SIZE_KB) -> DataFrame:
+    """Report per repository of a corpus of ``repo, path, size, content``, without a model.
+
+    ``files_skipped`` counts the files of the wanted languages that are too large to be read.
+    """
+    listed = selection.with_language(selection.drop_vendored(selection.with_extension(corpus)))
+    large = selection.filter_languages(selection.size_guard(listed, max_kb)[1], languages)
+    skipped = large.groupBy(F.col("repo").alias("run_id")).agg(F.count("*").alias("files_skipped"))
     discovered = listed.select(F.col("repo").alias("run_id"))
-    return scoring.run_report(static_review(selection.analysed(corpus)), discovered)
+    report = scoring.run_report(static_review(selection.analysed(corpus, languages, max_kb)), discovered)
+    return report.join(skipped, "run_id", "left").na.fill(0, ["files_skipped"])
 
 
 def model_review(files: DataFrame, model: Callable[[list[str], float], Sequence[str | None]]) -> DataFrame:

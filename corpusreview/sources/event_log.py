@@ -11,9 +11,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from corpusreview import constants as K
 from corpusreview.functions import text as T
 from corpusreview.functions.arrays import computed_once
+from corpusreview.sources import locations
+from corpusreview.sources.locations import open_location
 
 # executors receive the classes below by value, so the package need not be installed there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(locations)
 
 SEPARATOR = b"\n\n"
 RECORD = "file string, start bigint, record string"
@@ -26,34 +29,29 @@ class EventLogPart(InputPartition):
         self.ranges = ranges
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return files, inner
-
-
 class EventLogReader(DataSourceReader):
     """Byte ranges of the log files; a record belongs to the range in which it starts.
 
     ``start`` - the record's byte offset - is its arrival order inside the file.  A record without a closing blank
-    line is incomplete and is not returned.
+    line is incomplete and is not returned.  A range that finds no separator stops at its end; a record of more than
+    ``recordbytes`` is not held in memory: it fails the read if it is ever closed.
     """
 
     def __init__(self, options):
         self.path = options["path"]
         self.split_bytes = int(options.get("splitbytes", 64 * 1024 * 1024))
         self.chunk = int(options.get("chunkbytes", 1024 * 1024))
+        self.record_bytes = int(options.get("recordbytes", 64 * 1024 * 1024))
 
     def partitions(self):
         from pyarrow import fs
 
-        files, inner = _open(self.path)
+        files, inner = open_location(self.path)
         info = files.get_file_info(inner)
         if info.type == fs.FileType.File:
             found = [(self.path, info.size)]
         else:
-            prefix = self.path[: len(self.path) - len(inner)] if "://" in self.path else ""
+            prefix = self.path[: len(self.path.rstrip("/")) - len(inner)] if "://" in self.path else ""
             inside = files.get_file_info(fs.FileSelector(inner, recursive=True))
             # names that start with "." or "_" are the writers' own files, as for Spark's file sources
             found = [
@@ -79,7 +77,7 @@ class EventLogReader(DataSourceReader):
 
     def records(self, file, begin, end):
         """Records that start in ``begin <= offset < end``, read in chunks."""
-        files, inner = _open(file)
+        files, inner = open_location(file)
         with files.open_input_file(inner) as stream:
             # step back to before the line breaks at the range's begin, so that separators are cut as from the start
             position = begin
@@ -89,15 +87,26 @@ class EventLogReader(DataSourceReader):
                     break
                 position -= 1
             stream.seek(position)
-            buffer, at, started = b"", 0, position == 0
+            buffer, at, started, dropped = b"", 0, position == 0, False
             while position < end or not started:
                 cut = buffer.find(SEPARATOR, at)
                 if cut < 0:
-                    more = stream.read(self.chunk)
+                    # what may be the first half of a separator is searched again
+                    seen = len(buffer) - at
+                    if not started and position + seen > end:
+                        return  # no record starts in this range
+                    if not started or seen > self.record_bytes:
+                        skip = max(seen - 1, 0)
+                        dropped = dropped or started
+                        position, at = position + skip, at + skip
+                    wanted = self.chunk if started else min(self.chunk, end - position + len(SEPARATOR))
+                    more = stream.read(wanted)
                     if not more:
                         return
                     buffer, at = buffer[at:] + more, 0
                     continue
+                if dropped:
+                    raise ValueError(f"{file}: a record before byte {position} is longer than {self.record_bytes} bytes")
                 if started and position >= begin:
                     yield file, position, buffer[at:cut].decode("utf-8", "replace")
                 position += cut + len(SEPARATOR) - at
@@ -137,9 +146,11 @@ def parse_records(records: DataFrame, group: str = "file", order: str = "start",
         [group, order],
         event=F.coalesce(F.try_element_at("_events", F.lit(-1)), F.lit(K.DEFAULT_EVENT)),
         data=F.try_element_at(json, F.lit(-1)),
-        _end=F.array_contains("_data", K.END_OF_LOG),
     )
-    ends = parsed.filter("_end").groupBy(group).agg(F.min(order).alias("_end_at"))
+    # end markers are rare: they are found in the text alone, without a look at any JSON
+    marked = records.filter(F.col(record).contains(K.END_OF_LOG)).select(group, order, lines.alias("_lines"))
+    ended = marked.filter(F.array_contains(after("data:"), K.END_OF_LOG))
+    ends = ended.groupBy(group).agg(F.min(order).alias("_end_at"))
     kept = parsed.join(ends, group, "left").filter(F.col("_end_at").isNull() | (F.col(order) < F.col("_end_at")))
     has_data = F.col("data").isNotNull() & (F.col("data") != "null")
     return kept.filter(has_data).select(group, order, "event", "data")

@@ -22,9 +22,10 @@ def report_json(reports: DataFrame, reviews: DataFrame) -> DataFrame:
     return head.unionByName(each)
 
 
-def write_report(reports: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet table of reports with the time they were generated."""
-    reports.withColumn("generated_at", F.current_timestamp()).write.mode(mode).parquet(path)
+def write_report(reports: DataFrame, reviews: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Parquet tables ``reports``, with the time they were generated, and ``reviews`` below ``path``."""
+    reports.withColumn("generated_at", F.current_timestamp()).write.mode(mode).parquet(f"{path}/reports")
+    reviews.write.mode(mode).parquet(f"{path}/reviews")
 
 
 def with_doc_name(docs: DataFrame) -> DataFrame:
@@ -37,41 +38,41 @@ def write_docs(docs: DataFrame, path: str, by: str = "repo", mode: str = "overwr
     docs.withColumn("file_name", name).write.mode(mode).partitionBy(by).parquet(path)
 
 
-def to_event_json(
-    runs: DataFrame, discovered: DataFrame, files: DataFrame, reviews: DataFrame, reports: DataFrame
-) -> DataFrame:
+def to_event_json(runs: DataFrame, discovered: DataFrame, files: DataFrame, reports: DataFrame) -> DataFrame:
     """The seven kinds of progress events as rows ``run_id, stage, seq, event, data``.
 
     ``runs`` (run_id, repo_url, branch), ``discovered`` (run_id, files, total_files), ``files`` (run_id, seq, path,
-    language, skip_reason), ``reviews`` (run_id, seq, …, issues), ``reports`` (one row per run).  ``stage`` and ``seq``
-    give the order inside a run; a run without files ends with an error event.
+    language, skip_reason, review - a struct, null if there is none), ``reports`` (one row per run).  ``stage`` and ``seq``
+    give the order inside a run.  A file is skipped or completed, never both.  A run without files ends with its error.
     """
 
-    def rows(df: DataFrame, stage: int, event: str, payload, seq=None) -> DataFrame:
-        order = F.lit(0) if seq is None else F.col(seq)
-        return df.select(
-            "run_id",
+    def event(stage: int, name: str, payload, seq=None, when=None):
+        row = F.struct(
             F.lit(stage).alias("stage"),
-            order.cast("bigint").alias("seq"),
-            F.lit(event).alias("event"),
+            (F.lit(0) if seq is None else F.col(seq)).cast("bigint").alias("seq"),
+            F.lit(name).alias("event"),
             F.to_json(payload, {"ignoreNullFields": "false"}).alias("data"),
         )
+        return row if when is None else F.when(when, row)
 
-    with_url = discovered.join(runs.select("run_id", "repo_url"), "run_id")
-    empty = discovered.filter(F.col("files") == 0)
-    skipped = files.filter(F.col("skip_reason").isNotNull())
-    review = F.struct(*[c for c in reviews.columns if c not in ("run_id", "seq")])
+    def rows(df: DataFrame, *events) -> DataFrame:
+        return df.select("run_id", F.explode(F.array_compact(F.array(*events))).alias("e")).select("run_id", "e.*")
+
+    known = F.col("files").isNotNull()
+    head = rows(
+        runs.select("run_id", "repo_url", "branch").join(discovered.select("run_id", "files", "total_files"), "run_id", "left"),
+        event(0, "clone_start", F.struct("repo_url", "branch")),
+        event(1, "clone_complete", F.struct("files", "total_files", "repo_url"), when=known),
+        event(2, "error", F.struct(F.lit(K.NO_FILES_MESSAGE).alias("message")), when=F.col("files") == 0),
+    )
+    skipped = F.col("skip_reason").isNotNull()
+    body = rows(
+        files,
+        event(3, "file_start", F.struct(F.col("path").alias("file"), "language"), "seq"),
+        event(3, "file_skip", F.struct(F.col("path").alias("file"), F.col("skip_reason").alias("reason")), "seq", skipped),
+        event(3, "file_complete", F.struct("review"), "seq", ~skipped & F.col("review").isNotNull()),
+    )
     report = F.struct(*[c for c in reports.columns if c != "run_id"])
-    parts = [
-        rows(runs, 0, "clone_start", F.struct("repo_url", "branch")),
-        rows(with_url, 1, "clone_complete", F.struct("files", "total_files", "repo_url")),
-        rows(empty, 2, "error", F.struct(F.lit(K.NO_FILES_MESSAGE).alias("message"))),
-        rows(files, 3, "file_start", F.struct(F.col("path").alias("file"), "language"), "seq"),
-        rows(skipped, 3, "file_skip", F.struct(F.col("path").alias("file"), F.col("skip_reason").alias("reason")), "seq"),
-        rows(reviews, 3, "file_complete", F.struct(review.alias("review")), "seq"),
-        rows(reports, 4, "analysis_complete", F.struct(report.alias("report"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    tail = rows(reports, event(4, "analysis_complete", F.struct(report.alias("report"))))
+    ended = discovered.filter(F.col("files") == 0).select("run_id")
+    return head.unionByName(body.unionByName(tail).join(ended, "run_id", "left_anti"))

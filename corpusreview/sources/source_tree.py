@@ -13,14 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusreview import constants as K
+from corpusreview.functions import paths
 from corpusreview.functions import text as T
 from corpusreview.operators import selection
+from corpusreview.sources.locations import open_location
 
-LISTING = "repo string, root string, path string, size bigint, is_dir boolean"
+LISTING = "repo string, root string, path string, size bigint, is_dir boolean, gone boolean"
+GONE_REASON = "Folder vanished while it was listed"
 
 
 def _lister(deep: bool):
-    """Task function: folders become what is in them, one level or all the way down; files pass through."""
+    """Task function: folders become what is in them, one level or all the way down; files pass through.
+
+    A missing root fails.  A folder that vanishes below a root that exists becomes a row marked ``gone``.
+    """
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -28,27 +34,34 @@ def _lister(deep: bool):
         import pandas as pd
         from pyarrow import fs
 
-        names = ["repo", "root", "path", "size", "is_dir"]
+        names = ["repo", "root", "path", "size", "is_dir", "gone"]
 
         def inside(root, path):
-            files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-            base = base.rstrip("/")
+            files, base = open_location(root)
             local = isinstance(files, fs.LocalFileSystem)
             todo = [f"{base}/{path}".rstrip("/")]
             while todo:
-                for info in files.get_file_info(fs.FileSelector(todo.pop(), allow_not_found=True)):
+                folder = todo.pop()
+                try:
+                    entries = files.get_file_info(fs.FileSelector(folder or "/"))
+                except FileNotFoundError:
+                    if folder == base:
+                        raise
+                    yield folder[len(base) + 1 :], 0, False, True
+                    continue
+                for info in entries:
                     is_dir = info.type == fs.FileType.Directory
                     if is_dir and local and os.path.islink(info.path):
                         continue  # folders behind symbolic links are not followed
                     if is_dir and deep:
                         todo.append(info.path)
                     elif is_dir or info.type == fs.FileType.File:
-                        yield info.path[len(base) + 1 :], info.size or 0, is_dir
+                        yield info.path[len(base) + 1 :], info.size or 0, is_dir, False
 
         for batch in batches:
             rows = []
-            for repo, root, path, size, is_dir in batch[names].itertuples(index=False):
-                found = inside(root, path) if is_dir else [(path, size, False)]
+            for repo, root, path, size, is_dir, gone in batch[names].itertuples(index=False):
+                found = inside(root, path) if is_dir else [(path, size, False, gone)]
                 for entry in found:
                     rows.append((repo, root, *entry))
                     if len(rows) >= 10_000:
@@ -61,39 +74,39 @@ def _lister(deep: bool):
 
 
 def list_source_tree(roots: DataFrame, split_levels: int = 2, tasks: int | None = None) -> DataFrame:
-    """All regular files below each root: ``repo, root, path, size``.
+    """All regular files below each root: ``repo, root, path, size, gone`` (``gone``: a folder that vanished meanwhile).
 
     ``roots`` has ``repo`` and ``root`` (a path or URI that executors can reach).  The first ``split_levels`` levels are
     expanded one at a time and spread over the tasks in between, so one big repository is listed by many tasks.
     """
     tasks = tasks or max(roots.sparkSession.sparkContext.defaultParallelism, 2)
     entries = roots.select(
-        "repo", "root", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("is_dir")
+        "repo", "root", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("is_dir"),
+        F.lit(False).alias("gone"),
     )
     for _ in range(split_levels):
         entries = entries.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=False), LISTING)
     below = entries.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=True), LISTING)
-    return below.select("repo", "root", "path", "size")
+    return below.select("repo", "root", "path", "size", "gone")
 
 
 def read_contents(listed: DataFrame, tasks: int | None = None) -> DataFrame:
     """Open the listed files that have no ``skip_reason``: adds ``content`` (decoded text).
 
-    Files are spread evenly over the tasks first.  A file that cannot be read has NULL content and gets the reason.
+    Files are spread evenly over the tasks first.  A file that is not there, not permitted or a folder has NULL content and
+    gets the reason; any other failure to read fails the task, so that Spark tries it again.
     """
     tasks = tasks or max(listed.sparkSession.sparkContext.defaultParallelism * 4, 8)
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         def load(root, path, skip_reason):
             if skip_reason is not None:
                 return None
             try:
-                files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-                with files.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as stream:
+                files, base = open_location(root)
+                with files.open_input_stream(f"{base}/{path}", compression=None) as stream:
                     return stream.read()
-            except OSError:
+            except (FileNotFoundError, PermissionError, IsADirectoryError):
                 return None
 
         for batch in batches:
@@ -106,7 +119,7 @@ def read_contents(listed: DataFrame, tasks: int | None = None) -> DataFrame:
     slim = listed.select("repo", "root", "path", "size", "language", "skip_reason").repartition(tasks, "repo", "path")
     schema = "repo string, root string, path string, size bigint, language string, skip_reason string, raw binary"
     read = slim.mapInPandas(opened, schema).withColumn("content", T.decode(F.col("raw")))
-    reason = F.when(F.col("raw").isNull(), F.lit(K.SKIP_REASON))
+    reason = F.when(F.col("raw").isNull(), F.coalesce("skip_reason", F.lit(K.SKIP_REASON)))
     return read.withColumn("skip_reason", reason).drop("raw")
 
 
@@ -120,6 +133,8 @@ def read_source_tree(
     """
     if not isinstance(roots, DataFrame):
         roots = spark.createDataFrame(list(roots.items()), "repo string, root string")
-    listed = selection.drop_vendored(selection.with_extension(list_source_tree(roots), extensions))
-    marked = selection.with_skip_reason(selection.with_language(listed), max_kb)
+    listed = list_source_tree(roots)
+    wanted = F.col("gone") | paths.has_extension(F.col("path"), extensions) & ~paths.is_vendored(F.col("path"))
+    marked = selection.with_skip_reason(selection.with_language(listed.filter(wanted)), max_kb)
+    marked = marked.withColumn("skip_reason", F.when(F.col("gone"), F.lit(GONE_REASON)).otherwise(F.col("skip_reason")))
     return read_contents(marked).select("repo", "path", "size", "language", "content", "skip_reason")

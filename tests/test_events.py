@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from corpusreview import constants as K
@@ -14,6 +15,7 @@ from corpusreview.operators import selection as SEL
 from corpusreview.operators import smells
 from corpusreview.session import fresh_folder, shared_folder
 from corpusreview.sources import event_log, sinks, source_tree
+from corpusreview.sources.locations import open_location
 from corpusreview.streaming import jobs, progress
 from tests.conftest import SF, values
 
@@ -69,6 +71,58 @@ def test_event_log_files(spark, tmp_path, split_bytes):
     assert got == want and sum(map(len, want.values())) > 50
 
 
+@pytest.mark.parametrize("text", [b"event: a\r\n\r\n" * 30000, b"x" * 400000, b"data: 1\n\n" + b"y\n" * 200000])
+def test_logs_without_separators_are_read_about_once(tmp_path, monkeypatch, text):
+    """Ranges without a separator stop at their ends, and an open record is not held in memory."""
+    (tmp_path / "a.log").write_bytes(text)
+    read = [0]
+
+    class Counted:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def seek(self, at):
+            self.stream.seek(at)
+
+        def read(self, n):
+            data = self.stream.read(n)
+            read[0] += len(data)
+            return data
+
+    class Files:
+        def __init__(self, files):
+            self.files = files
+
+        def get_file_info(self, at):
+            return self.files.get_file_info(at)
+
+        def open_input_file(self, path):
+            return Counted(self.files.open_input_file(path))
+
+    def opened(path):
+        files, inner = open_location(path)
+        return Files(files), inner
+
+    monkeypatch.setattr(event_log, "open_location", opened)
+    reader = event_log.EventLogReader({"path": str(tmp_path / "a.log"), "splitbytes": "20000", "chunkbytes": "4096", "recordbytes": "8192"})
+    records = [r for part in reader.partitions() for r in reader.read(part)]
+    assert len(records) == text.count(b"\n\n")
+    assert read[0] < 2 * len(text)
+
+
+def test_a_closed_record_above_the_limit_fails(tmp_path):
+    (tmp_path / "a.log").write_bytes(b"data: " + b"1" * 50000 + b"\n\ndata: 2\n\n")
+    reader = event_log.EventLogReader({"path": str(tmp_path / "a.log"), "chunkbytes": "4096", "recordbytes": "8192"})
+    with pytest.raises(ValueError, match="longer than 8192"):
+        [r for part in reader.partitions() for r in reader.read(part)]
+
+
 def test_null_data_is_dropped_only_when_it_is_last(spark):
     rows = [(1, 1, "data: null"), (1, 2, "data: 1\ndata: null"), (1, 3, "data: null\ndata: 2")]
     df = spark.createDataFrame(rows, "run_id int, seq int, record string")
@@ -179,6 +233,37 @@ def test_source_tree(spark, tmp_path):
         assert out["edge.py"]["skip_reason"] is None and out["deep/er/st/z.ts"]["language"] == "typescript"
 
 
+def test_missing_root_fails(spark, tmp_path):
+    with pytest.raises(PythonException):
+        source_tree.read_source_tree(spark, {"one": str(tmp_path / "nowhere")}).collect()
+
+
+def test_only_missing_files_are_skipped(spark, tmp_path, monkeypatch):
+    """A vanished folder or file becomes a row with a reason; a store that fails to answer fails the task."""
+    (tmp_path / "a.py").write_text("x")
+    listing = "repo string, root string, path string, size bigint, is_dir boolean, gone boolean"
+    gone = spark.createDataFrame([("r", str(tmp_path), "lost", 0, True, False)], listing)
+    assert gone.mapInPandas(source_tree._lister(deep=True), listing).collect()[0].gone
+    columns = "repo string, root string, path string, size bigint, language string, skip_reason string"
+    files = spark.createDataFrame([("r", str(tmp_path), p, 1, "python", None) for p in ("a.py", "b.py")], columns)
+    assert {r.path: r.skip_reason for r in source_tree.read_contents(files).collect()} == {"a.py": None, "b.py": K.SKIP_REASON}
+    down = spark.createDataFrame([("r", "file:///proc/self/mem", "", 1, "python", None)], columns)
+    slow = down.withColumn("root", F.lit("/proc/self")).withColumn("path", F.lit("mem"))
+    with pytest.raises(PythonException):
+        source_tree.read_contents(slow).collect()
+
+
+def test_events_skip_or_complete(spark):
+    rows = catalog.QUERIES["event_rows"](spark, SF).collect()
+    kinds = {}
+    for r in rows:
+        if r.stage == 3:
+            kinds.setdefault((r.run_id, r.seq), set()).add(r.event)
+    assert all(not {"file_skip", "file_complete"} <= k for k in kinds.values())
+    ended = {r.run_id for r in rows if r.event == "error"}
+    assert not any(r.run_id in ended and r.stage > 2 for r in rows)
+
+
 def test_source_tree_reads_gz_names_as_they_are(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"\x1f\x8bnot gzip")
     assert source_tree.read_source_tree(spark, {"one": str(tmp_path)}).first()["skip_reason"] is None
@@ -187,8 +272,9 @@ def test_source_tree_reads_gz_names_as_they_are(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     reviews, discovered = R.reviews(spark, SF), R.discovered(spark, SF)
     report = catalog.QUERIES["run_report"](spark, SF)
-    sinks.write_report(report, str(tmp_path / "report"))
-    back = spark.read.parquet(str(tmp_path / "report"))
+    sinks.write_report(report, reviews, str(tmp_path / "report"))
+    back = spark.read.parquet(str(tmp_path / "report/reports"))
+    assert spark.read.parquet(str(tmp_path / "report/reviews")).count() == reviews.count()
     assert back.count() == discovered.select("run_id").distinct().count() and "generated_at" in back.columns
     one = sinks.report_json(report, reviews).filter("kind = 'review'").orderBy("seq").first()
     assert json.loads(one["body"])["issues"][0]["severity"] == "critical"

@@ -219,13 +219,22 @@ def test_positions_across_blocks(spark):
     rng = random.Random(2)
     rows = [(run, lead, seq) for run, n in ((1, 400), (2, 3), (None, 5)) for seq in rng.sample(range(-1000, 1000), n) for lead in [rng.randint(0, 2)]]
     df = spark.createDataFrame(rows, "run_id int, lead int, seq long")
-    out = position(df, ["run_id"], ["seq"], lead=("lead",), block=16).collect()
+    out = position(df, ["run_id"], ["seq"], lead=("lead",), blocks=(16, 4)).collect()
     assert len(out) == len(rows)
     for run in (1, 2, None):
         mine = sorted((r["lead"], r["seq"], r["position"]) for r in out if r["run_id"] == run)
         assert [p for _, _, p in mine] == list(range(1, len(mine) + 1))
 
 
+def test_positions_of_sparse_ids(spark):
+    """Ids a block apart each: no window holds the whole run."""
+    df = spark.range(3000).selectExpr("1 AS run_id", "id * 1000003 * 1048576 AS seq")
+    out = position(df, ["run_id"], ["seq"], blocks=(1 << 20, 1 << 22))
+    assert out.filter("position <> seq / (1000003 * 1048576) + 1").count() == 0
+    windows = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Window" in line and "windowspecdefinition" in line]
+    assert sum("_block" in line for line in windows) >= 2
+
+
 def test_recent_items(spark):
     rows = [(1, item, t) for t, item in enumerate(["a", "b", "c", "a", "d", "e", "f", "b"])]
     df = spark.createDataFrame(rows, "user_id long, item string, at long")
