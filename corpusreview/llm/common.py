@@ -53,8 +53,11 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
 
 
 def plain_texts(column: pa.Array) -> pa.Array:
-    """The texts with null as the empty text."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """The texts with null as the empty text.
+
+    The texts are copied first: some functions misread the cast of a slice, whose offsets do not start at 0.
+    """
+    return pc.fill_null(column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()), "")
 
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:

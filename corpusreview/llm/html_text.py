@@ -285,11 +285,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     template = (
         frequent.join(sizes, F.col("host") == F.col("of_host")).filter(F.col("times") >= share * F.col("pages")).select("host", "digest", "strict")
     )
-    of_page = (
+    # a table of its own: where few pages hold template parts, its size tells Spark to leave the pages where they are
+    of_page = common.write_stage(
         marks.filter("matters")
         .join(template, ["host", "digest", "strict"])
         .groupBy(F.col("key").alias("of_key"))
-        .agg(F.collect_set("digest").alias("template"))
+        .agg(F.collect_set("digest").alias("template")),
+        "templates",
     )
     found = keyed.join(of_page, F.col("key") == F.col("of_key"), "left").select("page_id", "url", "html", "template")
     return found.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

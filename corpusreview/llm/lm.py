@@ -17,12 +17,14 @@ from corpusreview.llm.gru import END, Gru, classes_of
 #: The most frequent words that have an output of their own; the others share outputs by their last two bytes.
 VOCABULARY = 4096
 KINDS = 64
-#: Documents that give the model its first weights, read by the driver; one training document in so many then trains it in
-#: the tasks, so what it learns from grows with the corpus.  Counts, classes and rare words always come from all of them.
+#: About so many training documents give the model its first weights, in the driver; then one training document in so many
+#: trains it in the tasks, so what it learns from grows with the corpus.  Counts, classes and rare words come from all of them.
 SEED_DOCUMENTS = 1500
-TRAIN_ONE_IN = 4
+TRAIN_ONE_IN = 2
 _END_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CELLS = 4096
+#: Tasks that merge the statistics of all others.
+_MERGERS = 4
 _LISTS = "kind int, part int, chunk bigint, data binary"
 
 
@@ -170,46 +172,46 @@ def corpus_counts(docs: DataFrame) -> tuple[DataFrame, Corpus]:
     lists = docs.select("doc_id", "text", "text_key", "held_out").mapInArrow(_invert(partitions), _LISTS)
     counted = common.write_stage(lists.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_total, _LISTS), "counts")
 
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("data").to_pylist():
-                keys, totals, tokens, words, ends = common.unpack(data)
-                size = len(keys) + KINDS + 1
-                yield pa.record_batch(
-                    {
-                        "kind": pa.array(np.concatenate([np.full(len(keys), -1), np.arange(KINDS), [KINDS]])),
-                        "key": pa.array(np.concatenate([keys, np.zeros(size - len(keys), np.uint64)]).view(np.int64)),
-                        "tokens": pa.array(np.concatenate([totals, tokens, [ends.sum()]]).astype(np.int64)),
-                        "words": pa.array(np.concatenate([np.ones(len(keys)), words, [0]]).astype(np.int64)),
-                    }
-                )
-
-    figures = counted.filter("kind = 2").select("data").mapInArrow(spread, "kind bigint, key bigint, tokens bigint, words bigint")
-    top = figures.filter("kind = -1").orderBy(F.desc("tokens"), "key").limit(VOCABULARY + 1).toPandas()
-    kinds = figures.filter("kind >= 0").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toPandas()
-    kinds = kinds.set_index("kind").reindex(range(KINDS + 1), fill_value=0)
+    # every task merges the statistics of its ranges, a few tasks merge those, and the driver gets a few lists
+    figures = counted.filter("kind = 2").select("kind", "part", "chunk", "data").mapInArrow(_merge, _LISTS)
+    merged = figures.repartition(_MERGERS, "part").mapInArrow(_merge, _LISTS).select("data").toArrow()
+    keys, counts, kind_tokens, kind_words, ends = _merged(merged["data"].to_pylist())
     # words with an output of their own are told by their count alone, so a tie at the end of the list is left out
-    least = int(top["tokens"].iloc[-1]) + 1 if len(top) > VOCABULARY else 1
-    top = top[top["tokens"] >= least]
-    keys = top["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    counts = top["tokens"].to_numpy(dtype=np.int64)
+    least = int(counts[-1]) + 1 if len(counts) > VOCABULARY else 1
+    keys, counts = keys[counts >= least], counts[counts >= least]
     order = np.argsort(keys)
     own = (keys & np.uint64(KINDS - 1)).astype(np.int64)
-    kind_tokens = kinds["tokens"].to_numpy(dtype=np.int64)
-    kind_words = kinds["words"].to_numpy(dtype=np.int64)
-    ends = int(kind_tokens[KINDS])
     return counted, Corpus(
         keys[order],
         counts[order],
         least,
-        kind_tokens[:KINDS] - np.bincount(own, weights=counts, minlength=KINDS).astype(np.int64),
-        kind_words[:KINDS] - np.bincount(own, minlength=KINDS),
+        kind_tokens - np.bincount(own, weights=counts, minlength=KINDS).astype(np.int64),
+        kind_words - np.bincount(own, minlength=KINDS),
         ends,
-        int(kind_tokens.sum()),
-        int(kind_words[:KINDS].sum()) + (ends > 0),
+        int(kind_tokens.sum()) + ends,
+        int(kind_words.sum()) + (ends > 0),
     )
 
 
+def _merged(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The most frequent keys and their counts, the tokens and words by kind and the ends of several ranges of keys."""
+    parts = [common.unpack(data) for data in lists]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64), 0
+    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    top = np.lexsort((keys, -counts))[: VOCABULARY + 1]
+    tokens, words = (sum(p[i].astype(np.int64) for p in parts) for i in (2, 3))
+    return keys[top], counts[top], tokens, words, int(sum(p[4].sum() for p in parts))
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lists = [data for batch in batches for data in batch.column("data").to_pylist()]
+    if lists:
+        keys, counts, tokens, words, ends = _merged(lists)
+        part = TaskContext.get().partitionId()
+        yield _rows([2], [part], [0], [common.pack(keys, counts, tokens, words, np.array([ends]))])
+
+
 def document_counts(counted: DataFrame, corpus: Corpus) -> DataFrame:
     """``doc_id, text_key, held_out, n_tokens, n_known, counted, rare``: what a document's score needs of the corpus counts.
 
@@ -264,8 +266,10 @@ def train(docs: DataFrame, corpus: Corpus) -> Gru:
     weights of all tasks, each times the tokens it saw, and the driver gets one vector whatever the size of the corpus.
     """
     model = new_model(corpus)
-    learned = docs.filter(~F.col("held_out")).select("text", F.xxhash64("text_key", F.lit(7)).alias("draw"))
-    sample = learned.orderBy("draw", "text").limit(SEED_DOCUMENTS).select("text").toArrow().combine_chunks()
+    learned = docs.filter(~F.col("held_out"))
+    share = min(1 << 30, (SEED_DOCUMENTS << 30) // max(corpus.ends, 1))
+    draw = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(7)), F.lit(1 << 30))
+    sample = learned.filter(draw < share).orderBy("doc_id", "text_key").select("text").toArrow().combine_chunks()
     state = None
     for piece in common.text_chunks(sample.to_batches()):
         tokens, _, keys = keyed_words(common.plain_texts(piece.column("text")))
@@ -286,8 +290,7 @@ def train(docs: DataFrame, corpus: Corpus) -> Gru:
             yield _cells(list(range(len(cells))), cells, [state["seen"]] * len(cells))
 
     partitions = common.shuffle_partitions(docs.sparkSession)
-    chosen = learned.filter(F.pmod("draw", F.lit(TRAIN_ONE_IN)) == 0).select("text")
-    cells = chosen.mapInArrow(run, "cell int, seen bigint, weights array<double>")
+    cells = learned.filter(draw % TRAIN_ONE_IN == 0).select("text").mapInArrow(run, "cell int, seen bigint, weights array<double>")
     summed = cells.repartition(partitions, "cell").mapInArrow(_sum_cells, "cell int, seen bigint, weights array<double>").orderBy("cell").toArrow()
     if summed.num_rows:
         weights = np.concatenate([np.array(w) for w in summed["weights"].to_pylist()])

@@ -20,6 +20,17 @@ def test_words_and_shingles_follow_the_definition():
     assert [len(set(h)) for h in common.split_by(hashes, [sum(owner == i) for i in range(len(texts))])] == [len(shingle_set(t)) for t in texts]
 
 
+def test_words_of_pieces_of_a_batch():
+    texts = [prose(i, 40 + i).upper() for i in range(60)] + [None, ""]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    found = []
+    for piece in common.text_chunks([batch.slice(0, 20), batch.slice(20)], limit=1000):
+        codes, counts, dictionary = common.words(common.plain_texts(piece.column("text")))
+        flat = [dictionary[int(c)].as_py() for c in codes]
+        found += [flat[sum(counts[:i]) : sum(counts[: i + 1])] for i in range(len(counts))]
+    assert found == [words(t) for t in texts]
+
+
 def test_pack_gives_back_what_it_got():
     import numpy as np
 
