@@ -498,6 +498,24 @@ SELECT repo, 'Write a README for a repository with these files:' || {NL} || {NL}
   || {NL} || {NL} || coalesce(s, '') || {NL} || {NL}
   || 'Include title, features, installation, usage, structure, contributing and licence sections.' AS prompt
 FROM tree LEFT JOIN samples USING (repo)""")
+oracle("generate_docs", f"""{WITH_LINES},
+req AS (SELECT DISTINCT {R.DOC_PATH} AS path FROM labels),
+asked AS (SELECT repo, path, md5('Write Markdown documentation for this ' || language || ' file: ' || path || {NL} || {NL}
+  || 'Cover its purpose, every function and class with parameters and results, examples and caveats.' || {NL} || {NL}
+  || '```' || language || {NL} || {TRUNCATED} || {NL} || '```') AS h FROM lined WHERE path IN (FROM req)),
+tree AS (SELECT repo, string_agg('- ' || path || ' (' || language || ', ' || CAST(size AS STRING) || ' bytes)', chr(10) ORDER BY path) AS t
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM listed WHERE path IN (FROM req)) WHERE n <= 50 GROUP BY repo),
+samples AS (SELECT repo, string_agg('### ' || path || {NL} || '```' || {NL} || left(content, 500) || {NL} || '```', chr(10) ORDER BY path) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS n FROM kept WHERE path IN (FROM req)) WHERE n <= 5 GROUP BY repo),
+readme AS (SELECT repo, md5('Write a README for a repository with these files:' || {NL} || {NL} || coalesce(t, '') || {NL} || {NL} || 'Starts of some files:'
+  || {NL} || {NL} || coalesce(s, '') || {NL} || {NL}
+  || 'Include title, features, installation, usage, structure, contributing and licence sections.') AS h
+  FROM (SELECT DISTINCT repo FROM listed) LEFT JOIN tree USING (repo) LEFT JOIN samples USING (repo))""", f"""
+SELECT repo, path, CASE left(h, 1) WHEN '0' THEN '_Documentation generation failed: ValueError: quota_'
+  WHEN '1' THEN '_Documentation generation failed: no_reply_' ELSE 'doc ' || h END AS doc, CASE left(h, 1) WHEN '0' THEN 'ValueError: quota' END AS error FROM asked
+UNION ALL SELECT repo, 'README.md', CASE left(h, 1) WHEN '0' THEN '# README' || {NL} || {NL} || '_Generation failed: ValueError: quota_' WHEN '1' THEN ''
+  ELSE '# ' || h END, CASE left(h, 1) WHEN '0' THEN 'ValueError: quota' END FROM readme
+UNION ALL SELECT r_name, NULL, NULL, '{K.NO_FILES_MESSAGE}' FROM region""")
 
 # ---- replies ---------------------------------------------------------------------------------------------------------
 TEXT_FIELDS = ("category", "file_path", "description", "suggestion")

@@ -56,9 +56,14 @@ def doc_prompts(files: DataFrame, keys=("repo", "path", "language")) -> DataFram
     return truncate_text(files).select(*keys, prompt.alias("prompt"))
 
 
-def readme_prompts(listed: DataFrame, readable: DataFrame, by: str = "repo") -> DataFrame:
+def readme_prompts(
+    listed: DataFrame, readable: DataFrame, by: str = "repo", groups: DataFrame | None = None,
+    tree_files: int = K.README_TREE_FILES, sample_files: int = K.README_SAMPLES, sample_chars: int = K.README_SAMPLE_CHARS,
+) -> DataFrame:
     """One prompt per repository: its first 50 files by path, and the start of its first 5 readable files.
 
+    ``groups`` (distinct values of ``by``) names repositories that get a prompt even if none of their files is listed.
+
     Both lists are cut by rank inside the partitions before anything is shuffled, so a repository of any size sends at
     most 50 short rows and 5 samples per partition.
     """
@@ -70,10 +75,12 @@ def readme_prompts(listed: DataFrame, readable: DataFrame, by: str = "repo") ->
         return top.groupBy(by).agg(F.array_join(F.transform(pairs, lambda p: p["line"]), "\n").alias(into))
 
     entry = _concat("- ", F.col("path"), " (", F.col("language"), ", ", F.col("size").cast("string"), " bytes)")
-    tree = first(listed.select(by, "path", "language", "size"), K.README_TREE_FILES, entry, "_tree")
-    start = readable.select(by, "path", T.sample(F.col("content"), K.README_SAMPLE_CHARS).alias("_start"))
+    tree = first(listed.select(by, "path", "language", "size"), tree_files, entry, "_tree")
+    if groups is not None:
+        tree = groups.select(by).join(tree, by, "left").na.fill("", ["_tree"])
+    start = readable.select(by, "path", T.sample(F.col("content"), sample_chars).alias("_start"))
     shown = _concat("### ", F.col("path"), "\n", _fenced(F.col("_start")))
-    samples = first(start, K.README_SAMPLES, shown, "_samples")
+    samples = first(start, sample_files, shown, "_samples")
     prompt = _concat(
         "Write a README for a repository with these files:\n\n", F.col("_tree"),
         "\n\nStarts of some files:\n\n", F.coalesce("_samples", F.lit("")),
@@ -87,28 +94,29 @@ def infer(
     model: Callable[[list[str], float], Sequence[str | None]],
     temperature: float = TEMPERATURE["review"],
     prompt: str = "prompt",
+    batch: int = 32,
 ) -> DataFrame:
     """Add ``raw`` and ``error``: the model's answer to each prompt.
 
-    ``model(prompts, temperature)`` answers a batch of prompts.  When a batch fails its prompts are tried one by one;
-    what fails then gets a NULL answer and the error text, never a failed job.  Only prompts travel to Python.
+    ``model(prompts, temperature)`` answers at most ``batch`` prompts at a time.  When a call fails its halves are tried;
+    a single prompt that fails gets a NULL answer and the error text, never a failed job.  Only prompts travel to Python.
     """
 
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def one(text):
+        def ask(texts):
             try:
-                return model([text], temperature)[0], None
+                raw = list(model(texts, temperature))
+                if len(raw) != len(texts):
+                    raise ValueError("one answer per prompt expected")
+                return [(r, None) for r in raw]
             except Exception as exc:  # noqa: BLE001 - any model failure becomes a row
-                return None, f"{type(exc).__name__}: {exc}"
+                if len(texts) == 1:
+                    return [(None, f"{type(exc).__name__}: {exc}")]
+                half = len(texts) // 2
+                return ask(texts[:half]) + ask(texts[half:])
 
         for prompts in batches:
-            try:
-                raw = list(model(list(prompts), temperature))
-                if len(raw) != len(prompts):
-                    raise ValueError("one answer per prompt expected")
-                rows = [(r, None) for r in raw]
-            except Exception:  # noqa: BLE001
-                rows = [one(p) for p in prompts]
+            rows = [r for start in range(0, len(prompts), batch) for r in ask(list(prompts[start : start + batch]))]
             yield pd.DataFrame(rows, columns=["raw", "error"])
 
     # a model call is dear: a nondeterministic function is not repeated or moved by the optimizer

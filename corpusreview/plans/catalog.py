@@ -398,6 +398,26 @@ def infer_stub(spark, sf_dir):
     return review.model_review(R.analysed_files(spark, sf_dir), model).drop("issues")
 
 
+@query
+def generate_docs(spark, sf_dir):
+    """Documents and read-mes of requested files; the stand-in fails on some prompts and says nothing to others."""
+
+    def model(texts, temperature):
+        import hashlib
+
+        marks = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+        if any(m[0] == "0" for m in marks):
+            raise ValueError("quota")
+        form = "# {}" if temperature == prompts.TEMPERATURE["readme"] else '{{"documentation": "doc {}"}}'
+        return [None if m[0] == "1" else form.format(m) for m in marks]
+
+    bare = R.table(spark, sf_dir, "region").selectExpr(
+        "r_name AS repo", "'NOTES.txt' AS path", "CAST(length(r_name) AS BIGINT) AS size", "r_name AS content"
+    )
+    requested = R.table(spark, sf_dir, "labels").selectExpr(f"{R.DOC_PATH} AS path").distinct()
+    return review.document_files(R.source_files(spark, sf_dir).unionByName(bare), model, requested)
+
+
 def _issue_text(issues: Column) -> Column:
     fields = ("severity", "category", "file_path", "line_number", "description", "suggestion", "code_snippet")
     return joined(

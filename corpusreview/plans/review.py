@@ -61,27 +61,40 @@ def static_report(corpus: DataFrame, languages=K.DEFAULT_LANGUAGES, max_kb: int
     return report.join(skipped, "run_id", "left").na.fill(0, ["files_skipped"])
 
 
-def model_review(files: DataFrame, model: Callable[[list[str], float], Sequence[str | None]]) -> DataFrame:
-    """Reviews by a model: prompt, answer, checked answer; ``files`` are the selected files of a corpus."""
-    asked = prompts.infer(prompts.review_prompts(files), model, prompts.TEMPERATURE["review"])
-    answered = asked.select(F.col("repo").alias("run_id"), F.col("path").alias("file_path"), "language", "raw")
-    return replies.parse_reviews(answered)
+def model_review(files: DataFrame, model: Callable[[list[str], float], Sequence[str | None]], batch: int = 32) -> DataFrame:
+    """Reviews by a model: prompt, answer, checked answer; ``files`` are the selected files of a corpus.
+
+    Where the model itself fails, the review's summary carries its error text.
+    """
+    asked = prompts.infer(prompts.review_prompts(files), model, prompts.TEMPERATURE["review"], batch=batch)
+    answered = asked.select(F.col("repo").alias("run_id"), F.col("path").alias("file_path"), "language", "error", "raw")
+    failed = F.concat(F.lit("Analysis failed: "), F.col("error"))
+    return replies.parse_reviews(answered).withColumn("summary", F.coalesce(failed, "summary")).drop("error")
 
 
 def document_files(
     corpus: DataFrame, model: Callable[[list[str], float], Sequence[str | None]], requested=None,
-    max_kb: int = K.MAX_FILE_SIZE_KB,
+    max_kb: int = K.MAX_FILE_SIZE_KB, batch: int = 32,
 ) -> DataFrame:
-    """Documentation of the (requested) files: ``repo, path, doc``, with a ``README.md`` row per repository.
+    """Documentation of the (requested) files: ``repo, path, doc, error``, with a ``README.md`` row per repository.
 
     Languages are not filtered here; files that are too large are left out of the documents but stay in the README's
-    file list.
+    file list.  Every repository with source files gets a README, requested or not; one without any gets an error row
+    without path.  ``error`` is the model's error text, which the document shows as well.
     """
     listed = selection.with_language(selection.drop_vendored(selection.with_extension(corpus)))
     wanted = selection.restrict_paths(listed, requested)
     readable = selection.size_guard(wanted, max_kb)[0]
-    asked = prompts.infer(prompts.doc_prompts(readable), model, prompts.TEMPERATURE["documentation"])
-    docs = replies.parse_docs(asked.select("repo", "path", "raw")).select("repo", "path", "doc")
-    readme = prompts.infer(prompts.readme_prompts(wanted, readable), model, prompts.TEMPERATURE["readme"])
-    text = F.coalesce("raw", F.concat(F.lit("# README\n\n_Generation failed: "), F.col("error"), F.lit("_")))
-    return docs.unionByName(readme.select("repo", F.lit("README.md").alias("path"), text.alias("doc")))
+    asked = prompts.infer(prompts.doc_prompts(readable), model, prompts.TEMPERATURE["documentation"], batch=batch)
+    docs = replies.parse_docs(asked.select("repo", "path", "error", "raw"))
+    failed = F.concat(F.lit("_Documentation generation failed: "), F.col("error"), F.lit("_"))
+    docs = docs.select("repo", "path", F.coalesce(failed, "doc").alias("doc"), "error")
+    repos = listed.select("repo").distinct()
+    readme = prompts.readme_prompts(wanted, readable, groups=repos)
+    readme = prompts.infer(readme, model, prompts.TEMPERATURE["readme"], batch=batch)
+    failed = F.concat(F.lit("# README\n\n_Generation failed: "), F.col("error"), F.lit("_"))
+    readme = readme.select("repo", F.lit("README.md").alias("path"), F.coalesce("raw", failed, F.lit("")).alias("doc"), "error")
+    bare = corpus.select("repo").distinct().join(repos, "repo", "left_anti")
+    nothing = F.lit(None).cast("string")
+    bare = bare.select("repo", nothing.alias("path"), nothing.alias("doc"), F.lit(K.NO_FILES_MESSAGE).alias("error"))
+    return docs.unionByName(readme).unionByName(bare)

@@ -292,8 +292,10 @@ def test_documentation_of_files(spark, files):
 
     corpus = files({"a.py": "x", "b.py": "y" * 51201, "c.md": "z", "d.go": "w"}).drop("language")
     out = sorted(tuple(r) for r in review.document_files(corpus, model).collect())
-    assert out == [("r", "README.md", "# readme"), ("r", "a.py", "doc of a.py")]
-    assert [r["path"] for r in review.document_files(corpus, model, ["zz"]).collect()] == []
+    assert out == [("r", "README.md", "# readme", None), ("r", "a.py", "doc of a.py", None)]
+    assert [r["path"] for r in review.document_files(corpus, model, ["zz"]).collect()] == ["README.md"]
+    bare = files({"note.txt": "x"}).drop("language")
+    assert [(r["path"], r["error"]) for r in review.document_files(bare, model).collect()] == [(None, K.NO_FILES_MESSAGE)]
 
 
 def test_shared_folder_follows_the_session(spark):
@@ -304,7 +306,7 @@ def test_shared_folder_follows_the_session(spark):
 PYTHON_ALLOWED = {
     "smell_long_function", "smell_missing_docstring", "smell_deep_nesting", "all_smells", "py_nodes", "py_functions", "py_classes",
     "py_imports", "py_complexity", "py_nesting", "file_metrics", "review_prompts", "infer_stub", "static_report",
-    "static_categories", "scan_source_tree", "scan_event_log", "stream_smells", "stream_severity",
+    "generate_docs", "static_categories", "scan_source_tree", "scan_event_log", "stream_smells", "stream_severity",
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusreview import constants as K
 from corpusreview.operators import issues as I
+from corpusreview.operators import prompts
 from corpusreview.operators import replies as RP
 from corpusreview.operators import scoring as SC
 from corpusreview.operators.ranking import position
@@ -209,6 +210,29 @@ def test_search_is_plain_text(reviews):
     assert I.filter_issues(flat, severity="info", category="c", term="XX").count() == 1
 
 
+def test_text_that_closes_the_array_itself_is_no_json(spark):
+    body = '{"issues":[],"score":9,"summary":"s"}'
+    texts = [body, body + ", 1] trailing", body + ',"x"]', body + ',"~end of reply~"]', body + " x", " " + body + "\n", "[1", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert values(df.select("i", RP.strict_json(F.col("t")).isNotNull().alias("ok")).orderBy("i"), "ok") == [True, False, False, False, False, True, False, False]
+
+
+def test_failing_prompts_are_found_by_halves(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(texts, temperature):
+        calls.add(1)
+        if any("bad" in t for t in texts):
+            raise ValueError("quota")
+        return [t.upper() for t in texts]
+
+    rows = [(i, "bad" if i == 37 else f"p{i}") for i in range(64)]
+    df = spark.createDataFrame(rows, "i int, prompt string").coalesce(1)
+    out = {r["i"]: (r["raw"], r["error"]) for r in prompts.infer(df, model, batch=64).collect()}
+    assert out == {i: (None, "ValueError: quota") if i == 37 else (t.upper(), None) for i, t in rows}
+    assert calls.value <= 2 * 6 + 1
+
+
 def test_sort_by_file_is_locale_aware(reviews):
     paths = ["b", "_z", "B", "a", "A"]
     flat = RP.flatten_issues(reviews([(1, i, p, 1, [issue()]) for i, p in enumerate(paths)]))
@@ -228,9 +252,9 @@ def test_positions_across_blocks(spark):
 
 def test_positions_of_sparse_ids(spark):
     """Ids a block apart each: no window holds the whole run."""
-    df = spark.range(3000).selectExpr("1 AS run_id", "id * 1000003 * 1048576 AS seq")
+    df = spark.range(3000).selectExpr("1 AS run_id", "id * 1000003L * 1048576L AS seq")
     out = position(df, ["run_id"], ["seq"], blocks=(1 << 20, 1 << 22))
-    assert out.filter("position <> seq / (1000003 * 1048576) + 1").count() == 0
+    assert out.filter("position <> seq div (1000003L * 1048576L) + 1").count() == 0
     windows = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Window" in line and "windowspecdefinition" in line]
     assert sum("_block" in line for line in windows) >= 2
 

@@ -94,6 +94,16 @@ def test_security_equals_a_plain_loop(files):
     assert got == sorted(want)
 
 
+def test_sql_rule_is_linear_on_one_line(files):
+    import time
+
+    scan(files, "warm")
+    start = time.perf_counter()
+    assert scan(files, "select " * 7000) == []
+    assert len(scan(files, "select " * 7000 + "+ x")) == 1
+    assert time.perf_counter() - start < 6
+
+
 def test_code_quality(files):
     code = "x" * 121 + " TODO\nok\n# FIXME\n# todo"
     out = {r["path"]: r for r in Q.code_quality(files({"a.py": code, "b.py": '"""doc"""', "c.py": ""})).collect()}
