@@ -311,9 +311,7 @@ for _name, _cte in (
     ("smell_deep_nesting", "s_deep"), ("all_smells", "smells"),
 ):
     oracle(_name, SMELLS, f"SELECT repo, path, rule, line, severity, description FROM {_cte}")
-oracle("stream_smells", SMELLS, """
-SELECT repo, path, rule, line, severity, description FROM smells WHERE (repo, path) IN (SELECT (source, path) FROM (
-  SELECT source, """ + R.DOC_PATH + """ AS path FROM documents))""")
+oracle("stream_smells", SMELLS, "SELECT repo, path, rule, line, severity, description FROM smells")
 oracle("quality_long_line", WITH_LINES, """
 SELECT repo, path, CAST(line_no AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS chars FROM lines WHERE length(line) > 120""")
 oracle("quality_todo", WITH_LINES, """

@@ -579,12 +579,15 @@ def run_state(spark, sf_dir):
 
 @query
 def stream_smells(spark, sf_dir):
-    """Smells of documents as a stream of files, written by a streaming query and read back."""
+    """Smells of documents, pages and rendered files as streams, written by a streaming query and read back."""
     target, checkpoint = fresh_folder(spark, "smells"), fresh_folder(spark, "checkpoint")
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = jobs.stream_table(spark, sf_dir, schema, "documents.parquet")
-    files = SEL.analysed(R.doc_rows(stream))
-    jobs.stream_smells(files, target, checkpoint)
+
+    def stream(name):
+        return jobs.stream_table(spark, sf_dir, spark.read.parquet(f"{sf_dir}/{name}.parquet").schema, f"{name}.parquet")
+
+    files = R.doc_rows(stream("documents")).unionByName(R.page_rows(stream("pages")))
+    files = files.unionByName(R.code_rows(stream("orders"), once=True))
+    jobs.stream_smells(SEL.analysed(files), target, checkpoint)
     return spark.read.parquet(target)
 
 

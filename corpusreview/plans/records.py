@@ -172,20 +172,29 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_rows(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
-def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").selectExpr(
+def page_rows(pages: DataFrame) -> DataFrame:
+    """Files of a ``pages`` table or stream."""
+    return pages.selectExpr(
         f"{PAGE_REPO} AS repo", f"{PAGE_PATH} AS path", "CAST(octet_length(html) AS BIGINT) AS size", "html AS content"
     )
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rows(table(spark, sf_dir, "pages"))
+
+
 def rendered_orders(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
-    """``orders`` keys with a rendered source text: Python blocks for one file in seven, template lines for the rest.
+    return rendered(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), once)
+
+
+def rendered(orders: DataFrame, once: bool = False) -> DataFrame:
+    """Keys of an ``orders`` table or stream with a rendered source text: Python blocks for one file in seven, template
+    lines for the rest.
 
     ``once`` renders before any filter on the text's size, for queries that need the text anyway; without it a query on
     paths alone renders nothing.
     """
     blocks, lines = F.array(*[F.lit(b) for b in PY_BLOCKS]), F.array(*[F.lit(x) for x in LINES])
-    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     picks = (
         orders.withColumn("_blocks", blocks)
         .withColumn("_lines", lines)
@@ -207,12 +216,17 @@ def rendered_orders(spark: SparkSession, sf_dir: str, once: bool = False) -> Dat
     return picks.selectExpr("o_orderkey", "o_custkey", content)
 
 
-def code_files(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
-    return rendered_orders(spark, sf_dir, once).selectExpr(
+def code_rows(orders: DataFrame, once: bool = False) -> DataFrame:
+    """Rendered files of an ``orders`` table or stream."""
+    return rendered(orders, once).selectExpr(
         f"{CODE_REPO} AS repo", f"{CODE_PATH} AS path", "CAST(octet_length(content) AS BIGINT) AS size", "content"
     )
 
 
+def code_files(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    return code_rows(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), once)
+
+
 def source_files(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """``repo, path, size, content`` of the whole corpus."""
     given = doc_files(spark, sf_dir).unionByName(page_files(spark, sf_dir))

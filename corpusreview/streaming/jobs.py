@@ -20,13 +20,18 @@ def stream_table(
     return reader.parquet(folder)
 
 
-def append_stream(stream: DataFrame, target: str, checkpoint: str, wait: bool = True):
-    """Write a stateless stream as Parquet, exactly once, until what is there now is processed."""
+def _when(every: str | None) -> dict:
+    """Trigger of a stream: at the given interval (``"10 seconds"``) for ever, or once over what is there now."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def append_stream(stream: DataFrame, target: str, checkpoint: str, wait: bool = True, every: str | None = None):
+    """Write a stateless stream as Parquet, exactly once: what is there now, or ``every`` so often until it is stopped."""
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**_when(every))
         .start(target)
     )
     if wait:
@@ -34,10 +39,11 @@ def append_stream(stream: DataFrame, target: str, checkpoint: str, wait: bool =
     return query
 
 
-def update_stream(stream: DataFrame, target: str, checkpoint: str, wait: bool = True):
+def update_stream(stream: DataFrame, target: str, checkpoint: str, wait: bool = True, every: str | None = None):
     """Write the changed rows of a streaming aggregate, one folder per micro-batch.
 
     A repeated micro-batch overwrites its own folder, so a restart after a lost executor or driver adds nothing twice.
+    With ``every`` the stream keeps running; give the stream a watermark on its event time to let old state go.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -47,7 +53,7 @@ def update_stream(stream: DataFrame, target: str, checkpoint: str, wait: bool =
         stream.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .outputMode("update")
-        .trigger(availableNow=True)
+        .trigger(**_when(every))
         .start()
     )
     if wait:
@@ -55,6 +61,12 @@ def update_stream(stream: DataFrame, target: str, checkpoint: str, wait: bool =
     return query
 
 
+def compact(spark: SparkSession, source: str, target: str, keys: list[str]) -> None:
+    """Write the current rows of an ``update_stream`` table as a table of one version, so that reads stay short."""
+    newest = spark.read.option("basePath", source).parquet(source).agg(F.max("batch_id")).first()[0]
+    latest(spark, source, keys).write.mode("overwrite").parquet(f"{target}/batch_id={newest}")
+
+
 def latest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """Current rows of a table written by ``update_stream``: the newest version per key."""
     versions = spark.read.option("basePath", target).parquet(target)
@@ -64,7 +76,8 @@ def latest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
 
 
 def stream_smells(
-    files: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d
-) -> None:
-    """Smells of files as they arrive; the same stateless operators as on a table."""
-    append_stream(smells.all_smells(prepare(files)), target, checkpoint)
+    files: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d,
+    every: str | None = None,
+):
+    """Smells of files as they arrive; the same stateless operators as on a table.  ``every`` keeps the stream running."""
+    return append_stream(smells.all_smells(prepare(files)), target, checkpoint, wait=every is None, every=every)

@@ -199,6 +199,25 @@ def test_streaming_state_and_severity_equal_batch(spark, tmp_path, event_stream)
         assert got == {tuple(r) for r in op(events).collect()} and got
 
 
+def test_stream_keeps_running_and_compacts(spark, tmp_path):
+    folder, target, check, small = (str(tmp_path / n) for n in ("in", "out", "check", "small"))
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.filter("event_id % 2 = 0").write.parquet(folder)
+    stream = R.events_from(jobs.stream_table(spark, folder, events.schema, "*.parquet"))
+    query = jobs.update_stream(progress.stream_severity(stream), target, check, wait=False, every="1 second")
+    try:
+        query.processAllAvailable()
+        events.filter("event_id % 2 = 1").write.mode("append").parquet(folder)
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    jobs.compact(spark, target, small, ["run_id", "severity"])
+    want = sorted(map(tuple, progress.stream_severity(R.review_events(spark, SF)).collect()))
+    for table in (target, small):
+        assert sorted(map(tuple, jobs.latest(spark, table, ["run_id", "severity"]).collect())) == want
+
+
 def test_stream_resumes_without_repeating(spark, tmp_path):
     folder, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     documents = spark.read.parquet(f"{SF}/documents.parquet")
