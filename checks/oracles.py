@@ -594,10 +594,11 @@ oracle("issues_sorted_file", REVIEWS, "SELECT run_id, file_path, seq, CAST(issue
 oracle("issues_in_file", REVIEWS, f"""
 SELECT run_id, fp AS file_path, row_number() OVER (PARTITION BY run_id, fp ORDER BY {RANK}, seq, issue_no) AS position, severity, seq,
   CAST(issue_no AS INTEGER) AS issue_no FROM (SELECT *, CASE WHEN file_path = '' THEN 'Unknown file' ELSE file_path END AS fp FROM iss)""")
-oracle("issues_by_file", REVIEWS, """
-SELECT g.run_id, g.file_path, issue_count, f.language, f.score, f.summary,
+oracle("issues_by_file", REVIEWS, f"""
+SELECT g.run_id, g.file_path, issue_count, row_number() OVER (PARTITION BY g.run_id ORDER BY place) AS group_no, f.language, f.score, f.summary,
   CAST(issue_count AS STRING) || CASE WHEN issue_count = 1 THEN ' issue' ELSE ' issues' END AS issue_text
-FROM (SELECT run_id, CASE WHEN file_path = '' THEN 'Unknown file' ELSE file_path END AS file_path, count(*) AS issue_count FROM iss GROUP BY ALL) g
+FROM (SELECT run_id, CASE WHEN file_path = '' THEN 'Unknown file' ELSE file_path END AS file_path, count(*) AS issue_count, min(({RANK}, seq, issue_no)) AS place
+  FROM iss GROUP BY 1, 2) g
 LEFT JOIN (SELECT * FROM rv QUALIFY row_number() OVER (PARTITION BY run_id, file_path ORDER BY seq) = 1) f
   ON f.run_id = g.run_id AND f.file_path = g.file_path""")
 CATEGORY_ROWS = """

@@ -20,23 +20,23 @@ def _lower(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
-def filter_issues(issues: DataFrame, severity: str = ALL, category: str = ALL, term: str = "") -> DataFrame:
-    """Issues of a severity, of a category, containing a term (plain substring, any case, not trimmed)."""
-    out = issues
+def passes(severity: str = ALL, category: str = ALL, term: str = "") -> Column:
+    """Whether an issue has a severity, a category and contains a term (plain substring, any case, not trimmed)."""
+    out = F.lit(True)
     if severity != ALL:
-        out = out.filter(F.col("severity") == severity)
+        out &= F.col("severity") == severity
     if category != ALL:
-        out = out.filter(F.col("category") == category)
+        out &= F.col("category") == category
     if term.strip():
-        needle = F.lit(term.lower())
-        out = out.filter(
-            F.contains(_lower("description"), needle)
-            | F.contains(_lower("file_path"), needle)
-            | F.contains(_lower("category"), needle)
-        )
+        out &= F.greatest(*[F.contains(_lower(c), F.lit(term.lower())) for c in ("description", "file_path", "category")])
     return out
 
 
+def filter_issues(issues: DataFrame, severity: str = ALL, category: str = ALL, term: str = "") -> DataFrame:
+    """Issues that pass the filters."""
+    return issues.filter(passes(severity, category, term))
+
+
 def search_issues(issues: DataFrame, term: str) -> DataFrame:
     return filter_issues(issues, term=term)
 
@@ -55,10 +55,9 @@ def sort_by_file(issues: DataFrame) -> DataFrame:
 
 def shown_counts(issues: DataFrame, reviews: DataFrame, **filters: str) -> DataFrame:
     """Issues that pass the filters, all issues and reviewed files per run."""
-    kept = filter_issues(issues, **filters).groupBy("run_id").agg(F.count("*").alias("shown"))
-    all_issues = issues.groupBy("run_id").agg(F.count("*").alias("issues"))
+    counts = issues.groupBy("run_id").agg(F.count_if(passes(**filters)).alias("shown"), F.count("*").alias("issues"))
     files = reviews.groupBy("run_id").agg(F.count("*").alias("files"))
-    out = files.join(all_issues, "run_id", "left").join(kept, "run_id", "left")
+    out = files.join(counts, "run_id", "left")
     return out.na.fill(0, ["shown", "issues"]).select("run_id", "shown", "issues", "files")
 
 
@@ -85,9 +84,10 @@ def category_share(issues: DataFrame, n: int = K.TOP_CATEGORIES) -> DataFrame:
 
 def issue_categories(issues: DataFrame) -> DataFrame:
     """Filter choices per run: ``all``, then the distinct non-empty categories in order."""
-    named = issues.filter(F.col("category") != "").select("run_id", "category", F.lit(1).alias("_kind"))
-    every = issues.select("run_id", F.lit(ALL).alias("category"), F.lit(0).alias("_kind"))
-    return named.unionByName(every).distinct().orderBy("run_id", "_kind", "category").drop("_kind")
+    every = F.struct(F.lit(0).alias("_kind"), F.lit(ALL).alias("category"))
+    named = F.when(F.col("category") != "", F.struct(F.lit(1).alias("_kind"), F.col("category").alias("category")))
+    choices = issues.select("run_id", F.explode(F.array_compact(F.array(every, named))).alias("c")).select("run_id", "c.*")
+    return choices.distinct().orderBy("run_id", "_kind", "category").drop("_kind")
 
 
 def score_distribution(reviews: DataFrame) -> DataFrame:
@@ -119,9 +119,15 @@ def first_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def issues_by_file(issues: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row per run and path that has issues: how many, and the first review of that path if there is one."""
+    """One row per run and path that has issues: how many, and the first review of that path if there is one.
+
+    ``group_no`` is the order in which the paths first appear among the run's issues sorted by severity.
+    """
     path = F.coalesce(F.nullif(F.col("file_path"), F.lit("")), F.lit(K.UNKNOWN_FILE))
-    groups = issues.groupBy("run_id", path.alias("file_path")).agg(F.count("*").alias("issue_count"))
+    place = F.struct(S.severity_rank(F.col("severity")).alias("_rank"), F.col("seq").alias("_seq"), F.col("issue_no").alias("_no"))
+    groups = issues.groupBy("run_id", path.alias("file_path")).agg(F.count("*").alias("issue_count"), F.min(place).alias("_first"))
+    groups = groups.select("run_id", "file_path", "issue_count", "_first.*")
+    groups = position(groups, ["run_id"], ["_seq", "_no"], "group_no", lead=("_rank",)).drop("_rank", "_seq", "_no")
     joined = groups.join(first_reviews(reviews), ["run_id", "file_path"], "left")
     return joined.withColumn("issue_text", S.counted(F.col("issue_count"), "issue"))
 
