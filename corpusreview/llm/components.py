@@ -63,14 +63,15 @@ def linked_by_lists(lists: DataFrame, may_link: Callable[[str, str], Column], ve
         placed = common.write_stage(placed.join(spans.select("key"), "key"), "open-lists")
         if placed.isEmpty():
             break
-        centres = placed
+        centres, once = placed, F.col("a.node") < F.col("b.node")
         if turn < STAR_ROUNDS:
+            once = F.lit(True)
             # the first round takes the same member of overlapping lists, later rounds others
             order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
             centres = placed.groupBy("key").agg(F.min_by(F.struct("node", "label", *payload), order).alias("c")).select("key", "c.*")
         pairs = (
             placed.alias("a")
-            .join(centres.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b"))
+            .join(centres.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & once & may_link("a", "b"))
             .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
             .distinct()
         )

@@ -189,9 +189,8 @@ def _may_link(a: str, b: str):
     smaller, larger = F.least(col(a, "size"), col(b, "size")), F.greatest(col(a, "size"), col(b, "size"))
     needed = (col(a, "size") + col(b, "size")) * OF
     length = smaller * 4 >= larger * 3
-    # the entry matches; before it at most the shorter start, after it at most the shorter rest
-    rest = F.least(col(a, "size") - col(a, "at"), col(b, "size") - col(b, "at"))
-    positional = (F.least(col(a, "at"), col(b, "at")) + rest) * PARTS >= needed
+    # all that two linked sets share stands, in both, from their first common entry on; this may be any entry but for that one
+    positional = F.least(col(a, "size") - col(a, "at"), col(b, "size") - col(b, "at")) * PARTS >= needed
     slots = F.aggregate(F.zip_with(col(a, "slots"), col(b, "slots"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     return length & positional & (slots * PARTS >= needed)
 
