@@ -7,7 +7,8 @@ import numpy as np
 HIDDEN = 24
 #: Time steps of a window of backpropagation, and of a block of scoring; the state is carried from one to the next.
 WINDOW = 24
-LANES = 192
+SPAN = 64
+LANES = 512
 RATE = 0.006
 #: Token 0 ends a text; it also stands before the first token.
 END = 0
@@ -148,7 +149,7 @@ class Gru:
         The stream is cut into lanes that are read side by side, window by window.
         """
         state = state or {"m": np.zeros_like(self.flat), "v": np.zeros_like(self.flat), "t": 0, "seen": 0}
-        lanes = max(1, min(LANES, len(tokens) // (4 * WINDOW)))
+        lanes = max(1, min(LANES, len(tokens) // (16 * WINDOW)))
         steps = len(tokens) // lanes
         if not steps:
             return state
@@ -182,8 +183,8 @@ class Gru:
         longest = int(sizes[0]) if len(sizes) else 0
         running = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), "right")
         last = np.full(len(counts), END, tokens.dtype)
-        for begin in range(0, longest, WINDOW):
-            span = running[begin : begin + WINDOW]
+        for begin in range(0, longest, SPAN):
+            span = running[begin : begin + SPAN]
             states = np.empty((int(span.sum()), self.hidden), np.float32)
             targets = np.empty(len(states), tokens.dtype)
             lane = np.empty(len(states), np.int64)

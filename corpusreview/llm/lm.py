@@ -323,7 +323,8 @@ def model_scores(docs: DataFrame, corpus: Corpus, model: Gru) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, starts, size, flat = shared.value
         model = Gru(starts, size, flat=flat)
-        for piece in common.text_chunks(batches):
+        # more documents side by side: the steps of the longest cost the least that way
+        for piece in common.text_chunks(batches, limit=2 * common.CHUNK_BYTES):
             tokens, counts, keys = keyed_words(common.plain_texts(piece.column("text")))
             scores = model.score(corpus.outputs(keys)[tokens], counts) / np.log(10)
             yield pa.record_batch({"doc_id": piece.column("doc_id"), "text_key": piece.column("text_key"), "modelled": pa.array(scores)})
