@@ -20,6 +20,8 @@ PARTS, OF = 7, 3
 #: Bits of a shingle's hash; slots of the hash range whose counts bound what two documents can share.
 HASH_BITS = 48
 SLOTS = 64
+#: Ranges of hashes for each shuffle partition: a task holds one at a time.
+RANGES = 2
 
 _LISTS = "kind int, part int, chunk bigint, data binary"
 
@@ -164,7 +166,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """
     partitions = common.shuffle_partitions(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    lists = keyed.mapInArrow(_invert(partitions), _LISTS)
+    lists = keyed.mapInArrow(_invert(RANGES * partitions), _LISTS)
     counted = lists.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_count, _LISTS)
     ordered = counted.repartition(partitions, "chunk").sortWithinPartitions("chunk").mapInArrow(
         _order,
