@@ -112,6 +112,32 @@ def test_line_dedup_query(spark):
     assert links and found == {i: t for (i, _), t in expected.items()}
 
 
+def edited(draw, own, k):
+    """A line with ``k`` words replaced, inserted or deleted at places spread over it."""
+    own = list(own)
+    for at in sorted(draw.choice(len(own), k, replace=False).tolist(), reverse=True):
+        kind = draw.integers(0, 4)
+        own[at : at + 1] = [] if kind == 0 else [own[at], f"in{draw.integers(1 << 40)}"] if kind == 1 else [f"re{draw.integers(1 << 40)}"]
+    return own
+
+
+def test_line_dedup_finds_what_brute_force_finds(spark):
+    draw = np.random.default_rng(10)
+    texts = []
+    for length in (5, 6, 7, 10, 13, 14, 20, 34, 50, 120):
+        for _ in range(8):
+            base = [f"c{int(x)}" for x in np.minimum(draw.zipf(1.3, length), 400)] if draw.integers(2) else [f"w{x}" for x in draw.integers(0, 4000, length)]
+            texts += [edited(draw, base, k) for k in {0, 1, length * 15 // 100, length * 15 // 100 + 1} if k < length]
+    texts = [list(x) for x in dict.fromkeys(map(tuple, texts)) if len(x) >= lines.MIN_WORDS]
+    longer = lambda i, j: max(len(texts[i]), len(texts[j]))
+    near = lambda i, j: abs(len(texts[i]) - len(texts[j])) <= 0.15 * longer(i, j) and edits(texts[i], texts[j]) * 100 <= 15 * longer(i, j)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if set(texts[i]) & set(texts[j]) and near(i, j)]
+    expected = {i: 0 if least == i else 1 for i, least in groups(range(len(texts)), links).items()}
+    rows = [(i, " ".join(x), None, None, None) for i, x in enumerate(texts)]
+    found = lines.dedup_lines(frame(spark, rows).repartition(5)).select("row.doc_id", "n_removed").collect()
+    assert sum(expected.values()) > 100 and {r.doc_id: r.n_removed for r in found} == expected
+
+
 def plain_topk(queries, rows, k):
     import math
 
