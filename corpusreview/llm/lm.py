@@ -17,10 +17,9 @@ from corpusreview.llm.gru import END, Gru, classes_of
 #: The most frequent words that have an output of their own; the others share outputs by their last two bytes.
 VOCABULARY = 4096
 KINDS = 64
-#: About so many training documents give the model its first weights, in the driver; then one training document in so many
-#: trains it in the tasks, so what it learns from grows with the corpus.  Counts, classes and rare words come from all of them.
+#: About so many training documents give the model its first weights, in the driver; then all training documents train it in
+#: the tasks.  Counts, classes and rare words come from all of them, too.
 SEED_DOCUMENTS = 1500
-TRAIN_ONE_IN = 2
 _END_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CELLS = 4096
 #: Tasks that merge the statistics of all others.
@@ -262,7 +261,7 @@ def new_model(corpus: Corpus) -> Gru:
 def train(docs: DataFrame, corpus: Corpus) -> Gru:
     """The recurrent model: first weights from a bounded sample, then trained by all tasks side by side and averaged.
 
-    Every task trains on its share of the training documents, window by window, starting from the first weights; Spark sums the
+    Every task trains on all training documents of its partition, window by window, starting from the first weights; Spark sums the
     weights of all tasks, each times the tokens it saw, and the driver gets one vector whatever the size of the corpus.
     """
     model = new_model(corpus)
@@ -290,7 +289,7 @@ def train(docs: DataFrame, corpus: Corpus) -> Gru:
             yield _cells(list(range(len(cells))), cells, [state["seen"]] * len(cells))
 
     partitions = common.shuffle_partitions(docs.sparkSession)
-    cells = learned.filter(draw % TRAIN_ONE_IN == 0).select("text").mapInArrow(run, "cell int, seen bigint, weights array<double>")
+    cells = learned.select("text").mapInArrow(run, "cell int, seen bigint, weights array<double>")
     summed = cells.repartition(partitions, "cell").mapInArrow(_sum_cells, "cell int, seen bigint, weights array<double>").orderBy("cell").toArrow()
     if summed.num_rows:
         weights = np.concatenate([np.array(w) for w in summed["weights"].to_pylist()])

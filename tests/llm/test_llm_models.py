@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm_plain import frame, near_duplicates, odd_rows, prose, words
+from pyspark.sql import functions as F
 from test_llm_joins import in_order, plain_line_dedup
 
 import corpus_pipeline
@@ -161,6 +162,19 @@ def test_lm_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_training_document_trains_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SEED_DOCUMENTS", 0)  # else the few documents of a test all reach the first weights
+    rows = [(i, " ".join(["the", f"own{i}", "word"] * 40), None, None, None) for i in range(40)]
+    docs = frame(spark, rows).repartition(2).withColumn("text_key", F.xxhash64("text")).withColumn("held_out", lm.held_out(F.col("doc_id")))
+    docs = common.write_stage(docs.select("doc_id", "text", "text_key", "held_out"), "test-docs")
+    corpus = lm.corpus_counts(docs)[1]
+    moved = np.abs(lm.train(docs, corpus).part["x"] - lm.new_model(corpus).part["x"]).sum(axis=1)
+    for i in range(40):
+        tokens, _, keys = lm.keyed_words(pa.array([f"own{i}"], pa.large_string()))
+        if crc(i) % 5 != 1:
+            assert moved[corpus.outputs(keys)[tokens[0]]] > 0
+
+
 def documents(spark, df):
     return [tuple(r) for r in df.select(*corpus_pipeline.COLUMNS).collect()]
 
