@@ -128,6 +128,14 @@ def test_licenses_are_told_apart_by_wording():
     assert not licenses.scan("He had no license to warrant such permission.") and not licenses.scan("")
 
 
+def test_statement_beside_part_of_a_long_text():
+    part = " ".join(licenses.TEXTS["GPL-3.0"].split()[:45])
+    assert [f.license for f in licenses.scan(f"Released under the MIT License. {part}")] == ["MIT"]
+    half = licenses.TEXTS["BSD-3-Clause"].split()
+    found = licenses.scan(f"Released under the MIT License. {' '.join(half[: len(half) // 2])}")
+    assert [(f.license, f.edits) for f in found] == [("MIT", 0)]
+
+
 def test_license_query_finds_all_statements(spark):
     statements = {
         "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Released under the MIT License": "MIT",
