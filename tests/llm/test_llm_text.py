@@ -3,6 +3,7 @@
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from llm_plain import frame, odd_rows, prose, shingle_set, words
 from tokenizers import Tokenizer
@@ -136,6 +137,13 @@ def test_statement_beside_part_of_a_long_text():
     assert [(f.license, f.edits) for f in found] == [("MIT", 0)]
 
 
+def test_cues_of_two_words_over_spaces_and_lines():
+    for text in ("Released  under CC0 1.0.", "Prose first.\nReleased\nunder CC0 1.0.", "Released under\nCC0 1.0.\nProse after."):
+        assert [f.license for f in licenses.scan(text)] == ["CC0-1.0"]
+    rows = [(1, "Released\n\tunder CC BY 4.0.", None, None, None)]
+    assert pc.match_substring_regex(pa.array([r[1] for r in rows]), licenses.CUE, ignore_case=True).to_pylist() == [True]
+
+
 def test_license_query_finds_all_statements(spark):
     statements = {
         "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Released under the MIT License": "MIT",
