@@ -85,8 +85,17 @@ def _tree_udf():
                     elif isinstance(x, ast.AST) and type(x) not in leaves:
                         yield x
 
+        def parsed(code):
+            """The tree; a text that is nested too deep for the parser is a faulty text, a lack of memory is not."""
+            try:
+                return ast.parse(code)
+            except MemoryError as e:
+                if "too complex" in str(e) or "stack overflowed" in str(e):
+                    raise SyntaxError(str(e)) from None
+                raise
+
         def nodes(code):
-            rows, open_rows, todo, counts = [], [], [(ast.parse(code), 0, 0)], boolean_lines(code)
+            rows, open_rows, todo, counts = [], [], [(parsed(code), 0, 0)], boolean_lines(code)
             while todo:
                 node, level, depth = todo.pop()
                 if node is None:  # all below row number ``level`` is done: its sums go to the row above

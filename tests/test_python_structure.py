@@ -1,6 +1,7 @@
 """Python structure against an independent recursive twin."""
 
 import ast
+import os
 import random
 
 from corpusreview.operators import py_structure as PY
@@ -107,6 +108,35 @@ def test_deep_text_does_not_fail_the_job(files):
     assert all(r["function_count"] == 0 for r in rows)
 
 
+def test_lack_of_memory_fails_the_job():
+    """Only what depends on the text alone is an error of the file."""
+    import subprocess
+    import sys
+
+    code = (
+        "import ast\n"
+        "import pyarrow as pa\n"
+        "from corpusreview.operators import py_structure as PY\n"
+        "run = PY._tree_udf().func\n"
+        "real = ast.parse\n"
+        "def parse(text, fails={'deep': 'Parser stack overflowed - Python source too complex to parse', 'full': ''}):\n"
+        "    if text in fails:\n"
+        "        raise MemoryError(fails[text])\n"
+        "    return real(text)\n"
+        "ast.parse = parse\n"
+        "out = next(run(iter([pa.array(['deep', 'x = 1'])]))).to_pylist()\n"
+        "assert [r['has_errors'] for r in out] == [True, False], out\n"
+        "try:\n"
+        "    next(run(iter([pa.array(['full'])])))\n"
+        "except MemoryError:\n"
+        "    print('raised')\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark_home = "from pyspark.sql import SparkSession\nSparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+    out = subprocess.run([sys.executable, "-c", spark_home + code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert "raised" in out.stdout, out.stderr[-2000:]
+
+
 def test_function_smells(files):
     body = "\n".join(["    x = 1"] * 50)
     code = f"def long():\n{body}\ndef short():\n    'd'\n" + "\n".join("    " * (i + 1) + "if a:" for i in range(5)) + "\n" + " " * 24 + "pass"
