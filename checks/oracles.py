@@ -10,9 +10,11 @@ import re
 
 from corpusreview import constants as K
 from corpusreview.plans import records as R
+from corpusreview.plans.catalog import SESSION_SILENCE
 from corpusreview.plans.templates import LINES, PY_BLOCKS
 
 ORACLES: dict[str, str] = {}
+SILENCE = SESSION_SILENCE * 1_000_000
 
 
 def q(text: str) -> str:
@@ -483,6 +485,10 @@ oracle("review_prompts", PROMPTS, "SELECT * FROM rpr")
 oracle("infer_stub", PROMPTS, """
 SELECT repo AS run_id, path AS file_path, language, CAST(length(prompt) % 101 AS DOUBLE) AS score,
   CAST(length(prompt) AS STRING) || ' characters' AS summary, false AS is_fallback FROM rpr""")
+oracle("infer_ledger", FILES, """
+SELECT repo, path, md5(prompt) || ' at 0.2' AS raw, CAST(NULL AS STRING) AS error,
+  CASE WHEN ('0x' || left(md5(prompt), 8))::BIGINT % 7 = 0 THEN 'ValueError: quota' END AS first_error
+FROM (SELECT repo, path, 'Judge: ' || left(content, 40) AS prompt FROM kept)""")
 oracle("doc_prompts", WITH_LINES, f"""
 SELECT repo, path, language, 'Write Markdown documentation for this ' || language || ' file: ' || path || {NL} || {NL}
   || 'Cover its purpose, every function and class with parameters and results, examples and caveats.' || {NL} || {NL}
@@ -571,6 +577,12 @@ SELECT repo, path, CASE doc_id % 8 WHEN 3 THEN 'missing_key' WHEN 4 THEN 'invali
   CASE doc_id % 8 WHEN 3 THEN '{"doc": "other ' || CAST(doc_id AS STRING) || '"}' WHEN 4 THEN '_Documentation generation failed: invalid_json_'
     WHEN 5 THEN '_Documentation generation failed: not_a_text_' ELSE md END AS doc FROM d""")
 
+oracle("published_docs", f"""
+d AS (SELECT doc_id, source AS repo, {R.DOC_PATH} AS path, text, {R.DOC_TEXT} AS md FROM documents)""", """
+SELECT repo, path, string_split(string_split(path, '/')[-1], '.')[1] || '_docs.md' AS file_name, status, md5(doc) AS doc_md5 FROM (SELECT repo, path, CASE doc_id % 8 WHEN 3 THEN 'missing_key' WHEN 4 THEN 'invalid_json' WHEN 5 THEN 'not_a_text' ELSE 'ok' END AS status,
+  CASE doc_id % 8 WHEN 3 THEN '{"doc": "other ' || CAST(doc_id AS STRING) || '"}' WHEN 4 THEN '_Documentation generation failed: invalid_json_'
+    WHEN 5 THEN '_Documentation generation failed: not_a_text_' ELSE md END AS doc FROM d)""")
+
 # ---- issues ----------------------------------------------------------------------------------------------------------
 ISSUE_COLUMNS = "run_id, seq, CAST(issue_no AS INTEGER) AS issue_no, file_path, severity, category, line_number, description, suggestion"
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 WHEN 'suggestion' THEN 3 ELSE 99 END"
@@ -590,7 +602,9 @@ SELECT run_id, seq, CAST(issue_no AS INTEGER) AS issue_no, severity, upper(left(
 oracle("issues_sorted_severity", REVIEWS, f"""
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY {RANK}, seq, issue_no) AS position, severity, {RANK} AS severity_rank,
   seq, CAST(issue_no AS INTEGER) AS issue_no, file_path FROM iss""")
-oracle("issues_sorted_file", REVIEWS, "SELECT run_id, file_path, seq, CAST(issue_no AS INTEGER) AS issue_no, severity FROM iss")
+oracle("issues_sorted_file", REVIEWS, """
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(file_path, '') COLLATE icu_noaccent, seq, issue_no) AS position,
+  file_path, seq, CAST(issue_no AS INTEGER) AS issue_no, severity FROM iss""")
 oracle("issues_in_file", REVIEWS, f"""
 SELECT run_id, fp AS file_path, row_number() OVER (PARTITION BY run_id, fp ORDER BY {RANK}, seq, issue_no) AS position, severity, seq,
   CAST(issue_no AS INTEGER) AS issue_no FROM (SELECT *, CASE WHEN file_path = '' THEN 'Unknown file' ELSE file_path END AS fp FROM iss)""")
@@ -645,6 +659,13 @@ REPORT_COLUMNS = "total_files, files_analyzed, overall_score, critical_count, wa
 oracle("severity_counts", COUNTED, "SELECT run_id, critical_count, warning_count, info_count FROM sums")
 oracle("overall_score", REPORT, "SELECT run_id, overall_score FROM rep")
 oracle("run_report", REPORT, f"SELECT run_id, {REPORT_COLUMNS}, {SUMMARY} AS summary FROM rep")
+oracle("published_reports", REPORT, f"""
+SELECT r.run_id, CASE WHEN c.c_custkey IS NOT NULL THEN 'https://example.org/r' || CAST(r.run_id AS STRING) END AS repo_url, total_files,
+  files_analyzed, overall_score, quality_label, v.reviews, v.issues, v.last_path
+FROM (SELECT run_id, {REPORT_COLUMNS} FROM rep) r LEFT JOIN customer c ON c.c_custkey = r.run_id
+LEFT JOIN (SELECT run_id, count(*) AS reviews, CAST(sum(n) AS BIGINT) AS issues, max(file_path) AS last_path
+  FROM (SELECT rv.run_id, rv.seq, rv.file_path, count(iss.seq) AS n FROM rv LEFT JOIN iss ON iss.run_id = rv.run_id AND iss.seq = rv.seq GROUP BY ALL)
+  GROUP BY run_id) v ON v.run_id = r.run_id""")
 oracle("file_severity_counts", REVIEWS, f"""
 SELECT rv.run_id, rv.seq, rv.file_path, severity, CAST(count(*) AS INTEGER) AS issues FROM rv JOIN iss USING (run_id, seq)
 WHERE severity IN {in_list(K.SEVERITIES)} GROUP BY ALL""")
@@ -712,6 +733,23 @@ oracle("parse_event_log", RECORDS, "SELECT run_id, seq, event, data FROM log WHE
 oracle("scan_event_log", RECORDS, """
 SELECT run_id, event, count(*) AS events, CAST(sum(length(data)) AS BIGINT) AS chars FROM log
 WHERE data IS NOT NULL AND data <> 'null' GROUP BY run_id, event""")
+ORACLES["follow_event_log"] = ORACLES["scan_event_log"]
+oracle("run_sessions", f"""
+ev AS (SELECT user_id AS run_id, event_id AS seq, ts, {R.EVENT} AS event FROM events),
+gaps AS (
+  SELECT *, lag(ts) OVER w AS before, lag(event) OVER w AS event_before FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts, seq)),
+starts AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR event_before IN ('analysis_complete', 'error') OR epoch_us(ts) - epoch_us(before) > {SILENCE} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY run_id ORDER BY ts, seq) AS session FROM gaps),
+folded AS (
+  SELECT run_id, session, min(ts) AS started, max(ts) AS last_at, count(*) AS events, count(*) FILTER (WHERE event = 'file_start') AS files,
+    arg_max(CASE event WHEN 'clone_start' THEN 'cloning' WHEN 'clone_complete' THEN 'analyzing' WHEN 'analysis_complete' THEN 'complete' WHEN 'error' THEN 'error' END,
+      (ts, seq)) FILTER (WHERE event IN ('clone_start', 'clone_complete', 'analysis_complete', 'error')) AS known,
+    (SELECT max(ts) FROM ev) AS latest, max(session) OVER (PARTITION BY run_id) AS newest
+  FROM starts GROUP BY run_id, session),
+named AS (SELECT *, coalesce(known, 'cloning') AS state, session < newest OR (epoch_us(last_at) + {SILENCE}) // 1000 + 1 <= epoch_ms(latest) AS silent FROM folded)""", """
+SELECT run_id, started, last_at, events, files, CASE WHEN state IN ('complete', 'error') THEN state WHEN silent THEN 'failed' ELSE state END AS state,
+  state IN ('complete', 'error') OR silent AS closed FROM named""")
 oracle("file_index", EVENTS, """
 SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS file_index, coalesce(data ->> '$.file', '') AS file
 FROM ev WHERE event = 'file_start'""")

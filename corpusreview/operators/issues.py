@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusreview import constants as K
 from corpusreview.functions import scores as S
-from corpusreview.operators.ranking import position, running_sum
+from corpusreview.operators.ranking import position, range_position, running_sum
 
 ALL = "all"
 
@@ -48,9 +48,9 @@ def sort_by_severity(issues: DataFrame) -> DataFrame:
 
 
 def sort_by_file(issues: DataFrame) -> DataFrame:
-    """Issues in path order of a root-locale collation, arrival order inside a path (a distributed range sort)."""
-    path = F.coalesce("file_path", F.lit(""))
-    return issues.orderBy("run_id", F.collate(path, "UNICODE"), "seq", "issue_no")
+    """Issues with their position in the run: path order of a root-locale collation, arrival order inside a path."""
+    path = F.collate(F.coalesce("file_path", F.lit("")), "UNICODE")
+    return range_position(issues, ["run_id"], [path, F.col("seq"), F.col("issue_no")])
 
 
 def shown_counts(issues: DataFrame, reviews: DataFrame, **filters: str) -> DataFrame:
@@ -166,7 +166,7 @@ def file_index(events: DataFrame) -> DataFrame:
 
 
 def recent_items(visits: DataFrame, n: int = K.RECENT_ITEMS, user: str = "user_id", item: str = "item", at: str = "at"):
-    """The ``n`` items a user touched last; an item counts once, at its latest time."""
+    """The ``n`` items a user touched last; an item counts once, at its latest time; ties by item."""
     latest = visits.groupBy(user, item).agg(F.max(at).alias("last_at"))
-    w = W.partitionBy(user).orderBy(F.desc("last_at"))
+    w = W.partitionBy(user).orderBy(F.desc("last_at"), item)
     return latest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -107,6 +107,12 @@ def run_report(reviews: DataFrame, discovered: DataFrame | None = None) -> DataF
     )
 
 
+def with_address(reports: DataFrame, runs: DataFrame) -> DataFrame:
+    """Reports with ``repo_url``, the address of the run's repository in ``runs`` (``run_id, repo_url``); null if it has none."""
+    addresses = runs.groupBy("run_id").agg(F.min("repo_url").alias("repo_url"))
+    return reports.join(addresses, "run_id", "left")
+
+
 def fallback_stats(reviews: DataFrame, finished: DataFrame | None = None) -> DataFrame:
     """Totals of runs that ended without a final report: plain mean rounded half up, counts by exact severity."""
     none = F.array().cast(reviews.schema["issues"].dataType)

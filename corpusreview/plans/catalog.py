@@ -33,7 +33,7 @@ from corpusreview.plans import review
 from corpusreview.session import fresh_folder
 from corpusreview.sources import event_log, sinks, source_tree
 from corpusreview.sources.locations import open_location
-from corpusreview.streaming import jobs, progress
+from corpusreview.streaming import jobs, progress, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,26 +106,106 @@ def parse_event_log(spark, sf_dir):
     return event_log.parse_records(R.event_records(spark, sf_dir), "run_id", "seq")
 
 
-@query
-def scan_event_log(spark, sf_dir):
-    """The same events through log files: one text log per run, written and read back by byte ranges."""
-    folder = fresh_folder(spark, "log")
+#: Seconds without an event that end a session of the sample's runs.
+SESSION_SILENCE = 40_000
+
+
+def _write_logs(spark, sf_dir, folder: str) -> None:
+    """One text log per run, its records in order."""
     records = R.event_records(spark, sf_dir).withColumn("run", F.col("run_id"))
     ordered = records.repartition("run").sortWithinPartitions("run", "seq")
     ordered.select("run", F.col("record").alias("value")).write.partitionBy("run").option("lineSep", "\n\n").text(folder)
+
+
+def _log_counts(events: DataFrame) -> DataFrame:
     run = F.regexp_extract("file", "run=([0-9]+)", 1).cast("bigint")
-    events = event_log.read_event_log(spark, folder.removeprefix("file:"), split_bytes=1 << 16)
     return events.groupBy(run.alias("run_id"), "event").agg(
         F.count("*").alias("events"), F.sum(F.length("data")).alias("chars")
     )
 
 
+def _grow_logs(spark, source: str, target: str, share: float) -> None:
+    """Write the first ``share`` of the bytes of each log to the log of the same run below ``target``."""
+
+    def save(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for run, text in zip(batch["run"], batch["value"]):
+                files, path = open_location(f"{target}/run={run}")
+                files.create_dir(path, recursive=True)
+                whole = text.encode()
+                with files.open_output_stream(f"{path}/events.log") as out:
+                    out.write(whole[: int(len(whole) * share)])
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    texts = spark.read.option("basePath", source).text(source, wholetext=True).select("run", "value")
+    texts.mapInPandas(save, "n bigint").agg(F.sum("n")).write.format("noop").mode("overwrite").save()
+
+
+@query
+def scan_event_log(spark, sf_dir):
+    """The same events through log files: one text log per run, written and read back by byte ranges."""
+    folder = fresh_folder(spark, "log")
+    _write_logs(spark, sf_dir, folder)
+    return _log_counts(event_log.read_event_log(spark, folder.removeprefix("file:"), split_bytes=1 << 16))
+
+
+@query
+def follow_event_log(spark, sf_dir):
+    """Log files that are followed while they grow: two fifths of each, then the rest, then nothing new."""
+    folder, positions, checkpoint, target = (fresh_folder(spark, n) for n in ("log", "positions", "checkpoint", "events"))
+    _write_logs(spark, sf_dir, f"{folder}/whole")
+    for share in (0.4, 1.0, 1.0):
+        _grow_logs(spark, f"{folder}/whole", f"{folder}/growing", share)
+        # the query is started again each time, and goes on where its checkpoint and positions say
+        stream = event_log.read_event_log(spark, f"{folder}/growing", positions=positions, shards=8)
+        jobs.append_stream(stream, target, checkpoint)
+    return _log_counts(spark.read.parquet(target))
+
+
 @query
 def report_json(spark, sf_dir):
     reviews = R.reviews(spark, sf_dir)
     return sinks.report_json(scoring.run_report(reviews, R.discovered(spark, sf_dir)), reviews)
 
 
+def _runs(spark, sf_dir):
+    return R.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS run_id", "'https://example.org/r' || CAST(c_custkey AS STRING) AS repo_url",
+        "CAST(NULL AS STRING) AS branch",
+    )
+
+
+def _published_run(spark, sf_dir) -> str:
+    """Publish reports, reviews and documents of all runs below the shared folder; returns where."""
+    path = fresh_folder(spark, "published")
+    reviews = R.reviews(spark, sf_dir)
+    reports = scoring.with_address(scoring.run_report(reviews, R.discovered(spark, sf_dir)), _runs(spark, sf_dir))
+    sinks.publish_run(reports, reviews, replies.parse_docs(R.doc_replies(spark, sf_dir)), path)
+    return path
+
+
+@query
+def published_reports(spark, sf_dir):
+    """Reports with their repository's address and their reviews, written together and read back."""
+    path = _published_run(spark, sf_dir)
+    reviews = sinks.published(spark, path, "reviews").groupBy("run_id").agg(
+        F.count("*").alias("reviews"), F.sum(F.size("issues")).alias("issues"), F.max("file_path").alias("last_path")
+    )
+    reports = sinks.published(spark, path, "reports").filter("generated_at IS NOT NULL")
+    return reports.join(reviews, "run_id", "left").select(
+        "run_id", "repo_url", "total_files", "files_analyzed", "overall_score", "quality_label", "reviews", "issues", "last_path"
+    )
+
+
+@query
+def published_docs(spark, sf_dir):
+    """Documentation files, one folder per repository, read back from what was published."""
+    docs = sinks.published(spark, _published_run(spark, sf_dir), "docs")
+    return docs.select("repo", "path", "file_name", "status", F.md5("doc").alias("doc_md5"))
+
+
 @query
 def doc_file_names(spark, sf_dir):
     files = R.source_files(spark, sf_dir).select("repo", "path")
@@ -137,10 +217,7 @@ def doc_file_names(spark, sf_dir):
 def event_rows(spark, sf_dir):
     reviews = R.reviews(spark, sf_dir)
     discovered = R.discovered(spark, sf_dir)
-    runs = R.table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey AS run_id", "'https://example.org/r' || CAST(c_custkey AS STRING) AS repo_url",
-        "CAST(NULL AS STRING) AS branch",
-    )
+    runs = _runs(spark, sf_dir)
     counts = SEL.discovery_counts(discovered, by="run_id")
     size = (F.col("seq") * 37) % 60000
     review = F.struct(*[c for c in reviews.columns if c not in ("run_id", "seq")])
@@ -398,6 +475,41 @@ def infer_stub(spark, sf_dir):
     return review.model_review(R.analysed_files(spark, sf_dir), model).drop("issues")
 
 
+@query
+def infer_ledger(spark, sf_dir):
+    """Answers through a ledger: distinct prompts are asked once, those that failed once more by the next run.
+
+    Files of one order kind share their prompt here.  The stand-in knows nothing but the prompt; in the first run it fails on
+    one prompt of seven.
+    """
+    ledger = fresh_folder(spark, "ledger")
+    texts = R.analysed_files(spark, sf_dir).select("repo", "path", F.concat(F.lit("Judge: "), F.left("content", F.lit(40))).alias("prompt"))
+
+    def model(fails):
+        def answers(prompts_, temperature):
+            import hashlib
+
+            marks = [hashlib.md5(p.encode()).hexdigest() for p in prompts_]
+            if fails and any(int(m[:8], 16) % 7 == 0 for m in marks):
+                raise ValueError("quota")
+            return [f"{m} at {temperature}" for m in marks]
+
+        return answers
+
+    first = prompts.infer_ledger(texts, model(True), ledger)
+    failed = first.filter("error IS NOT NULL").select("repo", "path", F.col("error").alias("first_error"))
+    failed = failed.transform(lambda df: _kept(spark, df, "failed"))
+    second = prompts.infer_ledger(texts, model(False), ledger)
+    return second.join(failed, ["repo", "path"], "left").select("repo", "path", "raw", "error", "first_error")
+
+
+def _kept(spark, df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder: what it shows does not change with what is done later."""
+    folder = fresh_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 @query
 def generate_docs(spark, sf_dir):
     """Documents and read-mes of requested files; the stand-in fails on some prompts and says nothing to others."""
@@ -544,7 +656,7 @@ def issues_sorted_severity(spark, sf_dir):
 
 @query
 def issues_sorted_file(spark, sf_dir):
-    return I.sort_by_file(_issues(spark, sf_dir)).select("run_id", "file_path", "seq", "issue_no", "severity")
+    return I.sort_by_file(_issues(spark, sf_dir)).select("run_id", "position", "file_path", "seq", "issue_no", "severity")
 
 
 @query
@@ -601,6 +713,18 @@ def stream_severity(spark, sf_dir):
     return jobs.latest(spark, target, ["run_id", "severity"])
 
 
+@query
+def run_sessions(spark, sf_dir):
+    """Sessions of runs by a state machine with timers over the stream of events, read back."""
+    target, checkpoint = fresh_folder(spark, "sessions"), fresh_folder(spark, "checkpoint")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = R.events_from(jobs.stream_table(spark, sf_dir, schema, "events.parquet"))
+    changes = sessions.run_sessions(events, SESSION_SILENCE)
+    sessions.with_rocksdb(spark, lambda: jobs.update_stream(changes, target, checkpoint))
+    newest = jobs.latest(spark, target, ["run_id", "started"])
+    return newest.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "last_at")})
+
+
 # ---- whole reviews ---------------------------------------------------------------------------------------------------
 @query
 def static_report(spark, sf_dir):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from corpusreview import constants as K
 from corpusreview.functions import paths
@@ -28,14 +31,66 @@ def write_report(reports: DataFrame, reviews: DataFrame, path: str, mode: str =
     reviews.write.mode(mode).parquet(f"{path}/reviews")
 
 
+MANIFEST = "version string, published_at timestamp, tables array<string>"
+
+
+def publish(tables: dict[str, DataFrame], path: str, partition_by: dict[str, str] | None = None) -> str:
+    """Publish several tables together below ``path``; returns the name of their version.
+
+    Every table is written to a folder of the new version first.  Readers find versions by a manifest, to which one row in
+    one file is added last; a file appears when its task is committed.  So a reader sees all tables of a version or none, and
+    what a failed run has written stays out of sight.  Earlier versions stay readable.
+    """
+    version = uuid.uuid4().hex
+    by = partition_by or {}
+    spark = None
+    for name, df in tables.items():
+        spark = df.sparkSession
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(by[name]) if name in by else writer).parquet(f"{path}/{version}/{name}")
+    row = spark.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("published_at"), F.array(*map(F.lit, tables)).alias("tables")
+    )
+    row.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return version
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """``version, published_at, tables`` of everything published below ``path``."""
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+
+
+def published(spark: SparkSession, path: str, name: str, version: str | None = None) -> DataFrame:
+    """A published table, of the newest version or of the named one."""
+    try:
+        known = versions(spark, path).filter(F.array_contains("tables", name))
+        known = known.filter(F.col("version") == version) if version else known
+        found = known.orderBy(F.desc("published_at"), "version").first()
+    except AnalysisException:
+        found = None  # nothing has been published here
+    if found is None:
+        raise LookupError(f"{path} has no published table {name!r}")
+    return spark.read.parquet(f"{path}/{found['version']}/{name}")
+
+
+def publish_run(reports: DataFrame, reviews: DataFrame, docs: DataFrame, path: str) -> str:
+    """Reports with their time and address, reviews and documentation files of some runs, published together."""
+    stamped = reports.withColumn("generated_at", F.current_timestamp())
+    return publish({"reports": stamped, "reviews": reviews, "docs": with_file_name(docs)}, path, {"docs": "repo"})
+
+
 def with_doc_name(docs: DataFrame) -> DataFrame:
     return docs.withColumn("file_name", paths.doc_file_name(F.col("path")))
 
 
 def write_docs(docs: DataFrame, path: str, by: str = "repo", mode: str = "overwrite") -> None:
     """One row per documentation file, in one folder per repository; a README row has path ``README.md``."""
+    with_file_name(docs).write.mode(mode).partitionBy(by).parquet(path)
+
+
+def with_file_name(docs: DataFrame) -> DataFrame:
     name = F.when(F.col("path") == "README.md", F.col("path")).otherwise(paths.doc_file_name(F.col("path")))
-    docs.withColumn("file_name", name).write.mode(mode).partitionBy(by).parquet(path)
+    return docs.withColumn("file_name", name)
 
 
 def to_event_json(runs: DataFrame, discovered: DataFrame, files: DataFrame, reports: DataFrame) -> DataFrame:
