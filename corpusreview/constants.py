@@ -73,6 +73,11 @@ SECURITY_RULES = (
 # The same matches in linear time: a start without a later "+" takes the rest of its line in one step, as no later start of
 # the line can match either.  Group 1 is empty for such a stretch, which is no match.
 LINEAR_RULES = {"sql_injection": r"(?iuUd)(?=[siud])(?:SELECT|INSERT|UPDATE|DELETE)(?:([^+\n]*+\+.*?\b)|[^\n]*+)"}
+# The calls of unsafe_execution, and its plain words.  A call without the closing part takes the rest of its line (group 4), as
+# no later call of the line can have one either.  Groups 2 and 3 hold the line breaks inside a match.
+OPEN_CALL = r"(?Ud)\bsubprocess\.Popen\("
+UNSAFE_CALL = r"(?Ud)\b(?:(subprocess\.Popen\(.*?shell(\s*)=(\s*)True\b)|(subprocess\.Popen\([^\n]*+))"
+UNSAFE_WORD = r"(?Ud)(?=[ec])\b(?:eval|exec|child_process\.exec)\b"
 # every match of any rule holds one of these
 SECURITY_HEADS = (
     r"(?iuUd)(?=[apsteciudy])(?:password|secret|passwd|api_?key|private_key|token|eval|exec|subprocess\.Popen|select|insert|update"
@@ -107,6 +112,10 @@ JS_FUNCTION = (
     r"|\b(?:const|let|var)\s+([a-zA-Z0-9_$]+)\s*=\s*(?:async\s*)?\(.*?\)\s*=>"
     r"|\b([a-zA-Z0-9_$]+)\s*\((?:[^()]++|\([^()]*+\))*+\)\s*\{"
 )
+# An arrow function's start: group 2 is the rest up to the arrow or, where the line has none, group 3 the rest of the line.  No
+# start in group 3 can have an arrow, so its keyword is put out of the pattern's sight.
+JS_ARROW = r"(?Ud)(\b(?:const|let|var)\s+[a-zA-Z0-9_$]+\s*=\s*(?:async\s*)?\()(?:(.*?\)\s*=>)|([^\n]*+))"
+JS_KEYWORD = r"(?U)\b(?:const|let|var)(?=\s+[a-zA-Z0-9_$]+\s*=\s*(?:async\s*)?\()"
 JS_NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch")
 JS_CLASS = r"(?U)\bclass\s+([a-zA-Z0-9_$]+)"
 JS_IMPORT = r"(?Ud)(?=[ir])(?:\bimport\s+.*?\s+from\b|\brequire\s*\()"

@@ -53,10 +53,49 @@ def located(code: Column, rule: str, pattern: str) -> Column:
     return F.transform(found, lambda m: F.when(F.size(m) > 0, build(m)).otherwise(none))[0]
 
 
+_OPEN, _CLOSE = "\u0004", "\u0005"
+
+
+def unsafe_calls(code: Column) -> Column:
+    """``unsafe_execution`` in texts with calls whose closing part may be far off or missing: same matches, linear time.
+
+    Complete calls become a pair of control characters (with their line breaks), open ones are only put between them.  What
+    lies between two complete calls is searched for the plain words, which are never part of a call's start.
+    """
+    rule = "unsafe_execution"
+    clean = F.translate(code, _OPEN + _CLOSE, "\u0002\u0002")
+    calls = F.filter(F.regexp_extract_all(clean, F.lit(K.UNSAFE_CALL), F.lit(1)), lambda x: x != "")
+    marked = F.regexp_replace(clean, K.UNSAFE_CALL, f"{_OPEN}$4{_CLOSE}$2$3")
+    lines = match_lines(marked, f"{_OPEN}{_CLOSE}|{K.UNSAFE_WORD}")
+
+    def texts(found: Column) -> Column:
+        words = lambda part: F.regexp_extract_all(part, F.lit(K.UNSAFE_WORD), F.lit(0))
+        one = lambda i: F.when(i < F.size(found), F.array(F.get(found, i))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.transform(F.split(marked, _OPEN + _CLOSE, -1), lambda part, i: F.concat(words(part), one(i))))
+
+    matches = F.transform(F.array(calls), texts)[0]
+    return F.zip_with(
+        matches,
+        lines,
+        lambda match, line: F.struct(
+            F.lit(rule).alias("type"),
+            line.cast("int").alias("line"),
+            F.left(match, F.lit(K.MATCH_CHARS)).alias("match"),
+            F.lit(K.VULNERABILITY_TEXT % rule.replace("_", " ")).alias("description"),
+        ),
+    )
+
+
+def _found(code: Column, rule: str, pattern: str) -> Column:
+    if rule != "unsafe_execution" or pattern != dict(K.SECURITY_RULES)[rule]:
+        return located(code, rule, pattern)
+    return F.when(code.rlike(K.OPEN_CALL), unsafe_calls(code)).otherwise(located(code, rule, K.UNSAFE_WORD))
+
+
 def vulnerabilities(code: Column, rules=K.SECURITY_RULES) -> Column:
     """All rules, in rule order then text order; texts without any rule's head word are searched once."""
     none = F.array().cast(f"array<{VULNERABILITY}>")
-    found = F.concat(*[located(code, rule, pattern) for rule, pattern in rules])
+    found = F.concat(*[_found(code, rule, pattern) for rule, pattern in rules])
     return F.when(code.rlike(K.SECURITY_HEADS), found).otherwise(F.when(code.isNotNull(), none))
 
 
