@@ -45,19 +45,43 @@ def filter_languages(df: DataFrame, languages=K.DEFAULT_LANGUAGES) -> DataFrame:
     return df.filter(F.lower("language").isin(wanted)) if wanted else df.filter(F.lit(False))
 
 
+#: Bits of the filter that keeps rows whose key was not requested from being joined: 64 in each of so many numbers.
+FILTER_WORDS = 1 << 16
+
+
+def key_filter(requested: DataFrame, keys: list[str]) -> Column:
+    """The bits of the hashes of all keys, as an array of fixed size: a subquery that runs with the query that holds it."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(64 * FILTER_WORDS))
+    words = requested.select(at.alias("at"), *keys).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("bits")
+    )
+    every = requested.sparkSession.range(FILTER_WORDS).join(words, F.col("id") == F.col("word"), "left")
+    listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return every.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")).scalar()
+
+
 def restrict_paths(df: DataFrame, requested=None) -> DataFrame:
     """Keep the requested paths; no request, or an empty one, is no restriction.
 
-    ``requested`` is a list of paths or a DataFrame with the key columns (``path``, or ``repo`` and ``path``).  A
-    DataFrame is semi-joined without a hint: Catalyst broadcasts it only under its size threshold.
+    ``requested`` is a list of paths or a DataFrame with the key columns (``path``, or ``repo`` and ``path``), of any size.
+    Nothing runs before the result is asked for.  Whether the request is empty, and a filter of fixed size on its keys, are
+    subqueries; rows that pass the filter meet the requested keys in a join without a hint, so few rows are shuffled if
+    Catalyst does not broadcast the keys.
     """
     if requested is None:
         return df
     if not isinstance(requested, DataFrame):
-        return df.filter(F.col("path").isin(list(requested))) if requested else df
-    if requested.isEmpty():
-        return df
-    return df.join(requested, [c for c in ("repo", "path") if c in requested.columns], "left_semi")
+        requested = df.sparkSession.createDataFrame([(p,) for p in requested], "path string")
+    keys = [c for c in ("repo", "path") if c in requested.columns]
+    wanted = requested.select(*keys).distinct()
+    all_of_it = requested.select(*keys).limit(1).agg(F.count("*").alias("n")).scalar() == 0
+    at = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(64 * FILTER_WORDS))
+    word = F.get(key_filter(wanted, keys), F.floor(at / 64).cast("int"))
+    may = word.bitwiseAND(F.expr(f"shiftleft(1L, int(pmod(xxhash64({', '.join(keys)}), {64 * FILTER_WORDS}) % 64))")) != 0
+    marked = wanted.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.lit(True).alias("_wanted"))
+    same = [F.col(k) == F.col(f"_r_{k}") for k in keys]
+    joined = df.filter(all_of_it | may).join(marked, same, "left")
+    return joined.filter(all_of_it | F.col("_wanted")).select(*df.columns)
 
 
 def discovery_counts(df: DataFrame, languages=K.DEFAULT_LANGUAGES, by: str = "repo") -> DataFrame:

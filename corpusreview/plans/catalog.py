@@ -720,8 +720,8 @@ def run_sessions(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = R.events_from(jobs.stream_table(spark, sf_dir, schema, "events.parquet"))
     changes = sessions.run_sessions(events, SESSION_SILENCE)
-    sessions.with_rocksdb(spark, lambda: jobs.update_stream(changes, target, checkpoint))
-    newest = jobs.latest(spark, target, ["run_id", "started"])
+    sessions.with_rocksdb(spark, lambda: jobs.upsert_stream(changes, target, checkpoint, ["run_id", "started"]))
+    newest = jobs.current(spark, target, changes.schema)
     return newest.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "last_at")})
 
 

@@ -16,14 +16,21 @@ from corpusreview import constants as K
 from corpusreview.functions import paths
 from corpusreview.functions import text as T
 from corpusreview.operators import selection
+from corpusreview.session import fresh_folder
 from corpusreview.sources.locations import open_location
 
 LISTING = "repo string, root string, path string, size bigint, is_dir boolean, gone boolean"
 GONE_REASON = "Folder vanished while it was listed"
+#: Entries that a task lists below each folder it is given before it hands the folders left over to other tasks; folders
+#: that a task is given; bytes and files that a task opens.
+WALK_ENTRIES = 20_000
+TASK_FOLDERS = 16
+TASK_BYTES = 64 << 20
+TASK_FILES = 20_000
 
 
-def _lister(deep: bool):
-    """Task function: folders become what is in them, one level or all the way down; files pass through.
+def _lister(budget: int):
+    """Task function: folders become what is in and below them, up to ``budget`` entries; then folders stay folders.
 
     A missing root fails.  A folder that vanishes below a root that exists becomes a row marked ``gone``.
     """
@@ -39,8 +46,8 @@ def _lister(deep: bool):
         def inside(root, path):
             files, base = open_location(root)
             local = isinstance(files, fs.LocalFileSystem)
-            todo = [f"{base}/{path}".rstrip("/")]
-            while todo:
+            todo, seen = [f"{base}/{path}".rstrip("/")], 0
+            while todo and seen < budget:
                 folder = todo.pop()
                 try:
                     entries = files.get_file_info(fs.FileSelector(folder or "/"))
@@ -49,20 +56,22 @@ def _lister(deep: bool):
                         raise
                     yield folder[len(base) + 1 :], 0, False, True
                     continue
+                seen += len(entries) + 1
                 for info in entries:
                     is_dir = info.type == fs.FileType.Directory
                     if is_dir and local and os.path.islink(info.path):
                         continue  # folders behind symbolic links are not followed
-                    if is_dir and deep:
+                    if is_dir:
                         todo.append(info.path)
-                    elif is_dir or info.type == fs.FileType.File:
-                        yield info.path[len(base) + 1 :], info.size or 0, is_dir, False
+                    elif info.type == fs.FileType.File:
+                        yield info.path[len(base) + 1 :], info.size or 0, False, False
+            for folder in todo:
+                yield folder[len(base) + 1 :], 0, True, False
 
         for batch in batches:
             rows = []
-            for repo, root, path, size, is_dir, gone in batch[names].itertuples(index=False):
-                found = inside(root, path) if is_dir else [(path, size, False, gone)]
-                for entry in found:
+            for repo, root, path in batch[["repo", "root", "path"]].itertuples(index=False):
+                for entry in inside(root, path):
                     rows.append((repo, root, *entry))
                     if len(rows) >= 10_000:
                         yield pd.DataFrame(rows, columns=names)
@@ -73,30 +82,41 @@ def _lister(deep: bool):
     return listing
 
 
-def list_source_tree(roots: DataFrame, split_levels: int = 2, tasks: int | None = None) -> DataFrame:
+def list_source_tree(roots: DataFrame, budget: int = WALK_ENTRIES) -> DataFrame:
     """All regular files below each root: ``repo, root, path, size, gone`` (``gone``: a folder that vanished meanwhile).
 
-    ``roots`` has ``repo`` and ``root`` (a path or URI that executors can reach).  The first ``split_levels`` levels are
-    expanded one at a time and spread over the tasks in between, so one big repository is listed by many tasks.
+    ``roots`` has ``repo`` and ``root`` (a path or URI that executors can reach).  The listing goes on in rounds: a task walks
+    down from its folders until it has seen ``budget`` entries below one, and the folders that are left are dealt anew.  So
+    tasks follow what is found - however deep and uneven the trees are and however many cores there are.  Each round is
+    written to the shared folder, so that folders are listed once.
     """
-    tasks = tasks or max(roots.sparkSession.sparkContext.defaultParallelism, 2)
-    entries = roots.select(
-        "repo", "root", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("is_dir"),
-        F.lit(False).alias("gone"),
-    )
-    for _ in range(split_levels):
-        entries = entries.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=False), LISTING)
-    below = entries.repartition(tasks, "repo", "path").mapInPandas(_lister(deep=True), LISTING)
-    return below.select("repo", "root", "path", "size", "gone")
+    spark = roots.sparkSession
+    frontier = roots.select("repo", "root", F.lit("").alias("path"))
+    rounds = []
+    while True:
+        folders = frontier.count()
+        if not folders and rounds:
+            break
+        dealt = frontier.repartition(max(1, -(-folders // TASK_FOLDERS)), "repo", "path")
+        where = fresh_folder(spark, "listing")
+        dealt.mapInPandas(_lister(budget), LISTING).write.parquet(where)
+        rounds.append(spark.read.schema(LISTING).parquet(where))
+        frontier = rounds[-1].filter("is_dir").select("repo", "root", "path")
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.unionAll(more)
+    return found.filter("NOT is_dir").select("repo", "root", "path", "size", "gone")
 
 
 def read_contents(listed: DataFrame, tasks: int | None = None) -> DataFrame:
     """Open the listed files that have no ``skip_reason``: adds ``content`` (decoded text).
 
-    Files are spread evenly over the tasks first.  A file that is not there, not permitted or a folder has NULL content and
+    Files are spread evenly over tasks of about ``TASK_BYTES`` and at most ``TASK_FILES`` each first.  A file that is not there, not permitted or a folder has NULL content and
     gets the reason; any other failure to read fails the task, so that Spark tries it again.
     """
-    tasks = tasks or max(listed.sparkSession.sparkContext.defaultParallelism * 4, 8)
+    if tasks is None:
+        n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("skip_reason").isNull(), F.col("size"))), F.lit(0))).first()
+        tasks = max(1, -(-n // TASK_FILES), -(-size // TASK_BYTES))
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def load(root, path, skip_reason):

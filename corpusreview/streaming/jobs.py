@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from corpusreview.operators import smells
+from corpusreview.sources.locations import open_location
 
 
 def stream_table(
@@ -75,6 +76,97 @@ def latest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     return versions.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
+_BUCKET = "_bucket"
+
+
+def merge_rows(changes: DataFrame, batch_id: int, target: str, keys: list[str], buckets: int) -> None:
+    """Put the changed rows of one batch in the place of the current rows with their keys.
+
+    Current rows lie in buckets of their keys.  The buckets that a batch touches are written anew, as version ``batch_id``;
+    a manifest names the version of each bucket and is written last, so readers see a whole batch or none.  A batch that is
+    repeated starts from the manifest before it and writes the same.  What neither this manifest nor the one before names
+    is removed.
+    """
+    spark = changes.sparkSession
+    columns = changes.columns
+    bucketed = changes.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    before = _manifest(spark, target, batch_id)
+    touched = [r[0] for r in bucketed.select(_BUCKET).distinct().collect()]  # no more than there are buckets
+    kept = [f"{target}/v={before[b]}/{_BUCKET}={b}" for b in touched if b in before]
+    rows = bucketed.select(_BUCKET, *columns, F.lit(1).alias("_newer"))
+    if kept:
+        old = spark.read.option("basePath", target).schema(changes.schema).parquet(*kept).select(*columns)
+        old = old.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows = rows.unionByName(old.withColumn("_newer", F.lit(0)))
+    values = [c for c in columns if c not in keys]
+    newest = F.max_by(F.struct(*values) if values else F.lit(0), "_newer").alias("_v")
+    merged = rows.groupBy(_BUCKET, *keys).agg(newest).select(_BUCKET, *keys, *([F.col("_v.*")] if values else [])).select(_BUCKET, *columns)
+    merged.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{target}/v={batch_id}")
+    after = before | {b: batch_id for b in touched}
+    entries = spark.createDataFrame(list(after.items()), f"{_BUCKET} int, version bigint")
+    entries.coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/batch={batch_id}")
+    _remove_unnamed(target, set(before.values()) | set(after.values()), batch_id)
+
+
+def _batches(target: str, folder: str, prefix: str) -> list[int]:
+    from pyarrow import fs
+
+    files, base = open_location(target)
+    found = files.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True))
+    names = [i.base_name.removeprefix(prefix) for i in found if i.base_name.startswith(prefix)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _manifest(spark: SparkSession, target: str, below: int | None = None) -> dict[int, int]:
+    """Version of each bucket, as of the newest manifest or of the newest one before a batch."""
+    known = [b for b in _batches(target, "manifest", "batch=") if below is None or b < below]
+    for batch in reversed(known):
+        files, base = open_location(target)
+        if files.get_file_info(f"{base}/manifest/batch={batch}/_SUCCESS").is_file:
+            return {r[0]: r[1] for r in spark.read.parquet(f"{target}/manifest/batch={batch}").collect()}
+    return {}
+
+
+def _remove_unnamed(target: str, named: set[int], batch_id: int) -> None:
+    files, base = open_location(target)
+    for version in _batches(target, "", "v="):
+        if version not in named and version < batch_id:
+            files.delete_dir(f"{base}/v={version}")
+    for batch in _batches(target, "manifest", "batch=")[:-2]:
+        files.delete_dir(f"{base}/manifest/batch={batch}")
+
+
+def upsert_stream(
+    stream: DataFrame, target: str, checkpoint: str, keys: list[str], buckets: int = 16, wait: bool = True, every: str | None = None
+):
+    """Keep the current rows of a streaming aggregate in a table of buckets; see ``merge_rows`` and ``current``.
+
+    Reads cost the same after one batch and after a million, and a batch costs what its buckets hold.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()  # its keys and its rows are asked for
+        try:
+            merge_rows(kept, batch_id, target, keys, buckets)
+        finally:
+            kept.unpersist()
+
+    query = (
+        stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode("update").trigger(**_when(every)).start()
+    )
+    if wait:
+        query.awaitTermination()
+    return query
+
+
+def current(spark: SparkSession, target: str, schema: StructType | str) -> DataFrame:
+    """The current rows of a table kept by ``upsert_stream``."""
+    paths = [f"{target}/v={version}/{_BUCKET}={bucket}" for bucket, version in _manifest(spark, target).items()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
 def stream_smells(
     files: DataFrame, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d,
     every: str | None = None,

@@ -252,6 +252,30 @@ def test_source_tree(spark, tmp_path):
         assert out["edge.py"]["skip_reason"] is None and out["deep/er/st/z.ts"]["language"] == "typescript"
 
 
+def test_deep_and_uneven_trees_are_dealt_anew(spark, tmp_path):
+    """A chain of folders and one wide folder: the same files whatever the budget, in more rounds the smaller it is."""
+    at = tmp_path / "chain"
+    for depth in range(30):
+        at = at / f"d{depth}"
+        at.mkdir(parents=True)
+        for i in range(3):
+            (at / f"f{i}.py").write_text("x")
+    for i in range(40):
+        (tmp_path / "wide" / f"w{i}").mkdir(parents=True)
+        (tmp_path / "wide" / f"w{i}" / "a.py").write_text("x")
+    roots = spark.createDataFrame([("r", str(tmp_path))], "repo string, root string")
+    want = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.py"))
+    for budget, rounds in ((10**6, 1), (20, 8), (1, 32)):
+        listed = source_tree.list_source_tree(roots, budget)
+        assert sorted(values(listed, "path")) == want and len(want) == 130
+        folders = {f.rsplit("/", 2)[1] for f in listed.inputFiles()}
+        assert len(folders) >= rounds and (budget > 1000) == (len(folders) == 1)
+    # many folders left over are many tasks, on any number of cores
+    wide = spark.createDataFrame([("r", str(tmp_path / "wide"))], "repo string, root string")
+    files = source_tree.list_source_tree(wide, 1).inputFiles()
+    assert sum("part-" in f for f in files) >= 40 // source_tree.TASK_FOLDERS
+
+
 def test_missing_root_fails(spark, tmp_path):
     with pytest.raises(PythonException):
         source_tree.read_source_tree(spark, {"one": str(tmp_path / "nowhere")}).collect()
@@ -262,7 +286,7 @@ def test_only_missing_files_are_skipped(spark, tmp_path, monkeypatch):
     (tmp_path / "a.py").write_text("x")
     listing = "repo string, root string, path string, size bigint, is_dir boolean, gone boolean"
     gone = spark.createDataFrame([("r", str(tmp_path), "lost", 0, True, False)], listing)
-    assert gone.mapInPandas(source_tree._lister(deep=True), listing).collect()[0].gone
+    assert gone.mapInPandas(source_tree._lister(100), listing).collect()[0].gone
     columns = "repo string, root string, path string, size bigint, language string, skip_reason string"
     files = spark.createDataFrame([("r", str(tmp_path), p, 1, "python", None) for p in ("a.py", "b.py")], columns)
     assert {r.path: r.skip_reason for r in source_tree.read_contents(files).collect()} == {"a.py": None, "b.py": K.SKIP_REASON}
@@ -326,6 +350,7 @@ PYTHON_ALLOWED = {
     "smell_long_function", "smell_missing_docstring", "smell_deep_nesting", "all_smells", "py_nodes", "py_functions", "py_classes",
     "py_imports", "py_complexity", "py_nesting", "file_metrics", "review_prompts", "infer_stub", "static_report",
     "generate_docs", "static_categories", "scan_source_tree", "scan_event_log", "stream_smells", "stream_severity",
+    "infer_ledger", "follow_event_log", "run_sessions",
 }
 
 

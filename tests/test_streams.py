@@ -203,3 +203,37 @@ def test_positions_by_ranges(spark):
     by_file = I.sort_by_file(df.withColumn("issue_no", F.lit(0))).collect()
     assert [r["file_path"] for r in sorted((r for r in by_file if r["run_id"] == "b"), key=lambda r: r["position"])] == ["e", "É", "F"]
     assert ranking.range_position(df.limit(0), ["run_id"], [F.col("seq")]).count() == 0
+
+
+def test_current_rows_cost_the_same_after_any_number_of_batches(spark, tmp_path):
+    target, schema = f"{tmp_path}/t", "k bigint, j string, n bigint"
+    want = {}
+    for batch in range(10):
+        rows = [(k, None if k % 5 == 0 else "j", batch) for k in range(batch, 40, batch + 1)]
+        want |= {r[:2]: batch for r in rows}
+        for _ in range(2 if batch % 3 == 0 else 1):  # a batch that is repeated adds nothing
+            jobs.merge_rows(spark.createDataFrame(rows, schema), batch, target, ["k", "j"], 4)
+        found = jobs.current(spark, target, schema)
+        assert {(r["k"], r["j"]): r["n"] for r in found.collect()} == want and found.count() == len(want)
+        assert len(found.inputFiles()) <= 4 and len(os.listdir(f"{target}/manifest")) <= 2
+    assert len([d for d in os.listdir(target) if d.startswith("v=")]) <= 8
+    # a batch that fails before its manifest changes nothing, also when it runs again
+    jobs.merge_rows(spark.createDataFrame([(1, "j", 77)], schema), 10, target, ["k", "j"], 4)
+    os.remove(f"{target}/manifest/batch=10/_SUCCESS")
+    assert {(r["k"], r["j"]): r["n"] for r in jobs.current(spark, target, schema).collect()} == want
+    jobs.merge_rows(spark.createDataFrame([(1, "j", 78)], schema), 10, target, ["k", "j"], 4)
+    assert {(r["k"], r["j"]): r["n"] for r in jobs.current(spark, target, schema).collect()} == want | {(1, "j"): 78}
+    assert jobs.current(spark, f"{tmp_path}/none", schema).count() == 0
+
+
+def test_requests_run_with_the_query(spark):
+    from corpusreview.operators.selection import restrict_paths
+
+    files = spark.range(2000).selectExpr("'r' AS repo", "concat('p', id) AS path", "id AS size")
+    many = spark.range(500, 200_000).selectExpr("concat('p', id) AS path").unionAll(spark.sql("SELECT CAST(NULL AS STRING) AS path"))
+    group = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("requests", "")
+    frames = [restrict_paths(files, x) for x in (many, many.limit(0), ["p1", "p1", "p7", "gone"], [], None, many.selectExpr("'r' AS repo", "path"), many.selectExpr("'q' AS repo", "path"))]
+    assert not group.getJobIdsForGroup("requests")
+    assert [f.count() for f in frames] == [1500, 2000, 2, 2000, 2000, 1500, 0]
+    assert frames[0].columns == files.columns
