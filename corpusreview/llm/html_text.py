@@ -55,11 +55,11 @@ ASIDE_WORDS = frozenset(
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar status".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<rest2>[^>]*+)>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)",
     re.I | re.S,
 )
+#: What may end a tag, or open a value in which it does not end.
+_STOP = re.compile(r">|=\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 _CUT_OFF = re.compile(r"<[a-z/!?]", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -101,6 +101,46 @@ class Node:
         self.digest = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
+def _tag_end(page: str, start: int, unclosed: dict[str, int]) -> int:
+    """Place of the ">" that ends the tag whose name ends at ``start``, after all quoted values, however long they are.
+
+    If a value is never closed, the first ">" ends the tag; -1 if there is none.  ``unclosed`` remembers from where on a kind of
+    quote does not occur, so that the page is not searched again for it.
+    """
+    at = start
+    while True:
+        stop = _STOP.search(page, at)
+        if stop is None:
+            break
+        quote = stop[1]
+        if quote is None:
+            return stop.start()
+        close = -1 if stop.end() >= unclosed.get(quote, len(page)) else page.find(quote, stop.end())
+        if close < 0:
+            unclosed[quote] = min(unclosed.get(quote, len(page)), stop.end())
+            break
+        at = close + 1
+    return page.find(">", start)
+
+
+def _tokens(page: str, last: int) -> Iterator[tuple[re.Match, str, int]]:
+    """Comments, raw elements and tags before ``last``, each with the attributes of a tag and its end."""
+    at = 0
+    unclosed: dict[str, int] = {}
+    while True:
+        token = _TOKEN.search(page, at, last)
+        if token is None:
+            return
+        at = token.end()
+        rest = ""
+        if token["tag"]:
+            stop = _tag_end(page, at, unclosed)
+            if stop < 0:
+                return
+            rest, at = page[at:stop], stop + 1
+        yield token, rest, at
+
+
 def parse(page: str) -> Node:
     """The element tree of a page, lenient as browsers are: open elements end where their parents end."""
     root = Node("html", "", False)
@@ -125,18 +165,17 @@ def parse(page: str) -> Node:
     last = page.rfind(">") + 1
     cut = _CUT_OFF.search(page, last)
     page = page[: cut.start()] if cut else page
-    for token in _TOKEN.finditer(page, 0, last):
+    for token, rest, stop in _tokens(page, last):
         text(token.start())
-        at = token.end()
-        name = token["tag"] or token["tag2"]
+        at = stop
+        name = token["tag"]
         if name is None:
             raw = token["raw"]
             if raw and not re.search(rf"</{raw}\s*+>\Z", token[0], re.I) or token[0].startswith("<!--") and not token[0].endswith("-->"):
                 at = len(page)  # never closed
             continue
         tag = name.lower()
-        rest = token["rest"] or token["rest2"] or ""
-        if token["close"] or token["close2"]:
+        if token["close"]:
             for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[depth].tag == tag:
                     end(depth)
@@ -184,8 +223,16 @@ def has_article(root: Node) -> bool:
     return any(node.tag in MAIN and not node.aside for node, _ in _walk(root))
 
 
+def _code(node: Node, inside: bool) -> tuple[int, bool] | None:
+    """The digest of a block subtree with a bit that says whether it is strict, and that bit; None if it is never template."""
+    if node.tag not in BLOCKS or node.tag in MAIN or (inside and (not node.named or node.tag in TEXT_BLOCKS)):
+        return None
+    strict = inside or node.tag in TEXT_BLOCKS
+    return node.digest & ~1 | strict, strict
+
+
 def subtrees(root: Node) -> set[tuple[int, bool, bool]]:
-    """``digest, strict, matters`` of the block subtrees with text.
+    """``code, strict, matters`` of the block subtrees with text.
 
     ``strict`` ones need the higher share; inside an article only named containers are taken, so its paragraphs are never
     counted.  Only those that matter can change the page's text.
@@ -193,21 +240,22 @@ def subtrees(root: Node) -> set[tuple[int, bool, bool]]:
     article = has_article(root)
     found = set()
     for node, inside in _walk(root):
-        if node.size and node.tag in BLOCKS and node is not root and node.tag not in MAIN:
-            if not inside or (node.named and node.tag not in TEXT_BLOCKS):
-                found.add((node.digest, inside or node.tag in TEXT_BLOCKS, not node.aside and (inside or not article)))
+        code = _code(node, inside) if node.size and node is not root else None
+        if code:
+            found.add((*code, not node.aside and (inside or not article)))
     return found
 
 
 def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """The texts of the article, or of the page if it has none, without what is left out and without the template."""
+    """The texts of the article, or of the page if it has none, without what is left out and without the codes of the template."""
     article = has_article(root)
     parts: list[str] = []
     todo: list[tuple[object, bool]] = [(root, not article)]
     while todo:
         item, taken = todo.pop()
         if isinstance(item, Node):
-            if item.aside or (item.digest in template and item is not root and item.tag in BLOCKS and item.tag not in MAIN):
+            code = _code(item, article and taken) if template and item is not root else None
+            if item.aside or (code and code[0] in template):
                 parts.append(" ")
                 continue
             taken = taken or item.tag in MAIN
@@ -224,17 +272,15 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
 
 def _subtree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in common.text_chunks(batches, "html"):
-        keys, hosts, digests, strict, matters = [], [], [], [], []
-        for key, host, page in zip(*(piece.column(c).to_pylist() for c in ("key", "host", "html"))):
+        hosts, digests, strict, matters = [], [], [], []
+        for host, page in zip(*(piece.column(c).to_pylist() for c in ("host", "html"))):
             found = sorted(subtrees(parse(page or "")))
-            keys += [key] * len(found)
             hosts += [host] * len(found)
             digests += [f[0] for f in found]
             strict += [f[1] for f in found]
             matters += [f[2] for f in found]
         yield pa.record_batch(
             {
-                "key": pa.array(keys, pa.int64()),
                 "host": pa.array(hosts, pa.string()),
                 "digest": pa.array(digests, pa.int64()),
                 "strict": pa.array(strict, pa.bool_()),
@@ -271,29 +317,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     repeated results; they count as pages of their own.  Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
-    marks = common.write_stage(
-        keyed.select("key", host.alias("host"), "html").mapInArrow(
-            _subtree_rows, "key bigint, host string, digest bigint, strict boolean, matters boolean"
-        ),
-        "subtrees",
-    )
-    sizes = pages.select(host.alias("of_host")).groupBy("of_host").agg(F.count(F.lit(1)).alias("pages"))
+    hosted = pages.select("page_id", "url", "html", host.alias("host"))
+    marks = hosted.select("host", "html").mapInArrow(_subtree_rows, "host string, digest bigint, strict boolean, matters boolean")
     counted = marks.groupBy("host", "digest", "strict").agg(F.count(F.lit(1)).alias("times"), F.max("matters").alias("matters"))
+    frequent = common.write_stage(counted.filter(F.col("matters") & (F.col("times") >= MIN_PAGES)), "frequent-subtrees")
+    sizes = hosted.select(F.col("host").alias("of_host")).groupBy("of_host").agg(F.count(F.lit(1)).alias("pages"))
     share = F.when(F.col("strict"), TEXT_SHARE).otherwise(SHARE)
-    frequent = counted.filter(F.col("matters") & (F.col("times") >= MIN_PAGES))
-    template = (
-        frequent.join(sizes, F.col("host") == F.col("of_host")).filter(F.col("times") >= share * F.col("pages")).select("host", "digest", "strict")
-    )
-    # a table of its own: where few pages hold template parts, its size tells Spark to leave the pages where they are
-    of_page = common.write_stage(
-        marks.filter("matters")
-        .join(template, ["host", "digest", "strict"])
-        .groupBy(F.col("key").alias("of_key"))
-        .agg(F.collect_set("digest").alias("template")),
-        "templates",
-    )
-    found = keyed.join(of_page, F.col("key") == F.col("of_key"), "left").select("page_id", "url", "html", "template")
+    template = frequent.join(sizes, F.col("host") == F.col("of_host")).filter(F.col("times") >= share * F.col("pages"))
+    # a row per host: a page holds few subtrees, so few can be on a tenth of a host's pages, however many these are
+    template = common.write_stage(template.groupBy(F.col("host").alias("of_host")).agg(F.collect_set("digest").alias("template")), "templates")
+    found = hosted.join(template, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "template")
     return found.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 
 

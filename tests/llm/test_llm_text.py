@@ -9,7 +9,7 @@ from llm_plain import frame, odd_rows, prose, shingle_set, words
 from tokenizers import Tokenizer
 
 from conftest import SF
-from corpusreview.llm import bpe, common, fingerprints, licenses
+from corpusreview.llm import bpe, common, fingerprints, html_text, licenses
 
 
 def test_words_and_shingles_follow_the_definition():
@@ -157,3 +157,19 @@ def test_license_query_finds_all_statements(spark):
     assert licenses.find_licenses(frame(spark, odd_rows())).count() == 0
     long = [(1, prose(1, 3000) + " Released under the MIT License. " + prose(2, 3000), None, None, None)] * 2
     assert [r.license for r in licenses.find_licenses(frame(spark, long)).collect()] == ["MIT", "MIT"]
+
+
+def test_long_and_odd_attribute_values():
+    """Values of any length keep their ">"; a value that is never closed ends with the first one, in linear time."""
+    import time
+
+    long = "x > y <p>no</p> " * 1000
+    text = lambda page: html_text.main_text(html_text.parse(page))
+    assert text(f"<article><p data-props='{long}'>Hello</p></article>") == "Hello"
+    assert text(f'<article><p data-a = "{long}" title=it\'s>Hello</p> it\'s so</article>') == "Hello it's so"
+    assert text("<article><p title=\"never closed>Hello</p><p>there</p></article>") == "Hello there"
+    assert text("<article><p a=1>3 = 4 \"quoted\"</p></article>") == '3 = 4 "quoted"'
+    start = time.perf_counter()
+    assert text("<article>" + "<p a='>w</p>" * 1 + "<p b=\"x\">v</p>" * 100_000 + "</article>").count("v") == 100_000
+    text("<a b='" * 200_000 + ">")
+    assert time.perf_counter() - start < 20
