@@ -173,3 +173,17 @@ def test_long_and_odd_attribute_values():
     assert text("<article>" + "<p a='>w</p>" * 1 + "<p b=\"x\">v</p>" * 100_000 + "</article>").count("v") == 100_000
     text("<a b='" * 200_000 + ">")
     assert time.perf_counter() - start < 20
+
+
+def test_many_statements_in_one_text():
+    """All of them are found, in time that grows with the text."""
+    import time
+
+    names = [form.format(name) for names in licenses.NAMES.values() for name in names[:1] for form in licenses.FORMS[:2]]
+    text = "\n".join(names[i % len(names)] for i in range(2000))
+    start = time.perf_counter()
+    found = licenses.scan(text)
+    assert time.perf_counter() - start < 15 and len(found) == 2000
+    own = [licenses.scan(n) for n in names]
+    assert [f.license for f in found[: len(names)]] == [x[0].license for x in own] and all(len(x) == 1 for x in own)
+    assert all(a.end <= b.start for a, b in zip(found, found[1:]))
