@@ -26,6 +26,20 @@ def classes_of(frequencies: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.clip(cuts, 0, size - 1)]))
 
 
+def _odds(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray, rows: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The exponentials of every row, as shares of the row if asked for, and the log probability of the choice of each row."""
+    scores = states @ weights
+    scores += bias
+    # far from what states in -1..1 reach; keeps the exponential finite without a maximum per row
+    np.minimum(scores, np.float32(80), out=scores)
+    picked = scores[rows, chosen].astype(np.float64)
+    odds = np.exp(scores, out=scores)
+    total = odds.sum(axis=1)
+    if shares:
+        odds /= total[:, None]
+    return odds, picked - np.log(total)
+
+
 class Gru:
     """Weights in one flat vector, so that models can be summed and averaged."""
 
@@ -62,50 +76,60 @@ class Gru:
         n = self.hidden
         given = self.part["x"][tokens]
         kept = state @ self.part["u"]
-        gates = np.tanh((given[:, : 2 * n] + kept[:, : 2 * n]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+        gates = given[:, : 2 * n] + kept[:, : 2 * n]
+        gates *= np.float32(0.5)
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
         update, reset = gates[:, :n], gates[:, n:]
-        fresh = np.tanh(given[:, 2 * n :] + reset * kept[:, 2 * n :])
-        return fresh + update * (state - fresh), update, reset, fresh, kept[:, 2 * n :]
+        fresh = reset * kept[:, 2 * n :]
+        fresh += given[:, 2 * n :]
+        np.tanh(fresh, out=fresh)
+        after = state - fresh
+        after *= update
+        after += fresh
+        return after, update, reset, fresh, kept[:, 2 * n :]
 
     def losses(self, states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each target: its class given the state, then the word given class and state."""
+        """Natural log probability of each target: its class given the state, then the word given class and state.
+
+        The states are sorted by the class of their target once; each class then works on a slice.
+        """
         p = self.part
         kind = self.class_of[targets]
-        scores = states @ p["c"] + p["cb"]
-        scores -= scores.max(axis=1, keepdims=True)
-        odds = np.exp(scores)
-        total = odds.sum(axis=1)
+        order = np.argsort(kind, kind="stable")
+        kind = kind[order]
+        hidden, at = states[order], targets[order] - self.starts[kind]
         rows = np.arange(len(targets))
-        logs = scores[rows, kind].astype(np.float64) - np.log(total)
+        odds, own = _odds(hidden, p["c"], p["cb"], kind, rows, grads is not None)
+        logs = own
         back = None
         if grads is not None:
-            odds /= total[:, None]
             odds[rows, kind] -= 1.0
-            grads["c"] += states.T @ odds
+            grads["c"] += hidden.T @ odds
             grads["cb"] += odds.sum(axis=0)
             back = odds @ p["c"].T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(len(self.starts) + 1))
+        cuts = np.searchsorted(kind, np.arange(len(self.starts) + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             low, high = self.starts[c], self.ends[c]
             if high - low == 1:
                 continue
-            own = order[cuts[c] : cuts[c + 1]]
-            hidden = states[own]
-            scores = hidden @ p["w"][low:high].T + p["wb"][low:high]
-            scores -= scores.max(axis=1, keepdims=True)
-            odds = np.exp(scores)
-            total = odds.sum(axis=1)
-            at = targets[own] - low
-            mine = np.arange(len(own))
-            logs[own] += scores[mine, at].astype(np.float64) - np.log(total)
+            mine = slice(cuts[c], cuts[c + 1])
+            place = rows[: cuts[c + 1] - cuts[c]]
+            odds, own = _odds(hidden[mine], p["w"][low:high].T, p["wb"][low:high], at[mine], place, grads is not None)
+            logs[mine] += own
             if grads is not None:
-                odds /= total[:, None]
-                odds[mine, at] -= 1.0
-                grads["w"][low:high] += odds.T @ hidden
+                odds[place, at[mine]] -= 1.0
+                grads["w"][low:high] += odds.T @ hidden[mine]
                 grads["wb"][low:high] += odds.sum(axis=0)
-                back[own] += odds @ p["w"][low:high]
-        return logs, back
+                back[mine] += odds @ p["w"][low:high]
+        unsorted = np.empty_like(logs)
+        unsorted[order] = logs
+        if back is None:
+            return unsorted, None
+        gradient = np.empty_like(back)
+        gradient[order] = back
+        return unsorted, gradient
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Flat gradient of the mean loss over one window (steps x lanes), the state after it and the summed log probability.
@@ -126,16 +150,32 @@ class Gru:
         back = back.reshape(steps, lanes, n)
         later = np.zeros((lanes, n), np.float32)
         given = np.empty((steps, lanes, 3 * n), np.float32)
+        through = np.empty((lanes, 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
             before, _, update, reset, fresh, side = kept[t]
-            d = back[t] + later
-            d_fresh = d * (1 - update) * (1 - fresh * fresh)
-            d_update = d * (before - fresh) * update * (1 - update)
-            d_reset = d_fresh * side * reset * (1 - reset)
-            given[t, :, :n], given[t, :, n : 2 * n], given[t, :, 2 * n :] = d_update, d_reset, d_fresh
-            through = np.concatenate([d_update, d_reset, d_fresh * reset], axis=1)
+            d = back[t]
+            d += later
+            own = given[t]
+            d_update, d_reset, d_fresh = own[:, :n], own[:, n : 2 * n], own[:, 2 * n :]
+            away = 1 - update
+            np.multiply(d, away, out=d_fresh)
+            away *= update
+            away *= before - fresh
+            np.multiply(d, away, out=d_update)
+            np.multiply(fresh, fresh, out=away)
+            np.subtract(1, away, out=away)
+            d_fresh *= away
+            np.multiply(d_fresh, reset, out=through[:, 2 * n :])
+            np.subtract(1, reset, out=away)
+            away *= side
+            away *= through[:, 2 * n :]
+            d_reset[...] = away
+            through[:, : 2 * n] = own[:, : 2 * n]
             grads["u"] += before.T @ through
-            later = (d * update + through @ self.part["u"].T) * (inputs[t] != END)[:, None].astype(np.float32)
+            later = through @ self.part["u"].T
+            d *= update
+            later += d
+            later *= (inputs[t] != END)[:, None]
         order = np.argsort(inputs.ravel(), kind="stable")
         tokens = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -158,14 +198,22 @@ class Gru:
         hidden = np.zeros((lanes, self.hidden), np.float32)
         for begin in range(0, steps, WINDOW):
             grad, hidden, _ = self.gradient(inputs[begin : begin + WINDOW], targets[begin : begin + WINDOW], hidden)
-            norm = float(np.sqrt((grad * grad).sum()))
+            norm = float(np.sqrt(np.dot(grad, grad)))
             if norm > 1.0:
                 grad /= np.float32(norm)
             state["t"] += 1
-            state["m"] += np.float32(0.1) * (grad - state["m"])
-            state["v"] += np.float32(0.01) * (grad * grad - state["v"])
             scale = RATE * np.sqrt(1 - 0.99 ** state["t"]) / (1 - 0.9 ** state["t"])
-            self.flat -= np.float32(scale) * state["m"] / (np.sqrt(state["v"]) + np.float32(1e-6))
+            state["m"] *= np.float32(0.9)
+            state["m"] += np.float32(0.1) * grad
+            grad *= grad
+            grad *= np.float32(0.01)
+            state["v"] *= np.float32(0.99)
+            state["v"] += grad
+            root = np.sqrt(state["v"], out=grad)
+            root += np.float32(1e-6)
+            np.divide(state["m"], root, out=root)
+            root *= np.float32(scale)
+            self.flat -= root
         state["seen"] += steps * lanes
         return state
 

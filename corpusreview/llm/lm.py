@@ -148,18 +148,23 @@ class Corpus:
     tokens: int
     words: int
 
+    @property
+    def order(self) -> np.ndarray:
+        """The end, then words and kinds by frequency: classes of frequent outputs are small, so most tokens cost little."""
+        return np.concatenate([[END], 1 + np.argsort(-np.concatenate([self.counts, self.kind_tokens]), kind="stable")])
+
     @property
     def frequencies(self) -> np.ndarray:
-        """Of the outputs: the end, the words, the kinds of other words."""
-        return np.concatenate([[self.ends], self.counts, self.kind_tokens]).astype(float)
+        """Of the outputs: the end, the words and the kinds of other words."""
+        return np.concatenate([[self.ends], self.counts, self.kind_tokens]).astype(float)[self.order]
 
     def outputs(self, keys: np.ndarray) -> np.ndarray:
         """The output of each key: the end, a word of its own or its kind."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         own = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         other = 1 + len(self.keys) + (keys & np.uint64(KINDS - 1)).astype(np.int64)
-        out = np.where(own, 1 + at, other)
-        return np.where(keys == _END_KEY, END, out)
+        place = np.argsort(self.order)
+        return np.where(keys == _END_KEY, END, place[np.where(own, 1 + at, other)])
 
 
 def corpus_counts(docs: DataFrame) -> tuple[DataFrame, Corpus]:
