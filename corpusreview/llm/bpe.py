@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from corpusreview.llm import common
 
 END = "</w>"
-#: Distinct words whose encodings a Python worker remembers between batches.
+#: Distinct words whose encodings a Python worker remembers between batches; the few hundred bytes that one takes bound its memory.
 REMEMBERED = 300_000
 _NEVER = 1 << 60
 
@@ -45,7 +46,8 @@ class Tokenizer:
     all merges; exactly one does.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         file = json.loads(spec)
         model = file["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -119,7 +121,7 @@ class Tokenizer:
                     i += 1
                 else:
                     j += 1
-            if len(self.firm) > 1_000_000:
+            if len(self.firm) > 2 * self.remembered:
                 self.firm.clear()
             self.firm[left, right] = found
         return found
@@ -187,7 +189,7 @@ class Tokenizer:
         """
         codes, counts, dictionary = common.words(texts, lower=False)
         runs = dictionary.to_pylist()
-        if len(self.known) > REMEMBERED or len(self.runs) > REMEMBERED:
+        if len(self.known) > self.remembered or len(self.runs) > self.remembered:
             self.known.clear()
             self.runs.clear()
         if not self.known:
@@ -215,18 +217,32 @@ class Tokenizer:
         return pc.binary_join(names, pa.scalar(" ", pa.large_string()))
 
 
-_loaded: dict[int, Tokenizer] = {}
+_loaded: dict[tuple[int, int], Tokenizer] = {}
 
 
-def _tokenizer(spec: str) -> Tokenizer:
+def _tokenizer(spec: str, remembered: int) -> Tokenizer:
     """One per Python worker and file."""
-    key = hash(spec)
+    key = hash(spec), remembered
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Tokenizer(spec)
+        _loaded[key] = Tokenizer(spec, remembered)
     return _loaded[key]
 
 
+def _encoded(spec, remembered: int, chunk_bytes: int, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray, pa.Array]]:
+    """Ids of documents, their token ids and the decoded texts, piece by piece."""
+    tokenizer = _tokenizer(spec.value, remembered)
+    for piece in common.text_chunks(batches, limit=chunk_bytes):
+        ids, offsets = tokenizer.encode(common.plain_texts(piece.column("text")))
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+        yield piece.column("doc_id"), lists, tokenizer.decode(lists)
+
+
+def _spec(docs: DataFrame, tokenizer_path: str):
+    with open(tokenizer_path, encoding="utf-8") as file:
+        return docs.sparkSession.sparkContext.broadcast(file.read())
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``doc_id, ids, decoded``: the token ids of every whole text and the text they decode to.
 
@@ -234,19 +250,42 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     are recognised, none are added.  A null text counts as empty and gives no ids and an empty decoded text.  Nothing is
     shuffled; rows are independent, so ties and repeated rows give repeated results.  Other columns are ignored.
     """
-    with open(tokenizer_path, encoding="utf-8") as file:
-        spec = docs.sparkSession.sparkContext.broadcast(file.read())
+    spec = _spec(docs, tokenizer_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(spec.value)
-        for piece in common.text_chunks(batches):
-            ids, offsets = tokenizer.encode(common.plain_texts(piece.column("text")))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.record_batch({"doc_id": piece.column("doc_id"), "ids": lists, "decoded": tokenizer.decode(lists).cast(pa.string())})
+        for doc_id, ids, decoded in _encoded(spec, REMEMBERED, common.CHUNK_BYTES, batches):
+            yield pa.record_batch({"doc_id": doc_id, "ids": ids, "decoded": decoded.cast(pa.string())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
+def encode_digests(docs: DataFrame, tokenizer_path: str, remembered: int = REMEMBERED, chunk_bytes: int = common.CHUNK_BYTES) -> DataFrame:
+    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256`` as of ``digests``, with decoded texts hashed where they are made.
+
+    Less ``remembered`` words and smaller chunks take less memory and more time; the rows are the same.
+    """
+    spec = _spec(docs, tokenizer_path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, ids, decoded in _encoded(spec, remembered, chunk_bytes, batches):
+            names = pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string()))
+            yield pa.record_batch(
+                {
+                    "doc_id": doc_id,
+                    "ids": ids,
+                    "n_tokens": pc.list_value_length(ids).cast(pa.int64()),
+                    "ids_sha256": _sha256(pc.binary_join(names, " ")),
+                    "decoded_sha256": _sha256(decoded),
+                }
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def _sha256(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string())
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """Counts and digests of encoded documents."""
     return encoded.select(

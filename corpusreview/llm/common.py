@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +40,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker lives on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of a piece hold about ``limit`` bytes."""
     for batch in batches:
@@ -50,6 +59,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             end = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def plain_texts(column: pa.Array) -> pa.Array:
@@ -164,3 +174,5 @@ def grouped(batches: Iterable[pa.RecordBatch], key: str, columns: list[str]) ->
             held.append(tuple(row))
     if held:
         yield now, held
+    held = []
+    give_back()
