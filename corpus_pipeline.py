@@ -12,17 +12,29 @@ from corpusreview.llm import bpe, common, lines, mixing, ngram_join, quality
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: One stage is not SQL (a learned classifier), so the rows of run() have no SQL twin; tests hold them against plain Python.
 ORACLE_SQL = None
+#: Words that a worker of the encoding remembers, and bytes of text it works on at a time.
+REMEMBERED = 100_000
+CHUNK_BYTES = 1 << 20
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold; the model learns from the labelled ones among them."""
+    """Documents whose quality score reaches the threshold; the model learns from the labelled ones among them.
+
+    A null text is scored as an empty one; texts of any length are scored whole; equal texts get equal scores, and repeated
+    rows go or stay together.  Labels of unknown or null ids are ignored.  No rows give no rows.  Columns other than those
+    of documents are dropped, here and in all later stages.
+    """
     stats = quality.document_statistics(docs)
     model = quality.fit(stats, common.table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return docs.select(*COLUMNS).filter(quality.text_score(model)(F.col("text")) >= quality.THRESHOLD)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that another document, or an earlier line, keeps; those with no words left go."""
+    """Documents without the lines that another document, or an earlier line, keeps; those with no words left go.
+
+    Null, empty and blank texts have no lines to lose and stay as they are.  Of a group of lines the one with the smallest
+    id (null first), then text key, then number stays; rows with equal id and text are one document.  No rows give no rows.
+    """
     cleaned = lines.dedup_lines(docs.select(*COLUMNS)).filter((F.col("n_removed") == 0) | (mixing.word_count(F.col("text")) > 0))
     n_chars = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("text"))
     return cleaned.select("row.doc_id", "text", "row.lang", "row.source", n_chars.cast("bigint").alias("n_chars"))
@@ -46,7 +58,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training set in the order of the curriculum: documents as often as the mix takes them, others not at all.
 
-    The document at which a source's target is met is kept whole.
+    The document at which a source's target is met is kept whole.  A null source is a source of its own; null and empty
+    texts have no words and are not taken; rows with equal id and size get the same places.  No rows give no rows.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     mix = mixing.mixture(docs).select(F.col("doc_id").alias("of_id"), F.col("size").alias("of_size"), "taken", "position", "position_again")
@@ -61,15 +74,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with counts and digests that show that they decode."""
-    encoded = bpe.encode_documents(docs, bpe.word_tokenizer())
-    return encoded.select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Token ids of every document of the mix, with counts and digests that show that they decode.
+
+    A null or empty text has no ids; texts of any length are encoded whole; each row of the mix gives a row, so what it
+    repeats is repeated; no rows give no rows.  The workers remember fewer words than those of a query of their own, as
+    the stages before have taken memory too.
+    """
+    return bpe.encode_digests(docs, bpe.word_tokenizer(), remembered=REMEMBERED, chunk_bytes=CHUNK_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
