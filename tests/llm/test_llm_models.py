@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from llm_plain import frame, near_duplicates, odd_rows, prose, words
 from pyspark.sql import functions as F
-from test_llm_joins import in_order, plain_line_dedup
+from test_llm_joins import in_order, plain_line_dedup, removed_lines
 
 import corpus_pipeline
 from conftest import SF
@@ -201,9 +201,17 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     assert sum(bool(y) == k for y, k in known) >= 0.95 * len(known)
 
     docs = common.write_stage(stage["line_dedup"](spark, docs, folder), "t")
-    texts, _ = plain_line_dedup([r[:2] for r in kept])
-    expected = [(r[0], texts[r[:2]], *r[2:4], r[4] if texts[r[:2]] == r[1] else len(texts[r[:2]])) for r in kept if texts[r[:2]] == r[1] or words(texts[r[:2]])]
-    assert in_order(documents(spark, docs)) == in_order(expected)
+    after = {r[0]: r for r in documents(spark, docs)}
+    unique = {r[:2]: r for r in kept if r[0] is not None and Counter(x[0] for x in kept)[r[0]] == 1}
+    check = {r: after[r[0]][1] if r[0] in after else "" for r in unique if r[1]}
+    gone = plain_line_dedup([r[:2] for r in kept])[1]
+    removed = {(r, k) for r in check for k in removed_lines(r[1], check[r])}
+    assert removed <= set(gone) and len(removed) >= 0.9 * len([x for x in gone if x[0] in check])
+    for r in check:  # other columns follow the text; what has no words left is gone, everything else stays
+        assert (r[0] in after) == (check[r] == r[1] or bool(words(check[r])))
+        if r[0] in after:
+            assert after[r[0]][2:4] == unique[r][2:4] and after[r[0]][4] == (unique[r][4] if check[r] == r[1] else len(check[r]))
+    assert {r[0] for r in kept if not words(r[1])} <= set(after)
 
     before = documents(spark, docs)
     docs = common.write_stage(stage["near_duplicates"](spark, docs, folder), "t")
@@ -231,3 +239,19 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
 
 def test_pipeline_query_runs_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
+    """Columns with the names the stages use inside, null and repeated rows; and no rows at all."""
+    docs = common.write_stage(frame(spark, odd_rows()).repartition(3), "t")
+    nothing = common.write_stage(docs.limit(0), "t")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name != "encoding":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            allowed = {r[:2] for r in odd_rows()}
+            assert name == "line_dedup" or {(r.doc_id, r.text) for r in rows} <= allowed
+        else:
+            assert len(rows) == len(odd_rows()) and all(r.n_tokens == len(r.ids) for r in rows)
+        assert stage(spark, nothing, SF).count() == 0
