@@ -28,10 +28,11 @@ LISTED_WORDS = 15
 NEAR_WORDS = 6
 #: Lines of so many words or more are marked with 128 bits instead of 64.
 MARKED_WORDS = 48
-#: Slots of the word counts that order words from rare to common, and the share of documents they are taken from.  The
-#: order only decides how many candidates there are, never which lines link.
+#: Slots of the word counts that order words from rare to common.  The order only decides how many candidates there are,
+#: never which lines link.
 COUNT_SLOTS = 1 << 20
-COUNT_ONE_IN = 8
+#: Bytes of text that a task works on at a time: the keys of a line take many times its own size.
+CHUNK_BYTES = 1 << 20
 #: Ranges of keys for each partition, held one at a time; groups of a key up to this size are thinned out where they are found.
 RANGES = 4
 THINNED = 64
@@ -112,20 +113,19 @@ def allowed_edits(words: np.ndarray) -> np.ndarray:
 
 
 def word_ranks(docs: DataFrame) -> np.ndarray:
-    """About eight times the binary logarithm of the count of the words of each slot, in a share of the documents."""
+    """About four times the binary logarithm of the count of the words of each slot, over all lines of all documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in common.text_chunks(batches):
+        for piece in common.text_chunks(batches, limit=CHUNK_BYTES):
             codes, _, dictionary = normal_words(split_lines(common.plain_texts(piece.column("text")))[0])
             slots = (common.hash_words(dictionary) & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)
             times = np.bincount(slots[codes], minlength=1)
             some = np.flatnonzero(times)
             yield pa.record_batch({"slot": pa.array(some.astype(np.int32)), "times": pa.array(times[some])})
 
-    drawn = docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(COUNT_ONE_IN)) == 0)
-    found = drawn.mapInArrow(run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    found = docs.select("text").mapInArrow(run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
     ranks = np.zeros(COUNT_SLOTS, np.uint8)
-    ranks[found["slot"].to_numpy()] = np.minimum(8 * np.log2(found["times"].to_numpy() + 1.0), 127).astype(np.uint8)
+    ranks[found["slot"].to_numpy()] = np.minimum(4 * np.log2(found["times"].to_numpy() + 1.0), 127).astype(np.uint8)
     return ranks
 
 
@@ -180,7 +180,7 @@ def _scrambled(keys: np.ndarray, bits: int) -> np.ndarray:
 def _line_parts(ranks: np.ndarray, parts: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk of documents one row with its lines, and for each range of keys one row with the keys of its distinct lines."""
     block_bits = BLOCK_BITS + (BLOCKS - 1).bit_length()
-    for number, piece in enumerate(common.text_chunks(batches)):
+    for number, piece in enumerate(common.text_chunks(batches, limit=CHUNK_BYTES)):
         chunk = (TaskContext.get().partitionId() << 32) | number
         lines, per_text = split_lines(common.plain_texts(piece.column("text")))
         codes, counts, dictionary = normal_words(lines)
@@ -359,7 +359,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.array(_in_filter(texts.value, keys.to_numpy(zero_copy_only=False)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in common.text_chunks(batches):
+        for piece in common.text_chunks(batches, limit=CHUNK_BYTES):
             lines, _ = split_lines(common.plain_texts(piece.column("text")))
             codes, counts, dictionary = normal_words(lines)
             found = digests(common.hash_words(dictionary)[codes], counts)

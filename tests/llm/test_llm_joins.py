@@ -177,6 +177,18 @@ def test_line_dedup_finds_what_brute_force_finds(spark):
     assert sum(expected.values()) > 100 and {r.doc_id: r.n_removed for r in found} == expected
 
 
+def test_word_ranks_count_every_document(spark):
+    rows = [(i, f"{'oft ' * 3}\nw{i} Oft!", "en", "s", 0) for i in range(200)] + [(900, None, "en", "s", 0), (901, "", "en", "s", 0)]
+    ranks = lines.word_ranks(frame(spark, rows))
+
+    def rank(word):
+        return ranks[int(common.hash_words(pa.array([word]).cast(pa.large_string()))[0]) & (lines.COUNT_SLOTS - 1)]
+
+    assert rank("oft") == int(4 * np.log2(801))
+    # 201 slots of 2 ** 20 hardly ever meet; a word of any one document is counted
+    assert all(rank(f"w{i}") >= int(4 * np.log2(2)) for i in range(200))
+
+
 def test_hot_keys_of_lines_are_compared_whole(spark, monkeypatch):
     """More near-equal lines than are thinned out where they are found: one group, whatever the size of the lists."""
     base = [f"h{k}" for k in range(40)]
