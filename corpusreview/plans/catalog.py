@@ -156,8 +156,9 @@ def follow_event_log(spark, sf_dir):
     """Log files that are followed while they grow: two fifths of each, then the rest, then nothing new."""
     folder, positions, checkpoint, target = (fresh_folder(spark, n) for n in ("log", "positions", "checkpoint", "events"))
     _write_logs(spark, sf_dir, f"{folder}/whole")
-    for share in (0.4, 1.0, 1.0):
-        _grow_logs(spark, f"{folder}/whole", f"{folder}/growing", share)
+    for share in (0.4, 1.0, None):
+        if share:
+            _grow_logs(spark, f"{folder}/whole", f"{folder}/growing", share)
         # the query is started again each time, and goes on where its checkpoint and positions say
         stream = event_log.read_event_log(spark, f"{folder}/growing", positions=positions, shards=8)
         jobs.append_stream(stream, target, checkpoint)

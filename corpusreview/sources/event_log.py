@@ -19,6 +19,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(locations)
 
 SEPARATOR = b"\n\n"
+#: Ranges share tasks so that there are no more than about so many, unless these would read more than so many bytes each.
+TASKS = 256
+TASK_BYTES = 64 * 1024 * 1024
 RECORD = "file string, start bigint, record string"
 
 
@@ -61,12 +64,14 @@ class EventLogReader(DataSourceReader):
         ]
 
     def partitions(self):
-        # large files are split, small ones share a task
-        parts, open_bytes = [], self.split_bytes
-        for file, size in sorted(self.found()):
+        # large files are split; small files and ranges share a task, so the tasks do not grow with the files
+        found = sorted(self.found())
+        task_bytes = max(self.split_bytes, min(-(-sum(size for _, size in found) // TASKS), TASK_BYTES))
+        parts, open_bytes = [], task_bytes
+        for file, size in found:
             for begin in range(0, size, self.split_bytes):
                 end = min(begin + self.split_bytes, size)
-                if open_bytes + end - begin > self.split_bytes:
+                if open_bytes + end - begin > task_bytes:
                     parts.append([])
                     open_bytes = 0
                 parts[-1].append((file, begin, end))
@@ -188,7 +193,8 @@ class EventLogStreamReader(DataSourceStreamReader):
         for file, size in self.reader.found():
             if zlib.crc32(file.encode()) % self.shards == shard:
                 begin, ended = before.get(file, (0, False))
-                plan[file] = (begin, begin if ended else self._complete(file, begin, size), ended)
+                # a file without new bytes is not opened
+                plan[file] = (begin, begin if ended or size <= begin else self._complete(file, begin, size), ended)
         return plan
 
     def _complete(self, file, begin, size):

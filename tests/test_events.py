@@ -381,3 +381,22 @@ def test_size_test_reaches_the_scan(spark):
 def test_top_n_is_cut_before_the_shuffle(spark):
     for name in ("worst_files", "recent_items", "category_breakdown"):
         assert "WindowGroupLimit" in plan_of(catalog.QUERIES[name](spark, SF)), name
+
+
+def test_tasks_do_not_grow_with_small_logs(tmp_path):
+    for i in range(1000):
+        (tmp_path / f"{i:04}.log").write_bytes(b"data: {}\n\n" * 9)
+    reader = event_log.EventLogReader({"path": str(tmp_path), "splitbytes": "64"})
+    parts = [part.ranges for part in reader.partitions()]
+    assert len(parts) <= event_log.TASKS + 1
+    # all ranges are there, cut as before
+    assert [r for ranges in parts for r in ranges] == [
+        (str(tmp_path / f"{i:04}.log"), begin, min(begin + 64, 90)) for i in range(1000) for begin in (0, 64)
+    ]
+
+
+def test_logs_without_new_bytes_are_not_opened(tmp_path, monkeypatch):
+    (tmp_path / "a.log").write_bytes(b"data: {}\n\n")
+    reader = event_log.EventLogStreamReader({"path": str(tmp_path), "positions": str(tmp_path / "positions"), "shards": "1"})
+    monkeypatch.setattr(reader, "_complete", lambda *_: 1 / 0)
+    assert reader._planned(0, {str(tmp_path / "a.log"): (10, False)}) == {str(tmp_path / "a.log"): (10, 10, False)}
