@@ -40,7 +40,7 @@ LONG_FILE_LINES = 300
 LONG_FUNCTION_LINES = 50
 MAX_NESTING = 4
 LONG_LINE_CHARS = 120
-MAGIC_NUMBER = r"(?U)(?<!=\s)(?<!\w)\b(?!0\b|1\b|2\b)(\d{2,})\b"
+MAGIC_NUMBER = r"(?U)(?=\d)(?<!=\s)(?<!\w)\b(?!0\b|1\b|2\b)(\d{2,})\b"
 VAR_DECLARATION = r"(?U)\bvar\s+[a-zA-Z0-9_$]+"
 CONSOLE_LOG = "console.log"
 TODO_MARKERS = ("TODO", "FIXME")
@@ -73,6 +73,18 @@ SECURITY_RULES = (
 # The same matches in linear time: a start without a later "+" takes the rest of its line in one step, as no later start of
 # the line can match either.  Group 1 is empty for such a stretch, which is no match.
 LINEAR_RULES = {"sql_injection": r"(?iuUd)(?=[siud])(?:SELECT|INSERT|UPDATE|DELETE)(?:([^+\n]*+\+.*?\b)|[^\n]*+)"}
+# The same for texts that are marked: a match is group 1, a stretch without one group 2.
+LINEAR_MARKS = {
+    "sql_injection": r"(?iuUd)(?=[siud])(?:((?:SELECT|INSERT|UPDATE|DELETE)[^+\n]*+\+.*?\b)|((?:SELECT|INSERT|UPDATE|DELETE)[^\n]*+))"
+}
+# Matches of these rules hold one of these texts, letter by letter.
+CALL_HEAD = "subprocess.Popen("
+PLAIN_HEADS = {
+    "hardcoded_secret": ("=",),
+    "unsafe_execution": ("eval", "exec", CALL_HEAD),
+    "sql_injection": ("+",),
+    "insecure_deserialization": ("pickle.loads", "yaml.load"),
+}
 # The calls of unsafe_execution, and its plain words.  A call without the closing part takes the rest of its line (group 4), as
 # no later call of the line can have one either.  Groups 2 and 3 hold the line breaks inside a match.
 OPEN_CALL = r"(?Ud)\bsubprocess\.Popen\("
@@ -106,15 +118,16 @@ TOOLS = ("analyze_code_quality", "detect_security_vulnerability", "generate_docs
 UNKNOWN_TOOL = "Unknown tool: %s"
 
 # ---- JavaScript / TypeScript structure -------------------------------------------------------------------------------
-# The third alternative is written with possessive quantifiers: same matches, no back-tracking on an unclosed "(".
+# Names, gaps and the third alternative are written with possessive quantifiers: same matches, no back-tracking into a name or
+# on an unclosed "(".
 JS_FUNCTION = (
-    r"(?Ud)\b(?:function\s+([a-zA-Z0-9_$]+)\s*\()"
-    r"|\b(?:const|let|var)\s+([a-zA-Z0-9_$]+)\s*=\s*(?:async\s*)?\(.*?\)\s*=>"
-    r"|\b([a-zA-Z0-9_$]+)\s*\((?:[^()]++|\([^()]*+\))*+\)\s*\{"
+    r"(?Ud)(?=[a-zA-Z0-9_$])\b(?:(?:function\s++([a-zA-Z0-9_$]++)\s*+\()"
+    r"|(?:const|let|var)\s++([a-zA-Z0-9_$]++)\s*+=\s*+(?:async\s*+)?\(.*?\)\s*+=>"
+    r"|([a-zA-Z0-9_$]++)\s*+\((?:[^()]++|\([^()]*+\))*+\)\s*+\{)"
 )
 # An arrow function's start: group 2 is the rest up to the arrow or, where the line has none, group 3 the rest of the line.  No
 # start in group 3 can have an arrow, so its keyword is put out of the pattern's sight.
-JS_ARROW = r"(?Ud)(\b(?:const|let|var)\s+[a-zA-Z0-9_$]+\s*=\s*(?:async\s*)?\()(?:(.*?\)\s*=>)|([^\n]*+))"
+JS_ARROW = r"(?Ud)(?=[clv])(\b(?:const|let|var)\s+[a-zA-Z0-9_$]+\s*=\s*(?:async\s*)?\()(?:(.*?\)\s*=>)|([^\n]*+))"
 JS_KEYWORD = r"(?U)\b(?:const|let|var)(?=\s+[a-zA-Z0-9_$]+\s*=\s*(?:async\s*)?\()"
 JS_NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch")
 JS_CLASS = r"(?U)\bclass\s+([a-zA-Z0-9_$]+)"

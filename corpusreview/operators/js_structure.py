@@ -22,7 +22,7 @@ def without_open_starts(code: Column) -> Column:
     A start of an arrow function searches the rest of its line.  Where there is no arrow, the further starts of that line
     need not search it again: their keywords are replaced, so the time grows with the text and not with its square.
     """
-    clean = F.translate(code, _OPEN + _CLOSE, "\u0002\u0002")
+    clean = F.replace(F.replace(code, F.lit(_OPEN), F.lit("\u0002")), F.lit(_CLOSE), F.lit("\u0002"))
     marked = F.regexp_replace(clean, K.JS_ARROW, f"$1$2{_OPEN}$3{_CLOSE}")
 
     def piece(text: Column, i: Column) -> Column:
@@ -38,10 +38,7 @@ def function_names(code: Column) -> Column:
     """Names in order of appearance.  The text is scanned once; each match is taken apart on its own."""
 
     def name(match: Column) -> Column:
-        def group(i: int) -> Column:
-            return F.regexp_extract(match, K.JS_FUNCTION, i)
-
-        return F.concat(group(1), group(2), group(3))  # exactly one group is non-empty
+        return F.regexp_replace(match, K.JS_FUNCTION, "$1$2$3")  # exactly one group is there
 
     found = F.transform(F.regexp_extract_all(without_open_starts(code), F.lit(K.JS_FUNCTION), F.lit(0)), name)
     return F.filter(found, lambda n: (n != "") & ~n.isin(list(K.JS_NOT_FUNCTIONS)))

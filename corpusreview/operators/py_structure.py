@@ -135,7 +135,10 @@ def _tree_udf():
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             for batch in batches:
-                yield listed(batch.to_pylist())
+                # copies of a text within the batch are parsed once
+                texts = batch.dictionary_encode()
+                found = listed([*texts.dictionary.to_pylist(), None])
+                yield found.take(texts.indices.fill_null(len(texts.dictionary)))
 
     return F.arrow_udf(trees, TREE)
 

@@ -31,20 +31,12 @@ def none() -> Column:
     return F.array().cast(f"array<{SMELL}>")
 
 
-def _starts_with_any(line: Column, marks: tuple[str, ...]) -> Column:
-    head = F.ltrim(line, F.lit(K.WHITE_SPACE))
-    out = head.startswith(marks[0])
-    for mark in marks[1:]:
-        out = out | head.startswith(mark)
-    return out
-
-
 def is_comment(line: Column) -> Column:
-    return _starts_with_any(line, ("#", "//", "/*", "*"))
+    return line.rlike(rf"\A[{K.WHITE_SPACE}]*+(?:#|//|/\*|\*)")
 
 
 def is_js_comment(line: Column) -> Column:
-    return _starts_with_any(line, ("//", "/*", "*"))
+    return line.rlike(rf"\A[{K.WHITE_SPACE}]*+(?://|/\*|\*)")
 
 
 def long_file(lines: Column) -> Column:
@@ -58,8 +50,8 @@ def magic_number(lines: Column) -> Column:
         smells = F.transform(
             hits, lambda m: _smell("magic_number", i + 1, "info", T.format_text(K.SMELL_TEXT["magic_number"], m))
         )
-        # most lines have no two digits in a row; they are left out before the dear pattern runs
-        return F.when(line.rlike(r"(?U)\d\d") & ~is_comment(line), smells)
+        # most lines have no two characters in a row that may be digits; they are left out before the dear pattern runs
+        return F.when(line.rlike(r"[0-9\x{80}-\x{10ffff}]{2}") & ~is_comment(line), smells)
 
     return F.flatten(F.array_compact(F.transform(lines, per_line)))
 

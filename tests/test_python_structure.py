@@ -150,3 +150,20 @@ def test_complexity_of_elif_and_nested(files):
     row = PY.py_complexity(files({"a.py": code})).first()
     # a: 1 + two ifs + one elif + the loop of b; b: 1 + its loop; the module-level if counts nothing
     assert (row["function_count"], row["total_complexity"]) == (2, 5 + 2)
+
+
+def test_copies_of_a_text_are_parsed_once(spark, monkeypatch):
+    import ast
+
+    import pyarrow as pa
+
+    from corpusreview.operators.py_structure import _tree_udf
+
+    seen, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda code, *more: seen.append(code) or parse(code, *more))
+    texts = pa.array(["def f():\n    pass", None, "x = (", "def f():\n    pass", "x = (", "", None])
+    (found,) = _tree_udf().func(iter([texts]))
+    assert sorted(seen) == ["", "def f():\n    pass", "x = ("]
+    assert found.field("has_errors").to_pylist() == [False, None, True, False, True, False, None]
+    names = [[n["name"] for n in row["nodes"] or []] for row in found.to_pylist()]
+    assert names == [["f"], [], [], ["f"], [], [], []]
