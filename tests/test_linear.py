@@ -53,3 +53,19 @@ def test_time_on_one_long_line(spark, line):
     rows = found.collect()
     assert time.perf_counter() - start < 8  # eight times the length that took minutes
     assert len(rows[1]["v"]) == code.count("eval") and len(rows[1]["f"]) == code.count("f(2) {")
+
+
+def test_plain_texts_are_searched_once_for_a_rule(spark, files):
+    """The patterns of plain texts stand once in the plan, and match what the patterns of all texts match."""
+    from pyspark.sql import functions as F
+
+    token = ["password", "=", "'abcdefghij1'", "eval", "subprocess.Popen(", "shell=True", "SELECT a", "+", "x", " ", "\n", "_", "yaml.load", "exec(", "pickle.loads"]
+    texts = ["".join(token[(i * 7 + k * k * (i % 5 + 1) + k) % len(token)] for k in range(3 + i % 40)) for i in range(600)]
+    texts += ["subprocess.Popen(a, shell=True) eval\n" * 150, "api_key =\n 'abcdefghij_9' SELECT", "\u0001eval\u0003 SELECT+x", "", "\u0004exec"]
+    df = files({f"f{i}.py": text for i, text in enumerate(texts)})
+    for rule, pattern in K.SECURITY_RULES:
+        whole, plain = SEC._found(F.col("content"), rule, pattern), SEC.vulnerabilities(F.col("content"), [(rule, pattern)])
+        assert df.filter(~whole.eqNullSafe(plain)).count() == 0
+    plan = SEC.security_scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?id)(?=[apst])(password") == 1
+    assert plan.count("(?d)(?=[py])") == 1
