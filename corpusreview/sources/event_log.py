@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(locations)
 
 SEPARATOR = b"\n\n"
-#: Ranges share tasks so that there are no more than about so many, unless these would read more than so many bytes each.
+#: Ranges share tasks so that there are no more than twice so many, unless these would read more than so many bytes each.
 TASKS = 256
 TASK_BYTES = 64 * 1024 * 1024
 RECORD = "file string, start bigint, record string"
