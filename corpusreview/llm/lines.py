@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ MARKED_WORDS = 48
 COUNT_SLOTS = 1 << 20
 #: Bytes of text that a task works on at a time: the keys of a line take many times its own size.
 CHUNK_BYTES = 1 << 20
+#: Keys that a task gathers from its chunks before it packs them by ranges.
+PACKED = 1 << 19
 #: Ranges of keys for each partition, held one at a time; groups of a key up to this size are thinned out where they are found.
 RANGES = 4
 THINNED = 64
@@ -41,6 +44,7 @@ FILTER_BITS = 1 << 25
 _BITS = BLOCKS * BLOCK_BITS
 _LISTED_KEY_BITS = 40
 _HASHED, _LISTED = 1, 2
+_KEY_BITS = {_HASHED: BLOCK_BITS + (BLOCKS - 1).bit_length(), _LISTED: _LISTED_KEY_BITS}
 _PARTS = "kind int, part int, chunk bigint, data binary"
 _ENTRIES = "kind int, digest bigint, doc_id bigint, text_key bigint, line int, key bigint, words int, mark bigint, half bigint"
 
@@ -74,7 +78,9 @@ def digests(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def distinct_words(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the distinct words of each line, and their number."""
-    both = np.unique((np.repeat(np.arange(len(counts)), counts) << 32) | codes)
+    both = (np.repeat(np.arange(len(counts)), counts) << 32) | codes
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return both & 0xFFFFFFFF, np.bincount(both >> 32, minlength=len(counts)).astype(np.int64)
 
 
@@ -113,11 +119,17 @@ def allowed_edits(words: np.ndarray) -> np.ndarray:
 
 
 def word_ranks(docs: DataFrame) -> np.ndarray:
-    """About four times the binary logarithm of the count of the words of each slot, over all lines of all documents."""
+    """About four times the binary logarithm of the count of the words of each slot, over the lines of all documents that
+    have up to ``LISTED_WORDS`` words, as no other line is joined by its rarest words.
+
+    Lines of more than twice as many blanks are passed over unread; the few of them that have so few words are ordered, too.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.text_chunks(batches, limit=CHUNK_BYTES):
-            codes, _, dictionary = normal_words(split_lines(common.plain_texts(piece.column("text")))[0])
+            lines, _ = split_lines(common.plain_texts(piece.column("text")))
+            codes, counts, dictionary = normal_words(lines.filter(pc.less_equal(pc.count_substring(lines, " "), 2 * LISTED_WORDS)))
+            codes = codes[np.repeat(counts <= LISTED_WORDS, counts)]
             slots = (common.hash_words(dictionary) & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)
             times = np.bincount(slots[codes], minlength=1)
             some = np.flatnonzero(times)
@@ -177,9 +189,35 @@ def _scrambled(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << bits) - 1)
 
 
+def _packed_keys(held: dict[int, list[tuple[np.ndarray, ...]]], parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """Kind, range and packed entries of the gathered keys, range by range in the order of the keys."""
+    for of, lists in held.items():
+        if not lists:
+            continue
+        bits = _KEY_BITS[of]
+        keys, found, counts, marks, halves = (np.concatenate([x[i] for x in lists]) for i in range(5))
+        lists.clear()
+        order = np.argsort(keys)
+        keys, found, counts, marks, halves = keys[order], found[order], counts[order], marks[order], halves[order]
+        ranges = ((keys << np.uint64(32 - bits) if bits < 32 else keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(ranges, np.arange(parts + 1))
+        for at in np.flatnonzero(np.diff(cuts)):
+            span = slice(cuts[at], cuts[at + 1])
+            steps = np.diff(keys[span], prepend=np.uint64(0))
+            yield of, int(at), common.pack(steps, found[span], counts[span], marks[span], halves[span][counts[span] >= MARKED_WORDS])
+
+
 def _line_parts(ranks: np.ndarray, parts: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk of documents one row with its lines, and for each range of keys one row with the keys of its distinct lines."""
-    block_bits = BLOCK_BITS + (BLOCKS - 1).bit_length()
+    """Per chunk of documents one row with its lines, and per ``PACKED`` keys of distinct lines one row for each range of keys."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {_HASHED: [], _LISTED: []}
+    gathered, chunk = 0, 0
+
+    def packed(rows: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        kind, part, data = (list(x) for x in zip(*rows)) if (rows := list(rows)) else ([], [], [])
+        yield pa.record_batch(
+            {"kind": pa.array(kind, pa.int32()), "part": pa.array(part, pa.int32()), "chunk": pa.array([chunk] * len(kind), pa.int64()), "data": pa.array(data, pa.binary())}
+        )
+
     for number, piece in enumerate(common.text_chunks(batches, limit=CHUNK_BYTES)):
         chunk = (TaskContext.get().partitionId() << 32) | number
         lines, per_text = split_lines(common.plain_texts(piece.column("text")))
@@ -200,7 +238,7 @@ def _line_parts(ranks: np.ndarray, parts: int, batches: Iterable[pa.RecordBatch]
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, listed.schema) as stream:
             stream.write_batch(listed)
-        kind, part, data = [0], [int(chunk % parts)], [sink.getvalue().to_pybytes()]
+        yield from packed([(0, int(chunk % parts), sink.getvalue().to_pybytes())])
         # the distinct lines that may have near lines
         firsts = np.zeros(len(counts), bool)
         firsts[np.unique(found, return_index=True)[1]] = True
@@ -208,29 +246,22 @@ def _line_parts(ranks: np.ndarray, parts: int, batches: Iterable[pa.RecordBatch]
         codes, counts, found = codes[np.repeat(firsts, counts)], counts[firsts], found[firsts].view(np.uint64)
         marks, halves = parities(hashes, codes, counts)
         codes, distinct = distinct_words(codes, counts)
-        for of, bits in ((_HASHED, block_bits), (_LISTED, _LISTED_KEY_BITS)):
+        for of in (_HASHED, _LISTED):
             chosen = counts >= HASHED_WORDS if of == _HASHED else counts <= LISTED_WORDS
             rows = np.flatnonzero(chosen)
             own, size = codes[np.repeat(chosen, distinct)], distinct[chosen]
             if of == _HASHED:
-                keys = _scrambled((simhashes(hashes, own, size) + (np.arange(BLOCKS) << BLOCK_BITS)).ravel(), bits)
+                keys = _scrambled((simhashes(hashes, own, size) + (np.arange(BLOCKS) << BLOCK_BITS)).ravel(), _KEY_BITS[of])
                 rows = np.repeat(rows, BLOCKS)
             else:
                 keys, taken = prefixes(hashes, own, size, counts[chosen], ranks)
                 rows = np.repeat(rows, taken)
-            order = np.argsort(keys)
-            keys, rows = keys[order], rows[order]
-            ranges = ((keys << np.uint64(32 - bits) if bits < 32 else keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(ranges, np.arange(parts + 1))
-            for at in np.flatnonzero(np.diff(cuts)):
-                span = rows[cuts[at] : cuts[at + 1]]
-                steps = np.diff(keys[cuts[at] : cuts[at + 1]], prepend=np.uint64(0))
-                kind.append(of)
-                part.append(int(at))
-                data.append(common.pack(steps, found[span], counts[span], marks[span], halves[span][counts[span] >= MARKED_WORDS]))
-        yield pa.record_batch(
-            {"kind": pa.array(kind, pa.int32()), "part": pa.array(part, pa.int32()), "chunk": pa.array([chunk] * len(kind), pa.int64()), "data": pa.array(data, pa.binary())}
-        )
+            held[of].append((keys, found[rows], counts[rows].astype(np.int32), marks[rows], halves[rows]))
+            gathered += len(rows)
+        if gathered >= PACKED:
+            yield from packed(_packed_keys(held, parts))
+            gathered = 0
+    yield from packed(_packed_keys(held, parts))
 
 
 def _entries(kind: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -319,12 +350,27 @@ def edits(left: list[str], right: list[str]) -> int:
     return total
 
 
+def near_words(a: list[str], b: list[str]) -> bool:
+    """Whether the allowed edits lead from one sequence of words to the other.
+
+    Words in place decide for most pairs that link, and words that the other line lacks for most that do not, as each takes
+    an edit of its own; the edits of the others are counted without the words that both begin with.
+    """
+    allowed = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    if len(a) == len(b) and sum(map(ne, a, b)) <= allowed:
+        return True
+    left, right = set(a), set(b)
+    if len(left - right) > allowed or len(right - left) > allowed:
+        return False
+    same = next((i for i, other in enumerate(map(ne, a, b)) if other), min(len(a), len(b)))
+    return edits(a[same:], b[same:]) <= allowed
+
+
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for left, right in zip(batch.column("u_text").to_pylist(), batch.column("v_text").to_pylist()):
-            a, b = left.split(" "), right.split(" ")
-            keep.append(edits(a, b) <= (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+        keep = [near_words(a.split(" "), b.split(" ")) for a, b in zip(batch.column("u_text").to_pylist(), batch.column("v_text").to_pylist())]
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -343,16 +389,26 @@ def _in_filter(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
+def _places(text_keys: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One number for a line of a text."""
+    return common.mix(text_keys.view(np.uint64) + common.mix(line)).view(np.int64)
+
+
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``digest, normal``: the normalised text of the wanted lines, ``digest`` and the ``text_key`` of a document that has it.
+    """``digest, normal``: the normalised text of the wanted lines, ``digest`` and ``text_key, line`` of a document that has it.
 
-    Documents are read again.  Two filters of fixed size, of the documents and of the lines, keep most others from being
-    worked on and shuffled; what they let through in error is dropped by the join.
+    Documents are read again.  Two filters of fixed size, of the documents and of the places of the lines, keep most others
+    from being worked on and shuffled; what they let through in error is dropped by the join.
     """
-    wanted = common.write_stage(wanted, "wanted-lines")
+
+    @F.arrow_udf("bigint")
+    def place(keys: pa.Array, line: pa.Array) -> pa.Array:
+        return pa.array(_places(keys.to_numpy(zero_copy_only=False), line.to_numpy(zero_copy_only=False)))
+
+    wanted = common.write_stage(wanted.select("digest", "text_key", place("text_key", "line").alias("place")), "wanted-lines")
     spark = docs.sparkSession
     texts = spark.sparkContext.broadcast(_filter(wanted.select(F.col("text_key").alias("value"))))
-    digest = spark.sparkContext.broadcast(_filter(wanted.select(F.col("digest").alias("value"))))
+    places = spark.sparkContext.broadcast(_filter(wanted.select(F.col("place").alias("value"))))
 
     @F.arrow_udf("boolean")
     def holds(keys: pa.Array) -> pa.Array:
@@ -360,17 +416,19 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.text_chunks(batches, limit=CHUNK_BYTES):
-            lines, _ = split_lines(common.plain_texts(piece.column("text")))
-            codes, counts, dictionary = normal_words(lines)
+            lines, per_text = split_lines(common.plain_texts(piece.column("text")))
+            line = np.arange(len(lines)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+            own = np.repeat(piece.column("text_key").to_numpy(zero_copy_only=False), per_text)
+            codes, counts, dictionary = normal_words(lines.filter(pa.array(_in_filter(places.value, _places(own, line)))))
             found = digests(common.hash_words(dictionary)[codes], counts)
-            rows = np.flatnonzero(_in_filter(digest.value, found) & (counts >= NEAR_WORDS))
-            rows = rows[np.unique(found[rows], return_index=True)[1]]
-            ends = np.cumsum(counts)
-            normal = [" ".join(dictionary.take(pa.array(codes[ends[i] - counts[i] : ends[i]])).to_pylist()) for i in rows]
-            yield pa.record_batch({"digest": pa.array(found[rows]), "normal": pa.array(normal, pa.string())})
+            each = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), dictionary.take(pa.array(codes)))
+            normal = pc.binary_join(each, pa.scalar(" ", dictionary.type)).cast(pa.string())
+            rows = np.flatnonzero(counts >= NEAR_WORDS)
+            rows = pa.array(rows[np.unique(found[rows], return_index=True)[1]])
+            yield pa.record_batch({"digest": pa.array(found).take(rows), "normal": normal.take(rows)})
 
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    lines = docs.select("text", key.alias("text_key")).filter(holds("text_key")).select("text").mapInArrow(run, "digest bigint, normal string")
+    lines = docs.select("text", key.alias("text_key")).filter(holds("text_key")).mapInArrow(run, "digest bigint, normal string")
     return common.write_stage(lines.join(wanted.select("digest"), "digest").groupBy("digest").agg(F.min("normal").alias("normal")), "line-texts")
 
 
@@ -410,7 +468,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     distinct = common.write_stage(distinct, "distinct-lines")
     lists = entries.filter("kind = 1").select("key", F.col("digest").alias("node"), "words", "mark", "half")
     nodes = lists.select(F.col("node").alias("digest")).distinct()
-    texts = _line_texts(docs, distinct.join(nodes, "digest", "left_semi").select("digest", F.col("first.text_key").alias("text_key")))
+    texts = _line_texts(docs, distinct.join(nodes, "digest", "left_semi").select("digest", "first.text_key", "first.line"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("digest").alias("u"), F.col("normal").alias("u_text")), "u").join(

@@ -189,6 +189,43 @@ def test_word_ranks_count_every_document(spark):
     assert all(rank(f"w{i}") >= int(4 * np.log2(2)) for i in range(200))
 
 
+def test_words_of_long_lines_have_no_rank(spark):
+    long = [f"long{i}" for i in range(100)]
+    ranks = lines.word_ranks(frame(spark, [(1, " ".join(long) + "\nshort line", "en", "s", 0), (2, "- short - - - - - -", "en", "s", 0)]))
+    slots = common.hash_words(pa.array(["short", "line", *long]).cast(pa.large_string())) & np.uint64(lines.COUNT_SLOTS - 1)
+    assert ranks[slots.astype(int)].tolist() == [int(4 * np.log2(3)), 4, *[0] * 100]
+
+
+def test_near_words_are_those_of_few_edits():
+    draw = np.random.default_rng(3)
+    found = []
+    for _ in range(4000):
+        a = [f"w{x}" for x in draw.integers(0, 12, draw.integers(6, 40))]
+        b = edited(draw, a, int(draw.integers(0, min(6, len(a)))))
+        if draw.integers(4) == 0:
+            draw.shuffle(b)
+        found.append(lines.near_words(a, b))
+        assert found[-1] == (edits(a, b) * 100 <= 15 * max(len(a), len(b)))
+    assert 500 < sum(found) < 3500
+
+
+def test_keys_of_many_chunks_are_packed_together(monkeypatch):
+    monkeypatch.setattr(lines, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(lines, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    texts = [prose(70 + i, 60) for i in range(40)]
+    batch = pa.record_batch({"doc_id": pa.array(range(40)), "text": pa.array(texts), "text_key": pa.array(range(40))})
+
+    def entries(packed):
+        monkeypatch.setattr(lines, "PACKED", packed)
+        rows = [r for b in lines._line_parts(np.zeros(lines.COUNT_SLOTS, np.uint8), 8, [batch]) for r in b.to_pylist()]
+        keyed = [r for r in rows if r["kind"]]
+        found = [(r["kind"], r["part"], int(k), int(n)) for r in keyed for x in [common.unpack(r["data"])] for k, n in zip(np.cumsum(x[0], dtype=np.uint64), x[1])]
+        return len(keyed), sorted(found), sum(r["kind"] == 0 for r in rows)
+
+    one, many = entries(1 << 19), entries(1)
+    assert one[0] <= 16 < many[0] and one[1] == many[1] and one[2] == many[2] > 10
+
+
 def test_hot_keys_of_lines_are_compared_whole(spark, monkeypatch):
     """More near-equal lines than are thinned out where they are found: one group, whatever the size of the lists."""
     base = [f"h{k}" for k in range(40)]
