@@ -12,8 +12,8 @@ from corpusreview.llm import bpe, common, lines, mixing, ngram_join, quality
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: One stage is not SQL (a learned classifier), so the rows of run() have no SQL twin; tests hold them against plain Python.
 ORACLE_SQL = None
-#: Words that a worker of the encoding remembers, and bytes of text it works on at a time.
-REMEMBERED = 100_000
+#: Pairs of tokens that a worker of the encoding remembers, and bytes of text it works on at a time.
+REMEMBERED = 500_000
 CHUNK_BYTES = 1 << 20
 
 
@@ -77,7 +77,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with counts and digests that show that they decode.
 
     A null or empty text has no ids; texts of any length are encoded whole; each row of the mix gives a row, so what it
-    repeats is repeated; no rows give no rows.  The workers remember fewer words than those of a query of their own, as
+    repeats is repeated; no rows give no rows.  The workers remember fewer pairs than those of a query of their own, as
     the stages before have taken memory too.
     """
     return bpe.encode_digests(docs, bpe.word_tokenizer(), remembered=REMEMBERED, chunk_bytes=CHUNK_BYTES)

@@ -117,6 +117,23 @@ def test_words_share_prefixes(reference):
     assert all(list(own.known[w]) == reference.encode(w, add_special_tokens=False).ids for w in made)
 
 
+def test_words_of_a_text_are_walked_together(reference, monkeypatch):
+    """No step of Python code for each word: the lookups of boundaries follow the levels of the trie."""
+    import random
+
+    draw = random.Random(6)
+    texts = [" ".join("".join(draw.choice("aeinorstéß") for _ in range(draw.randint(1, 14))) + draw.choice(["", ".", "'s", "42"]) for _ in range(3000)) for _ in range(2)]
+    texts += ["", "!\0 ! \0\0", "b" * 95 + " " + "b" * 98 + " \u0301a e\u0301<|endoftext|>x <| Σ", "a\x85b\u00a0c"]
+    own = bpe.Tokenizer(open(bpe.word_tokenizer(), encoding="utf-8").read(), remembered=1000)
+    calls = []
+    walk = bpe.Tokenizer._fits
+    monkeypatch.setattr(bpe.Tokenizer, "_fits", lambda self, a, b: calls.append(len(a)) or walk(self, a, b))
+    ids, offsets = own.encode(pa.array(texts, pa.large_string()))
+    expected = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == expected
+    assert sum(calls) > 10_000 and len(calls) < 3000
+
+
 def test_licenses_are_told_apart_by_wording():
     assert all(licenses._CUE.search(text) for text in licenses.TEXTS.values())
     for name, text in licenses.TEXTS.items():
