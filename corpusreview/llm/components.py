@@ -43,7 +43,19 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)
 
 
-def linked_by_lists(lists: DataFrame, may_link: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after the links ``found``."""
+    ends = found.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(
+        labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v"
+    )
+    merged = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return common.write_stage(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def linked_by_lists(
+    lists: DataFrame, may_link: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame], pairs: DataFrame | None = None, whole: int = 0
+) -> DataFrame:
     """``node, label`` of the nodes of all lists; the label is the smallest node that links reach.
 
     ``lists`` has ``key, node`` and columns that ``may_link(a, b)``, a condition on two aliases, reads; nodes that share a key
@@ -51,43 +63,49 @@ def linked_by_lists(lists: DataFrame, may_link: Callable[[str, str], Column], ve
     list that spans several components are compared with one of them, so a large group of copies costs about one comparison
     for each member and list; then all candidates that still lie in different components are compared.  Pairs inside a
     component cannot change it, so no link between components is left out, and no pair is verified twice.
+
+    ``pairs`` are further candidates ``u < v``, each once, from a table; they are verified first, and every list then has
+    two members at least.  Open lists whose members have up to ``whole`` others on average are compared pair by pair at once.
     """
     payload = [c for c in lists.columns if c not in ("key", "node")]
-    lists = lists.join(lists.groupBy("key").count().filter("count > 1").select("key"), "key")
+    if pairs is None:
+        lists = lists.join(lists.groupBy("key").count().filter("count > 1").select("key"), "key")
     lists = common.write_stage(lists.select("key", "node", *payload), "lists")
-    labels = common.write_stage(lists.select("node", F.col("node").alias("label")).distinct(), "labels")
-    done = None
+    nodes = lists.select("node")
+    if pairs is not None:
+        nodes = nodes.unionAll(pairs.select("u")).unionAll(pairs.select("v"))
+    labels = common.write_stage(nodes.distinct().select("node", F.col("node").alias("label")), "labels")
+    if pairs is not None:
+        labels = _joined(labels, common.write_stage(verified(pairs), "links"))
+    done = pairs
     for turn in range(STAR_ROUNDS + 1):
         placed = lists.join(labels, "node")
         spans = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         placed = common.write_stage(placed.join(spans.select("key"), "key"), "open-lists")
-        if placed.isEmpty():
+        sizes = placed.groupBy("key").count().agg(F.sum("count"), F.sum(F.expr("double(count) * count"))).first()
+        if not sizes[0]:
             break
+        last = turn == STAR_ROUNDS or sizes[1] <= whole * sizes[0]
         centres, once = placed, F.col("a.node") < F.col("b.node")
-        if turn < STAR_ROUNDS:
+        if not last:
             once = F.lit(True)
             # the first round takes the same member of overlapping lists, later rounds others
             order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
             centres = placed.groupBy("key").agg(F.min_by(F.struct("node", "label", *payload), order).alias("c")).select("key", "c.*")
-        pairs = (
+        more = (
             placed.alias("a")
             .join(centres.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & once & may_link("a", "b"))
             .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
             .distinct()
         )
         if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = common.write_stage(pairs, "pairs")
-        found = common.write_stage(verified(pairs), "links")
+            more = more.join(done, ["u", "v"], "left_anti")
+        more = common.write_stage(more, "pairs")
+        found = common.write_stage(verified(more), "links")
         if not found.isEmpty():
-            ends = found.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(
-                labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v"
-            )
-            merged = components(ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-            merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
-            labels = common.write_stage(
-                labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels"
-            )
-        done = pairs if done is None else done.unionAll(pairs)
+            labels = _joined(labels, found)
+        done = more if done is None else done.unionAll(more)
+        if last:
+            break
         lists = placed.drop("label")
     return labels

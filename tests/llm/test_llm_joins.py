@@ -209,6 +209,52 @@ def test_near_words_are_those_of_few_edits():
     assert 500 < sum(found) < 3500
 
 
+def test_pairs_of_texts_link_as_their_words_do(monkeypatch):
+    """Groups of pairs side by side, few pairs one by one, and texts that repeat words."""
+    draw = np.random.default_rng(5)
+    pairs = []
+    for _ in range(1500):
+        a = [f"w{x}" for x in draw.integers(0, draw.integers(2, 60), draw.integers(1, 90))]
+        b = list(a)
+        for _ in range(draw.integers(0, len(a) // 4 + 2)):
+            at, what = draw.integers(0, len(b)), draw.integers(3)
+            b[at : at + (what > 0)] = [f"w{draw.integers(60)}"] if what < 2 or len(b) == 1 else []
+        pairs.append((a, b))
+    u, v = (pa.array([" ".join(p[i]) for p in pairs]) for i in range(2))
+    expected = [edits(a, b) * 100 <= 15 * max(len(a), len(b)) for a, b in pairs]
+    assert 300 < sum(expected) < 1300
+    assert lines.near_texts(u, v).tolist() == expected
+    monkeypatch.setattr(lines, "SIDE_BY_SIDE", 8)
+    assert lines.near_texts(u, v).tolist() == expected
+    assert lines.near_texts(u[:0], v[:0]).tolist() == []
+
+
+def test_simhashes_of_lines_of_any_length_agree_with_counted_words():
+    draw = np.random.default_rng(6)
+    hashes = common.mix(np.arange(3000).astype(np.uint64))
+    counts = np.concatenate([[1, 2, 3, 254, 255, 256, 900], draw.integers(1, 40, 1500), draw.integers(1, 300, 60)])
+    codes = draw.integers(0, 3000, int(counts.sum()))
+    assert (lines.simhashes(hashes, codes, counts) == lines._long_simhashes(hashes, codes, counts)).all()
+
+
+def test_lines_without_a_partner_do_not_become_rows(spark, monkeypatch):
+    """Only copies and lines with another in reach are rows; they were all lines before."""
+    rows = [(i, "\n".join([*(prose(900 + 7 * i + k, 20) for k in range(6)), "the same line", f"short {i}"]), None, None, None) for i in range(40)]
+    rows += [(None, rows[3][1], None, None, None), (3, rows[3][1], None, None, None)]
+    written = {}
+    write = common.write_stage
+
+    def kept(df, purpose):
+        written[purpose] = write(df, purpose)
+        return written[purpose]
+
+    monkeypatch.setattr(common, "write_stage", kept)
+    found = lines.repeated_lines(write(frame(spark, rows).repartition(3), "t")).collect()
+    # rows with equal id and text are one document; the null id comes first and keeps its lines
+    assert {r.doc_id: sorted(r.lines) for r in found} == {i: list(range(8)) if i == 3 else [6] for i in range(40)}
+    assert written["lines"].filter(f"kind <> {lines._PLACED}").count() < 60
+
+
 def test_keys_of_many_chunks_are_packed_together(monkeypatch):
     monkeypatch.setattr(lines, "CHUNK_BYTES", 1000)
     monkeypatch.setattr(lines, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
