@@ -121,6 +121,36 @@ def test_gradient_of_the_recurrent_model():
         assert abs((up - down) / 0.02 / inputs.size + gradient[i]) < 1e-4
 
 
+def test_training_works_out_no_probabilities_and_steps_as_adam_does(monkeypatch):
+    """The gradient is the same without them, and the optimiser's pieces are whole whatever their size."""
+    draw = np.random.default_rng(4)
+    frequencies = draw.integers(1, 90, 70).astype(float)
+    tokens = draw.integers(0, 70, 16 * gru.WINDOW)
+    model = gru.Gru(gru.classes_of(frequencies), 70)
+    model.seed(frequencies)
+    first = model.flat.copy()
+    targets = tokens[: gru.WINDOW, None]
+    inputs = np.concatenate([[[gru.END]], targets[:-1]])
+    state = np.zeros((1, gru.HIDDEN), np.float32)
+    told, plain = model.gradient(inputs, targets, state), model.gradient(inputs, targets, state, told=False)
+    assert (told[0] == plain[0]).all() and plain[2] is None and told[2] < 0
+    monkeypatch.setattr(gru, "PIECE", 100)
+    monkeypatch.setattr(gru, "WINDOW", len(tokens))
+    monkeypatch.setattr(gru.Gru, "gradient", lambda *_, told: (plain[0].copy(), state, None if not told else 1 / 0))
+    model.train(tokens)
+    grad = plain[0].astype(float)
+    grad /= max(1.0, np.sqrt((grad**2).sum()))
+    # after one step the moments are a tenth and a hundredth of the gradient and its square
+    step = gru.RATE * np.sqrt(0.01) / 0.1 * 0.1 * grad / (np.sqrt(0.01 * grad**2) + 1e-6)
+    assert np.allclose(first - model.flat, step, atol=1e-5)
+
+
+def test_packed_numbers_come_back_as_they_were():
+    draw = np.random.default_rng(3)
+    arrays = [draw.integers(0, 1 << bits, size).astype(np.uint64) for bits in (1, 8, 23, 62) for size in (0, 1, 5, 700)]
+    assert [x.tolist() for x in common.unpack(common.pack(*arrays))] == [x.tolist() for x in arrays]
+
+
 def test_scores_do_not_depend_on_company():
     model = gru.Gru(gru.classes_of(np.arange(50.0)), 50)
     model.seed(np.arange(50.0))
