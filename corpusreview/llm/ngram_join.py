@@ -22,6 +22,8 @@ HASH_BITS = 48
 SLOTS = 64
 #: Ranges of hashes for each shuffle partition: a task holds one at a time.
 RANGES = 2
+#: Bytes of text whose words and shingles are held at a time: they take many times the size of the text, their sets do not.
+PIECE_BYTES = 1 << 19
 
 _LISTS = "kind int, part int, chunk bigint, data binary"
 
@@ -51,16 +53,21 @@ def _rows(kind: list[int], part: list[int], chunk: list[int], data: list[bytes])
     )
 
 
+def _text_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text."""
+    codes, counts, dictionary = common.words(common.plain_texts(texts))
+    hashes, owner = common.shingles(common.hash_words(dictionary)[codes], counts)
+    hashes >>= np.uint64(64 - HASH_BITS)
+    return [np.unique(own) for own in common.split_by(hashes, np.bincount(owner, minlength=len(counts)))]
+
+
 def _invert(parts: int):
     """Texts to lists by shingle: per chunk of documents and range of hashes one row, and one row that lists the documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, piece in enumerate(common.text_chunks(batches)):
             chunk = (TaskContext.get().partitionId() << 32) | number
-            codes, counts, dictionary = common.words(common.plain_texts(piece.column("text")))
-            hashes, owner = common.shingles(common.hash_words(dictionary)[codes], counts)
-            hashes >>= np.uint64(64 - HASH_BITS)
-            sets = [np.unique(own) for own in common.split_by(hashes, np.bincount(owner, minlength=len(counts)))]
+            sets = [own for part in common.pieces(piece, "text", PIECE_BYTES) for own in _text_sets(part.column("text"))]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             classes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             ids = piece.column("doc_id")

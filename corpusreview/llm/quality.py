@@ -19,6 +19,8 @@ FEATURES = 384
 PENALTY = 1e-5
 BINS = 2048
 THRESHOLD = 0.3
+#: Bytes of text that are scored at a time where whole texts stand beside in memory.
+PIECE_BYTES = 1 << 20
 STATISTICS = (
     "log characters", "log words", "word length", "spread of word lengths", "capitals", "digits", "punctuation", "symbols",
     "exclamation marks", "distinct words", "words equal to the one before", "most frequent word", "short words",
@@ -217,7 +219,7 @@ def text_score(model: Model):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         batch = pa.record_batch({"text": texts})
-        pieces = [model.score(statistics(common.plain_texts(p.column("text")))) for p in common.text_chunks([batch])]
+        pieces = [model.score(statistics(common.plain_texts(p.column("text")))) for p in common.text_chunks([batch], limit=PIECE_BYTES)]
         return pa.array(np.concatenate(pieces) if pieces else np.zeros(0))
 
     return score

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm_plain import edits, frame, groups, near_duplicates, normal_line, odd_rows, prose, words
+from pyspark.sql import functions as F
 
 from conftest import SF
 from corpusreview.llm import common, components, lines, mixing, ngram_join, topk
@@ -281,6 +282,41 @@ def test_hot_keys_of_lines_are_compared_whole(spark, monkeypatch):
     assert {r.doc_id: r.n_removed for r in found} == {i: int(i > 0) for i in range(150)}
 
 
+def test_shingles_are_made_of_small_pieces_of_a_chunk(monkeypatch):
+    """The words of a whole chunk were held at a time, at many times the size of the text."""
+    monkeypatch.setattr(ngram_join, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    texts = [prose(70 + i, 60) for i in range(40)] + [None, "", "one two"]
+    batch = pa.record_batch({"doc_id": pa.array(range(43)), "text": pa.array(texts), "text_key": pa.array(range(43))})
+    words, held = common.words, []
+
+    def counted(texts, lower=True):
+        held.append(sum(len(t) for t in texts.to_pylist()))
+        return words(texts, lower)
+
+    monkeypatch.setattr(common, "words", counted)
+    whole = [r for b in ngram_join._invert(8)([batch]) for r in b.to_pylist()]
+    assert len(held) == 1
+    held.clear()
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 1000)
+    assert [r for b in ngram_join._invert(8)([batch]) for r in b.to_pylist()] == whole
+    assert len(held) > 5 and max(held) <= 1000
+
+
+def test_tables_are_written_from_small_batches(spark, monkeypatch):
+    """Up to 10,000 whole texts were one batch in memory."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.num_rows]), "size": pa.array([b.nbytes])})
+
+    docs = common.write_stage(spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("text")), "t")
+    before = spark.conf.get(common.BATCH_BYTES)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 20000)
+    rows = common.write_stage(docs.mapInArrow(sizes, "n bigint, size bigint"), "t").collect()
+    assert sum(r.n for r in rows) == 400 and max(r["size"] for r in rows) <= 20000
+    assert spark.conf.get(common.BATCH_BYTES) == before
+
+
 def plain_topk(queries, rows, k):
     import math
 
