@@ -12,6 +12,8 @@ from corpusreview.llm import common
 
 #: Rounds that compare members of a list with one of them before the rest is compared pair by pair.
 STAR_ROUNDS = 3
+#: Candidates for each open node by which another such round is worth its while: with fewer, one member is near to hardly any other.
+FEW = 1 / 16
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -31,7 +33,11 @@ def components(links: DataFrame) -> DataFrame:
     shared folder; neither links nor components come to the driver.  Steps are repeated until the links form stars, which
     takes about the logarithm of the longest chain.
     """
-    now = common.write_stage(links.filter("u <> v").distinct(), "links")
+    return _contracted(common.write_stage(links.filter("u <> v").distinct(), "links"))
+
+
+def _contracted(now: DataFrame) -> DataFrame:
+    """``components`` of links of different nodes from a table."""
     mark = None
     while True:
         now = common.write_stage(_stars(now), "links")
@@ -53,6 +59,12 @@ def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     return common.write_stage(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
+def _first_labels(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after the first links ``found``, each once, from a table: ``_joined`` where every node is its own label."""
+    merged = _contracted(found).withColumnRenamed("node", "of")
+    return common.write_stage(nodes.join(merged, F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
 def linked_by_lists(
     lists: DataFrame, may_link: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame], pairs: DataFrame | None = None, whole: int = 0
 ) -> DataFrame:
@@ -61,7 +73,8 @@ def linked_by_lists(
     ``lists`` has ``key, node`` and columns that ``may_link(a, b)``, a condition on two aliases, reads; nodes that share a key
     and pass it are candidates, ``verified`` gives those of the pairs ``u, v`` that link.  In a few rounds the members of every
     list that spans several components are compared with one of them, so a large group of copies costs about one comparison
-    for each member and list; then all candidates that still lie in different components are compared.  Pairs inside a
+    for each member and list; once few members are near to that one, or after the last round, all candidates that still lie in
+    different components are compared.  Pairs inside a
     component cannot change it, so no link between components is left out, and no pair is verified twice.
 
     ``pairs`` are further candidates ``u < v``, each once, from a table; they are verified first, and every list then has
@@ -74,10 +87,12 @@ def linked_by_lists(
     nodes = lists.select("node")
     if pairs is not None:
         nodes = nodes.unionAll(pairs.select("u")).unionAll(pairs.select("v"))
-    labels = common.write_stage(nodes.distinct().select("node", F.col("node").alias("label")), "labels")
-    if pairs is not None:
-        labels = _joined(labels, common.write_stage(verified(pairs), "links"))
-    done = pairs
+    nodes = nodes.distinct()
+    if pairs is None:
+        labels = common.write_stage(nodes.select("node", F.col("node").alias("label")), "labels")
+    else:
+        labels = _first_labels(nodes, common.write_stage(verified(pairs), "links"))
+    done, met = pairs, 1.0
     for turn in range(STAR_ROUNDS + 1):
         placed = lists.join(labels, "node")
         spans = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
@@ -85,7 +100,7 @@ def linked_by_lists(
         sizes = placed.groupBy("key").count().agg(F.sum("count"), F.sum(F.expr("double(count) * count"))).first()
         if not sizes[0]:
             break
-        last = turn == STAR_ROUNDS or sizes[1] <= whole * sizes[0]
+        last = turn == STAR_ROUNDS or sizes[1] <= whole * sizes[0] or met < FEW
         centres, once = placed, F.col("a.node") < F.col("b.node")
         if not last:
             once = F.lit(True)
@@ -101,6 +116,8 @@ def linked_by_lists(
         if done is not None:
             more = more.join(done, ["u", "v"], "left_anti")
         more = common.write_stage(more, "pairs")
+        if not last:
+            met = more.count() / placed.select("node").distinct().count()
         found = common.write_stage(verified(more), "links")
         if not found.isEmpty():
             labels = _joined(labels, found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable, Iterator
 from operator import ne
 
@@ -36,11 +37,14 @@ COUNT_SLOTS = 1 << 20
 CHUNK_BYTES = 1 << 20
 #: Keys that a task gathers from its chunks before it packs them by ranges.
 PACKED = 1 << 19
-#: Ranges of keys for each partition, held one at a time; groups of a key up to this size are thinned out where they are found.
+#: Ranges of keys for each partition, held one at a time; groups of a key up to this size are compared where they are found.
 RANGES = 4
+COMPARED = 2048
+#: Pairs in reach are written down where they are found for groups of a key that have up to so many for each member; the
+#: members of other groups stay lists.
+PAIRED = 4
+#: Open lists whose members have up to so many others on average are compared pair by pair.
 THINNED = 64
-#: Pairs in reach are written down where they are found for groups of a key up to this size; larger ones stay lists.
-PAIRED = 8
 #: Pairs of lines whose edits are counted side by side.
 SIDE_BY_SIDE = 256
 #: Bits of the fixed-size filter that finds the lines whose texts are compared.
@@ -73,8 +77,13 @@ def split_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def normal_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes of the normalised words of all lines, their number in each line and the words: lower case, letters and digits only."""
     codes, counts, dictionary = common.words(lines, lower=False)
-    plain = pc.replace_substring_regex(pc.utf8_lower(dictionary), r"[^\p{L}\p{N}]+", "").dictionary_encode()
-    to = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # between signs, most words are ASCII letters and digits, which are normal once they are in lower case
+    dictionary = pc.ascii_trim(dictionary, string.punctuation)
+    ready = pc.ascii_is_alnum(dictionary)
+    others = pc.replace_substring_regex(pc.utf8_lower(dictionary.filter(pc.invert(ready))), r"[^\p{L}\p{N}]+", "")
+    plain = pa.concat_arrays([pc.ascii_lower(dictionary.filter(ready)), others]).dictionary_encode()
+    to = np.empty(len(dictionary), np.int64)
+    to[np.argsort(~ready.to_numpy(zero_copy_only=False), kind="stable")] = plain.indices.to_numpy(zero_copy_only=False)
     some = pc.greater(pc.binary_length(plain.dictionary), 0).to_numpy(zero_copy_only=False)
     codes = to[codes] if len(codes) else codes
     keep = some[codes] if len(codes) else np.zeros(0, bool)
@@ -232,7 +241,8 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
             some = np.flatnonzero(times)
             yield pa.record_batch({"slot": pa.array(some.astype(np.int32)), "times": pa.array(times[some])})
 
-    found = docs.select("text").mapInArrow(run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    with common.small_batches(docs.sparkSession):
+        found = docs.select("text").mapInArrow(run, "slot int, times bigint").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
     ranks = np.zeros(COUNT_SLOTS, np.uint8)
     ranks[found["slot"].to_numpy()] = np.minimum(4 * np.log2(found["times"].to_numpy() + 1.0), 127).astype(np.uint8)
     return ranks
@@ -453,11 +463,25 @@ def _placed_lines(part: int, lists: list[bytes]) -> Iterator[pa.RecordBatch]:
     yield _entries(_PLACED, part=pa.array([part]), data=pa.array([_pack_firsts(*(x[~shared] for x in columns))], pa.binary()))
 
 
+def _by_length(keys: np.ndarray, words: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The order by key, words and node of entries that are in the order of their keys; only ties are sorted by node."""
+    both = (np.cumsum(np.append(0, keys[1:] != keys[:-1])[: len(keys)]) << 32) | words
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    tied = np.zeros(len(keys), bool)
+    same = both[1:] == both[:-1]
+    tied[1:] |= same
+    tied[:-1] |= same
+    own = order[tied]
+    order[tied] = own[np.lexsort((node[own], both[tied]))]
+    return order
+
+
 def _matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each range of digests the first occurrences and the copies, and of each range of keys the entries in reach of another one of their key.
 
-    Groups of up to ``PAIRED`` entries give pairs; larger ones give their pairs with one member, and a list.  In groups of more than ``THINNED`` entries all are handed on; they are
-    compared where Spark can split them.
+    Groups of up to ``COMPARED`` entries are compared here: those with few pairs in reach give these pairs, the others their pairs
+    with one member, and a list.  Of larger groups all entries are handed on; they are compared where Spark can split them.
     """
     for part, rows in common.grouped(batches, "part", ["kind", "data"]):
         for kind, data in rows:
@@ -484,35 +508,42 @@ def _matched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared[:-1] |= same
             order = order[shared]
             keys, node, words, mark, half = ordered[shared], node[order], words[order].astype(np.int32), mark[order], half[order]
-            order = np.lexsort((node, words, keys))
+            order = _by_length(keys, words, node)
             keys, node, words, mark, half = keys[order], node[order], words[order], mark[order], half[order]
             # a line that several chunks list
             again = np.zeros(len(keys), bool)
             again[1:] = (keys[1:] == keys[:-1]) & (node[1:] == node[:-1])
             keys, node, words, mark, half = keys[~again], node[~again], words[~again], mark[~again], half[~again]
             sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))) if len(keys) else np.zeros(0, np.int64)
-            keep = np.repeat(sizes > THINNED, sizes)
-            few = np.repeat(sizes <= PAIRED, sizes)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            keep = sizes[group] > COMPARED
+            found = np.zeros(len(sizes), np.int64)
+            allowed = allowed_edits(words)
             pairs = []
-            left = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= THINNED), sizes))
-            for step in range(1, THINNED):
+            left = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= COMPARED))
+            for step in range(1, COMPARED):
                 left = left[(left + step < len(keys))]
                 left = left[keys[left + step] == keys[left]]
                 # sorted by length: too long a line ends the search
-                left = left[words[left + step] - words[left] <= allowed_edits(words[left + step])]
+                left = left[words[left + step] - words[left] <= allowed[left + step]]
                 if not len(left):
                     break
-                near = left[_in_reach(words, mark, half, left, left + step)]
-                pairs.append(np.stack([near, near + step])[:, few[near]])
-                near = near[~few[near]]
+                near = left[np.bitwise_count(mark[left] ^ mark[left + step]) <= 2 * allowed[left + step]]
+                near = near[_in_reach(words, mark, half, near, near + step)]
                 keep[near] = True
                 keep[near + step] = True
+                np.add.at(found, group[near], 1)
+                near = near[found[group[near]] <= PAIRED * sizes[group[near]]]
+                pairs.append(np.stack([near, near + step]))
+            few = found <= PAIRED * sizes
+            pairs = [x[:, few[group[x[0]]]] for x in pairs]
+            keep &= ~few[group] | (sizes[group] > COMPARED)
             # the members of other lists to be compared here meet one of them at once, the same for overlapping lists
-            begin = np.cumsum(sizes) - sizes
-            starred = np.flatnonzero(np.repeat((sizes > PAIRED) & (sizes <= THINNED), sizes))
+            starred = np.flatnonzero(~few[group])
             if len(starred):
-                centre = np.flatnonzero(np.repeat(np.minimum.reduceat(node, begin), sizes) == node)
-                centre = np.repeat(centre, sizes)[starred]
+                begin = np.cumsum(sizes) - sizes
+                centre = np.flatnonzero(np.minimum.reduceat(node, begin)[group] == node)
+                centre = centre[group[starred]]
                 pairs.append(np.stack([centre, starred])[:, (centre != starred) & _in_reach(words, mark, half, centre, starred)])
             ends = np.sort(node[np.concatenate(pairs, axis=1)].view(np.int64), axis=0) if pairs else np.zeros((2, 0), np.int64)
             if ends.size:

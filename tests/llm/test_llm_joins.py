@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from llm_plain import edits, frame, groups, near_duplicates, normal_line, odd_rows, prose, words
 from pyspark.sql import functions as F
@@ -282,6 +283,79 @@ def test_hot_keys_of_lines_are_compared_whole(spark, monkeypatch):
     assert {r.doc_id: r.n_removed for r in found} == {i: int(i > 0) for i in range(150)}
 
 
+def test_lists_larger_than_are_compared_where_they_are_found_are_compared_whole(spark):
+    base = [f"h{k}" for k in range(40)]
+    rows = [(i, " ".join([*base[: i % 40], f"own{i}", *base[i % 40 + 1 :]]), None, None, None) for i in range(lines.COMPARED + 200)]
+    found = lines.dedup_lines(common.write_stage(frame(spark, rows).repartition(3), "t")).select("row.doc_id", "n_removed").collect()
+    assert {r.doc_id: r.n_removed for r in found} == {i: int(i > 0) for i in range(len(rows))}
+
+
+def matched(groups):
+    """``_matched`` of groups of (node, words, mark) by key: the pairs, and the nodes of the lists by key."""
+    rows = sorted((key, node, words, mark) for key, group in groups.items() for node, words, mark in group)
+    keys, node, words, mark = (np.array(x, np.uint64) for x in zip(*rows))
+    data = common.pack(np.diff(keys, prepend=np.uint64(0)), node, words, mark, np.zeros(0, np.uint64))
+    batch = pa.record_batch({"part": pa.array([0], pa.int32()), "kind": pa.array([lines._HASHED], pa.int32()), "data": pa.array([data], pa.binary())})
+    found = [r for b in lines._matched([batch]) for r in b.to_pylist()]
+    listed = {}
+    for r in found:
+        if r["kind"] == lines._LIST:
+            listed.setdefault(r["key"] & 0xFFFFFFFF, set()).add(r["node"])
+    return {(r["u"], r["v"]) for r in found if r["kind"] == lines._PAIR}, listed
+
+
+def test_large_groups_of_unlike_lines_give_pairs(monkeypatch):
+    """Groups of a key that are large but not alike are no lists; from 65 lines on, all of them were."""
+    draw = np.random.default_rng(12)
+    groups = {}
+    for key, size in ((3, 1500), (4, 300), (9, 40), (10, 5)):
+        marks = draw.integers(0, 1 << 63, size).tolist()
+        # some are near to one before them
+        for i in draw.integers(1, size, size // 5).tolist():
+            marks[i] = marks[i - 1] ^ 1 << int(draw.integers(0, 60))
+        groups[key] = [(int(n), int(w), m) for n, w, m in zip(draw.permutation(2000)[:size], draw.integers(14, 30, size), marks)]
+    groups[4].append(groups[4][7])  # from another chunk
+    allowed = {w: int(lines.allowed_edits(np.array([w]))[0]) for w in range(14, 30)}
+
+    def near(a, b):
+        most = allowed[max(a[1], b[1])]
+        return a[0] != b[0] and abs(a[1] - b[1]) <= most and (a[2] ^ b[2]).bit_count() <= 2 * most
+
+    plain = {key: {(min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(group) for b in group[:i] if near(a, b)} for key, group in groups.items()}
+    pairs, listed = matched(groups)
+    assert pairs == set().union(*plain.values()) and len(pairs) > 50 and not listed
+    # alike lines stay a list, and meet one of them at once
+    alike = {5: [(n, 20, 1 << n % 5) for n in range(100)]}
+    assert matched(alike) == ({(0, n) for n in range(1, 100)}, {5: set(range(100))})
+    # larger groups are handed on
+    monkeypatch.setattr(lines, "COMPARED", 200)
+    pairs, listed = matched(groups)
+    assert pairs == plain[9] | plain[10] and listed == {key: {n for n, _, _ in groups[key]} for key in (3, 4)}
+
+
+def test_no_more_star_rounds_where_few_members_are_near(spark, monkeypatch):
+    """One round with a member of each list, then all pairs; there were three such rounds whatever they found."""
+    write, written = common.write_stage, []
+
+    def kept(df, purpose):
+        written.append(purpose)
+        return write(df, purpose)
+
+    monkeypatch.setattr(common, "write_stage", kept)
+    lists = spark.createDataFrame([(1, i, i) for i in range(200)] + [(2, i, i) for i in range(500, 504)], "key bigint, node bigint, at int")
+    near = lambda a, b: F.abs(F.col(f"{a}.at") - F.col(f"{b}.at")) == 1
+    asked = []
+
+    def verified(pairs):
+        asked.extend((r.u, r.v) for r in pairs.collect())
+        return pairs.filter("u % 50 <> 0")
+
+    found = {r.node: r.label for r in components.linked_by_lists(lists, near, verified).collect()}
+    assert written.count("pairs") == 2
+    assert sorted(asked) == [(i, i + 1) for i in [*range(199), *range(500, 503)]]
+    assert found == {i: 0 if i == 0 else (i - 1) // 50 * 50 + 1 for i in range(200)} | {500: 500, 501: 501, 502: 501, 503: 501}
+
+
 def test_shingles_are_made_of_small_pieces_of_a_chunk(monkeypatch):
     """The words of a whole chunk were held at a time, at many times the size of the text."""
     monkeypatch.setattr(ngram_join, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
@@ -317,6 +391,15 @@ def test_tables_are_written_from_small_batches(spark, monkeypatch):
     assert spark.conf.get(common.BATCH_BYTES) == before
 
 
+def test_normal_words_are_letters_and_digits_in_lower_case():
+    odd = ["", "--", "don't", "(The", "the)", "THE,", "a-b", "\u00c4rger!", "\u0130x", "x\u0301y", "\u00b2", "_a_", "9.5%", "\u201cthe\u201d", "\u4e2d\u6587", "$", "e\u00e9E"]
+    text = pa.array([" ".join(odd), " ".join(odd[::-1]), "..."]).cast(pa.large_string())
+    codes, counts, dictionary = lines.normal_words(text)
+    plain = pc.replace_substring_regex(pc.utf8_lower(pa.array(odd)), r"[^\p{L}\p{N}]+", "").to_pylist()
+    assert dictionary.take(pa.array(codes)).to_pylist() == [w for w in plain if w] + [w for w in plain[::-1] if w]
+    assert counts.tolist() == [len([w for w in plain if w])] * 2 + [0] and len(set(dictionary.to_pylist())) == len(dictionary)
+
+
 def plain_topk(queries, rows, k):
     import math
 
