@@ -77,10 +77,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with counts and digests that show that they decode.
 
     A null or empty text has no ids; texts of any length are encoded whole; each row of the mix gives a row, so what it
-    repeats is repeated; no rows give no rows.  The workers remember fewer pairs than those of a query of their own, as
-    the stages before have taken memory too.
+    repeats is repeated; no rows give no rows.  The workers remember fewer pairs than those of a query of their own, and get
+    small batches, as the stages before have taken memory too; the rows, which are short, are written for that.
     """
-    return bpe.encode_digests(docs, bpe.word_tokenizer(), remembered=REMEMBERED, chunk_bytes=CHUNK_BYTES)
+    digests = bpe.encode_digests(docs, bpe.word_tokenizer(), remembered=REMEMBERED, chunk_bytes=CHUNK_BYTES)
+    return common.write_stage(digests, "pipeline-digests")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

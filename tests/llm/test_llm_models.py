@@ -271,6 +271,20 @@ def test_pipeline_query_runs_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_encodes_from_small_batches(spark, monkeypatch):
+    """The last stage was sent up to 10,000 whole texts at a time, as nothing wrote its rows."""
+    write, written = common.write_stage, []
+
+    def kept(df, purpose):
+        written.append(purpose)
+        return write(df, purpose)
+
+    docs = write(frame(spark, odd_rows(), clashes=False), "t")
+    monkeypatch.setattr(common, "write_stage", kept)
+    found = dict(corpus_pipeline.STAGES)["encoding"](spark, docs, SF)
+    assert found.count() == docs.count() and written == ["pipeline-digests"]
+
+
 def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
     """Columns with the names the stages use inside, null and repeated rows; and no rows at all."""
     docs = common.write_stage(frame(spark, odd_rows()).repartition(3), "t")
