@@ -19,7 +19,7 @@ FEATURES = 384
 PENALTY = 1e-5
 BINS = 2048
 THRESHOLD = 0.3
-#: Bytes of text that are scored at a time where whole texts stand beside in memory.
+#: Bytes of text whose words are counted at a time: they take many times the size of the text.
 PIECE_BYTES = 1 << 20
 STATISTICS = (
     "log characters", "log words", "word length", "spread of word lengths", "capitals", "digits", "punctuation", "symbols",
@@ -145,7 +145,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """``doc_id, stats``: the statistics of all documents, in the shared folder."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in common.text_chunks(batches):
+        for piece in common.text_chunks(batches, limit=PIECE_BYTES):
             rows = statistics(common.plain_texts(piece.column("text")))
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
             yield pa.record_batch({"doc_id": piece.column("doc_id"), "stats": pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))})

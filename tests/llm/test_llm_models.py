@@ -271,6 +271,17 @@ def test_pipeline_query_runs_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_statistics_are_made_of_small_pieces(spark):
+    """Pieces of 4 MB were worked on at a time, whose words took 130 MB."""
+    texts = [(i, prose(i, 40)) for i in range(60)]
+    sizes = [sum(len(t) for t in p.column("text").to_pylist()) for p in common.pieces(pa.table({"text": [t for _, t in texts] * 200}).combine_chunks().to_batches()[0], "text", quality.PIECE_BYTES)]
+    assert max(sizes) <= quality.PIECE_BYTES <= common.CHUNK_BYTES // 4
+    docs = common.write_stage(frame(spark, [(i, t, None, None, None) for i, t in texts], clashes=False), "t")
+    found = {r.doc_id: r.stats for r in quality.document_statistics(docs).collect()}
+    plain = quality.statistics(pa.array([t for _, t in texts]).cast(pa.large_string()))
+    assert all(np.allclose(found[i], plain[i]) for i in range(60))
+
+
 def test_pipeline_encodes_from_small_batches(spark, monkeypatch):
     """The last stage was sent up to 10,000 whole texts at a time, as nothing wrote its rows."""
     write, written = common.write_stage, []
