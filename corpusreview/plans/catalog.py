@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusreview import constants as K
 from corpusreview.functions import paths as P
@@ -110,37 +110,50 @@ def parse_event_log(spark, sf_dir):
 SESSION_SILENCE = 40_000
 
 
-def _write_logs(spark, sf_dir, folder: str) -> None:
-    """One text log per run, its records in order."""
-    records = R.event_records(spark, sf_dir).withColumn("run", F.col("run_id"))
-    ordered = records.repartition("run").sortWithinPartitions("run", "seq")
-    ordered.select("run", F.col("record").alias("value")).write.partitionBy("run").option("lineSep", "\n\n").text(folder)
+#: Folders over which written logs are dealt, so that no folder holds them all and none holds only one.
+LOG_FOLDERS = 256
 
 
-def _log_counts(events: DataFrame) -> DataFrame:
-    run = F.regexp_extract("file", "run=([0-9]+)", 1).cast("bigint")
-    return events.groupBy(run.alias("run_id"), "event").agg(
-        F.count("*").alias("events"), F.sum(F.length("data")).alias("chars")
-    )
-
+def _write_logs(spark, sf_dir, folder: str, share: float = 1.0) -> None:
+    """One text log per run, its records in order, as far as the first ``share`` of its bytes.
 
-def _grow_logs(spark, source: str, target: str, share: float) -> None:
-    """Write the first ``share`` of the bytes of each log to the log of the same run below ``target``."""
+    A task writes its logs one after the other, a piece at a time, and a log that is there is written anew: there is no
+    listing, no folder and no move per log.
+    """
 
     def save(batches):
-        import pandas as pd
+        import zlib
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        files, base = open_location(folder)
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        logs = 0
+        for run, parts in groupby(rows, key=lambda row: row[0]):
+            path = f"{base}/{zlib.crc32(str(run).encode()) % LOG_FOLDERS:03}"
+            files.create_dir(path, recursive=True)
+            with files.open_output_stream(f"{path}/run={run}.log", buffer_size=1 << 16) as out:
+                at = 0
+                for _, size, part in parts:
+                    out.write(part[: max(int(size * share) - at, 0)])
+                    at += len(part)
+            logs += 1
+        yield pa.record_batch({"n": [logs]})
+
+    files, base = open_location(folder)
+    files.create_dir(base, recursive=True)  # is there without any log, too
+    records = R.event_records(spark, sf_dir).selectExpr("run_id AS run", "seq", "CAST(coalesce(record, '') || '\n\n' AS BINARY) AS part")
+    whole = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = records.withColumn("size", F.sum(F.octet_length("part")).over(whole)).sortWithinPartitions("run", "seq")
+    sized.select("run", "size", "part").mapInArrow(save, "n bigint").agg(F.sum("n")).write.format("noop").mode("overwrite").save()
 
-        for batch in batches:
-            for run, text in zip(batch["run"], batch["value"]):
-                files, path = open_location(f"{target}/run={run}")
-                files.create_dir(path, recursive=True)
-                whole = text.encode()
-                with files.open_output_stream(f"{path}/events.log") as out:
-                    out.write(whole[: int(len(whole) * share)])
-            yield pd.DataFrame({"n": [len(batch)]})
 
-    texts = spark.read.option("basePath", source).text(source, wholetext=True).select("run", "value")
-    texts.mapInPandas(save, "n bigint").agg(F.sum("n")).write.format("noop").mode("overwrite").save()
+def _log_counts(events: DataFrame) -> DataFrame:
+    run = F.regexp_extract("file", "run=([0-9]+)", 1).cast("bigint")
+    return events.groupBy(run.alias("run_id"), "event").agg(
+        F.count("*").alias("events"), F.sum(F.length("data")).alias("chars")
+    )
 
 
 @query
@@ -155,12 +168,11 @@ def scan_event_log(spark, sf_dir):
 def follow_event_log(spark, sf_dir):
     """Log files that are followed while they grow: two fifths of each, then the rest, then nothing new."""
     folder, positions, checkpoint, target = (fresh_folder(spark, n) for n in ("log", "positions", "checkpoint", "events"))
-    _write_logs(spark, sf_dir, f"{folder}/whole")
     for share in (0.4, 1.0, None):
         if share:
-            _grow_logs(spark, f"{folder}/whole", f"{folder}/growing", share)
+            _write_logs(spark, sf_dir, folder, share)
         # the query is started again each time, and goes on where its checkpoint and positions say
-        stream = event_log.read_event_log(spark, f"{folder}/growing", positions=positions, shards=8)
+        stream = event_log.read_event_log(spark, folder, positions=positions, shards=8)
         jobs.append_stream(stream, target, checkpoint)
     return _log_counts(spark.read.parquet(target))
 

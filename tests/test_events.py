@@ -400,3 +400,36 @@ def test_logs_without_new_bytes_are_not_opened(tmp_path, monkeypatch):
     reader = event_log.EventLogStreamReader({"path": str(tmp_path), "positions": str(tmp_path / "positions"), "shards": "1"})
     monkeypatch.setattr(reader, "_complete", lambda *_: 1 / 0)
     assert reader._planned(0, {str(tmp_path / "a.log"): (10, False)}) == {str(tmp_path / "a.log"): (10, 10, False)}
+
+
+def test_followed_logs_take_no_task_and_no_folder_each(spark, tmp_path):
+    events = spark.range(2100).selectExpr("id AS event_id", "id % 700 AS user_id", "TIMESTAMP '2024-01-01' AS ts", "'view' AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.sparkContext.setJobGroup("followed", "")
+    tracker = spark.sparkContext.statusTracker()
+    found = sorted(catalog.QUERIES["follow_event_log"](spark, str(tmp_path)).collect())
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("followed") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 100
+    parsed = event_log.parse_records(R.event_records(spark, str(tmp_path)), "run_id", "seq")
+    want = parsed.groupBy("run_id", "event").agg(F.count("*").alias("events"), F.sum(F.length("data")).alias("chars"))
+    assert len(found) > 700 and found == sorted(want.collect())
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 1.0])
+def test_logs_are_written_up_to_a_share_of_their_bytes(spark, tmp_path, share):
+    events = spark.range(3000).selectExpr("id AS event_id", "CAST(sqrt(id) AS BIGINT) AS user_id", "TIMESTAMP '2024-01-01' AS ts", "'click' AS event_type")
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    catalog._write_logs(spark, str(tmp_path), f"{tmp_path}/logs", 1.0)
+    catalog._write_logs(spark, str(tmp_path), f"{tmp_path}/logs", share)  # written anew, not added to
+    whole = {}
+    for r in R.event_records(spark, str(tmp_path)).orderBy("seq").collect():
+        whole[r["run_id"]] = whole.get(r["run_id"], b"") + r["record"].encode() + b"\n\n"
+    logs = {int(p.stem.removeprefix("run=")): p.read_bytes() for p in (tmp_path / "logs").rglob("run=*.log")}
+    assert logs == {run: text[: int(len(text) * share)] for run, text in whole.items()}
+    assert len([p for p in (tmp_path / "logs").iterdir()]) <= catalog.LOG_FOLDERS
+
+
+def test_a_table_without_events_has_no_log_rows(spark, tmp_path):
+    R.table(spark, SF, "events").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert catalog.QUERIES["scan_event_log"](spark, str(tmp_path)).count() == 0
+    assert catalog.QUERIES["follow_event_log"](spark, str(tmp_path)).count() == 0
