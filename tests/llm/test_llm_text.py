@@ -1,5 +1,6 @@
 """Fingerprints, token ids and licenses against plain versions."""
 
+import dataclasses
 import hashlib
 
 import pyarrow as pa
@@ -154,6 +155,33 @@ def test_statement_beside_part_of_a_long_text():
     assert [(f.license, f.edits) for f in found] == [("MIT", 0)]
 
 
+def test_blocks_are_compressed_with_every_template(monkeypatch):
+    """Whether a template can be confirmed or not, it takes part in the ranking, and every long text is compared."""
+    used, compared, difference = [], [], licenses.difference
+
+    class Spy:
+        def __init__(self, template):
+            self.template = template
+
+        def compress(self, data):
+            used.append(self.template.words)
+            return self.template.compressor.compress(data)
+
+    every = licenses.templates()
+    spied = [dataclasses.replace(t, compressor=Spy(t)) for t in every]
+    monkeypatch.setattr(licenses, "templates", lambda: spied)
+    monkeypatch.setattr(licenses, "difference", lambda words, *rest: compared.append(words) or difference(words, *rest))
+    texts = sorted(t.words for t in every if len(t.words) > licenses.STATEMENT_WORDS)
+    for block, names in (
+        ("He had no license to warrant such permission.", []),
+        ("Released under the MIT License.", ["MIT"]),
+        (licenses.TEXTS["ISC"].replace("fee ", ""), ["ISC"]),
+    ):
+        used.clear(), compared.clear()
+        assert [f.license for f in licenses._identified(block)] == names
+        assert sorted(used) == sorted(t.words for t in every) and sorted(compared) == texts
+
+
 def test_cues_of_two_words_over_spaces_and_lines():
     for text in ("Released  under CC0 1.0.", "Prose first.\nReleased\nunder CC0 1.0.", "Released under\nCC0 1.0.\nProse after."):
         assert [f.license for f in licenses.scan(text)] == ["CC0-1.0"]
